@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factline.llm.exact_dedup import exact_dedup
+from factline.llm.jaccard_join import jaccard_components
 from factline.llm.mixing import pfair_schedule
 from factline.llm.sharding import stratified_shards
+from factline.llm.substring_dedup import substring_dedup
 from factline.llm.url_filter import judge_urls
 
 
@@ -39,10 +41,20 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_schedule(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "source", "block", "slot", "mix_order")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
     "op8_pfair_mixing": op8_pfair_mixing,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
