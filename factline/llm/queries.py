@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factline.llm.exact_dedup import exact_dedup
 from factline.llm.jaccard_join import jaccard_components
 from factline.llm.mixing import pfair_schedule
+from factline.llm.quality import quality_lines
 from factline.llm.sharding import stratified_shards
 from factline.llm.substring_dedup import substring_dedup
 from factline.llm.url_filter import judge_urls
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_lines(table(spark, sf_dir, "documents"), labels).drop("line_labels")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,6 +56,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_quality": op1_line_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
