@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from factline.llm.exact_dedup import exact_dedup
 from factline.llm.jaccard_join import jaccard_components
+from factline.llm.line_dedup import ORACLE as LINES_ORACLE
+from factline.llm.line_dedup import line_dedup
 from factline.llm.mixing import pfair_schedule
 from factline.llm.quality import quality_lines
 from factline.llm.sharding import stratified_shards
@@ -25,6 +27,11 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines(table(spark, sf_dir, "documents"), labels).drop("line_labels")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=200)
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_runs").alias("n_runs"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,6 +64,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
@@ -64,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_dedup": LINES_ORACLE.format(min_chars=200, reach=199)}
