@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factline.llm.exact_dedup import exact_dedup
 from factline.llm.jaccard_join import jaccard_components
+from factline.llm.lattice import sample_segmentations
 from factline.llm.line_dedup import ORACLE as LINES_ORACLE
 from factline.llm.line_dedup import line_dedup
 from factline.llm.mixing import pfair_schedule
@@ -32,6 +33,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_runs").alias("n_runs"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
 
 
+def op4_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"), k=2, with_ids=False)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op2_line_dedup": op2_line_dedup,
+    "op4_lattice_sampling": op4_lattice_sampling,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
