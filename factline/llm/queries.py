@@ -13,6 +13,7 @@ from factline.llm.lattice import sample_segmentations
 from factline.llm.line_dedup import ORACLE as LINES_ORACLE
 from factline.llm.line_dedup import line_dedup
 from factline.llm.mixing import pfair_schedule
+from factline.llm.mixing_lm import lm_scores
 from factline.llm.quality import quality_lines
 from factline.llm.sharding import stratified_shards
 from factline.llm.substring_dedup import substring_dedup
@@ -33,6 +34,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_runs").alias("n_runs"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
 
 
+def op3_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_segmentations(table(spark, sf_dir, "documents"), k=2, with_ids=False)
 
@@ -70,6 +75,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op2_line_dedup": op2_line_dedup,
+    "op3_mixing_lm": op3_mixing_lm,
     "op4_lattice_sampling": op4_lattice_sampling,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sharding": op6_sharding,
