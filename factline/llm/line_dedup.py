@@ -90,18 +90,8 @@ def repeated_runs(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id",
     return runs.groupBy("row", "g").agg(F.min("pos").alias("start"), F.max("stop").alias("stop")).drop("g")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Delete later copies of repeated line runs (see repeated_runs) from every text.
-
-    docs must list its rows alike each time it is read (a table does): texts are matched to
-    their runs by scan position. Returns every input column, then _kept (the text without the
-    deleted lines), _n_lines, _n_removed and _n_runs.
-
-    Nulls: a null text has no lines and stays null; a null id sorts after all others. Of rows
-    alike in id the one scanned first is the earlier. An empty text is one empty line. A text
-    whose every line goes becomes the empty string. Empty tables give no rows. Other columns
-    are carried as they are, whatever their names.
-    """
+def _deduped(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_doc (the input row), _kept, _n_lines, _n_removed and _n_runs; see line_dedup."""
     runs = repeated_runs(docs, min_chars, id_col, text_col)
     runs = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs")).withColumnRenamed("row", "_rrow")
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -119,21 +109,42 @@ def line_dedup(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", te
     kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), r), gap)), "\n")
     removed = F.aggregate("_runs", F.lit(0).cast("long"), lambda acc, x: acc + x["stop"] - x["start"])
     return both.select(
-        "_doc.*",
+        "_doc",
         F.when(r == 0, F.col("_doc")[text_col]).otherwise(kept).alias("_kept"),
         F.greatest(n, F.lit(0)).cast("long").alias("_n_lines"), removed.alias("_n_removed"), r.cast("long").alias("_n_runs"),
     )
 
 
-def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Delete later copies of repeated line runs (see repeated_runs) from every text.
+
+    docs must list its rows alike each time it is read (a table does): texts are matched to
+    their runs by scan position. Returns every input column, then _kept (the text without the
+    deleted lines), _n_lines, _n_removed and _n_runs.
+
+    Nulls: a null text has no lines and stays null; a null id sorts after all others. Of rows
+    alike in id the one scanned first is the earlier. An empty text is one empty line. A text
+    whose every line goes becomes the empty string. Empty tables give no rows. Other columns
+    are carried as they are; an added name that is taken gets one more underscore in front.
+    """
+    out = _deduped(docs, min_chars, id_col, text_col)
+    names = {n: n for n in ("_kept", "_n_lines", "_n_removed", "_n_runs")}
+    for n in names:
+        while names[n] in docs.columns:
+            names[n] = "_" + names[n]
+    return out.select("_doc.*", *[F.col(n).alias(names[n]) for n in names])
+
+
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with line_dedup's texts; rows that lost every line are left out.
 
     A count column n_chars, where there is one, follows the new text.
     """
-    text = options.get("text_col", "text")
-    out = line_dedup(docs, **options).filter("_n_removed = 0 or _n_removed < _n_lines")
-    new = {text: F.col("_kept")} | ({"n_chars": F.when(F.col("_n_removed") > 0, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    out = _deduped(docs, min_chars, id_col, text_col).filter("_n_removed = 0 or _n_removed < _n_lines")
+    new = {text_col: F.col("_kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc")["n_chars"])
+    return out.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 #: Windows as strings: no ranks, no hashes.
