@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factline.llm.exact_dedup import ORACLE as EXACT_ORACLE
 from factline.llm.exact_dedup import exact_dedup
 from factline.llm.jaccard_join import jaccard_components
 from factline.llm.lattice import sample_segmentations
@@ -18,6 +19,7 @@ from factline.llm.quality import quality_lines
 from factline.llm.sharding import stratified_shards
 from factline.llm.substring_dedup import substring_dedup
 from factline.llm.url_filter import judge_urls
+from factline.llm.url_filter import oracle_sql as urls_oracle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": LINES_ORACLE.format(min_chars=200, reach=199)}
+ORACLES: dict[str, str] = {"op2_line_dedup": LINES_ORACLE.format(min_chars=200, reach=199), "op5_exact_dedup": EXACT_ORACLE, "op7_url_filter": urls_oracle()}

@@ -99,3 +99,38 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = 1.
         F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"),
         F.coalesce(F.col("r.verdict"), F.when(block, "block").otherwise("allow")).alias("verdict"), F.col("mean").alias("bad_mean"),
     )
+
+
+def _level_sql(level: str) -> str:
+    """A level's pooled share and prior strength."""
+    return f"""SELECT p, coalesce(least(greatest(p * (1 - p) / greatest((bbn - nn * p * p - (g - 1) * p * (1 - p)) / nullif(nn - n2 / nn, 0), 1e-9) - 1, 1.0), 1000.0), 1000.0) AS k
+    FROM (SELECT *, (coalesce(bb, 0) + 0.5) / (coalesce(nn, 0) + 1.0) AS p FROM (SELECT count(*) AS g, CAST(sum(n) AS DOUBLE) AS nn, CAST(sum(b) AS DOUBLE) AS bb, sum(CAST(b AS DOUBLE) * b / n) AS bbn, CAST(sum(n * n) AS DOUBLE) AS n2 FROM g_{level}))"""
+
+
+def oracle_sql(rules=RULES, z: float = 1.645, most_bad: float = 0.5) -> str:
+    """The url query as SQL."""
+    two = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+    last = "array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - {n}, 0) + 1, len(string_split(host, '.'))), '.')"
+    suffix = f"CASE WHEN {last.format(n=2)} IN ({two}) THEN {last.format(n=2)} ELSE {last.format(n=1)} END"
+    domain = f"CASE WHEN {last.format(n=2)} IN ({two}) THEN {last.format(n=3)} ELSE {last.format(n=2)} END"
+    cases = {"rule": "", "verdict": ""}
+    for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
+        of, _, rest = rule.partition("/")
+        fits = f"WHEN (host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '/{rest}') THEN "
+        cases["rule"] += fits + f"'{rule}' "
+        cases["verdict"] += fits + f"'{verdict}' "
+    lower = "translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH u AS (SELECT page_id, {lower} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+o AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+g_host AS (SELECT host, {suffix} AS suffix, {domain} AS domain, count(*) AS n, CAST(sum(bad) AS BIGINT) AS b FROM u JOIN o ON page_id = doc_id WHERE host <> '' GROUP BY host),
+g_domain AS (SELECT domain, any_value(suffix) AS suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS b FROM g_host GROUP BY domain),
+g_suffix AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS b FROM g_host GROUP BY suffix),
+s_host AS ({_level_sql("host")}), s_domain AS ({_level_sql("domain")}), s_suffix AS ({_level_sql("suffix")}),
+m_suffix AS (SELECT suffix, (b + k * p) / (n + k) AS m FROM g_suffix CROSS JOIN s_suffix),
+m_domain AS (SELECT d.domain, (d.b + k * s.m) / (d.n + k) AS m FROM g_domain d CROSS JOIN s_domain JOIN m_suffix s ON s.suffix = d.suffix),
+m_host AS (SELECT h.host, (h.b + k * d.m) / (h.n + k) AS m, h.n + k + 1 AS size FROM g_host h CROSS JOIN s_host JOIN m_domain d ON d.domain = h.domain)
+SELECT page_id, u.host, path, CASE {cases['rule'].replace('host ', 'u.host ').replace('(host,', '(u.host,')}ELSE NULL END AS rule,
+    coalesce(CASE {cases['verdict'].replace('host ', 'u.host ').replace('(host,', '(u.host,')}ELSE NULL END, CASE WHEN m - {z} * sqrt(m * (1 - m) / size) > {most_bad} THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN m_host h ON u.host = h.host
+"""
