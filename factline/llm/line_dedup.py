@@ -45,10 +45,6 @@ def suffix_ranks(lines: DataFrame, deepest: int) -> list[DataFrame]:
     return levels
 
 
-def _log2(n: Column) -> Column:
-    return F.length(F.bin(n)) - 1
-
-
 def repeated_runs(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The maximal runs of lines to delete: row (scan position of the text), start, stop.
 

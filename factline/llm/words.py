@@ -120,11 +120,6 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return _mixed((sums[n:] - sums[:-n]) * down[:m])
 
 
-def owner(firsts: np.ndarray) -> np.ndarray:
-    """The text of each word, given the texts' first words."""
-    return np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-
-
 class Bitmap:
     """A fixed-size set of 64-bit keys with few false positives and no false negatives."""
 
