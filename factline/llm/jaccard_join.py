@@ -10,16 +10,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline.llm import words as w
 from factline.llm.bitmaps import bitmap_of
 from factline.llm.components import components
-from factline.llm.tables import cut
+from factline.llm.tables import cut, written
 
-SKETCH_BITS = 20  # buckets of the frequency sketch: 8 MB on the driver, whatever the input
-_PAGE_BITS = 14
+SKETCH_BITS = 22  # buckets of the frequency sketch: 16 MB broadcast, whatever the input
+_PAGE_BITS = 16
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -67,52 +67,63 @@ def _survey(terms: Terms):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names, id_type = ["kind", "id", "page", "n", "sig"], None
+        names, id_type = ["kind", "id", "tag", "page", "n", "sig"], None
         for batch in batches:
             id_type = batch["id"].type
             for lo, hi, data, offsets in w.slices(batch):
                 sets = list(sets_of(data, offsets, terms.n))
                 whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                counts += np.bincount((whole & _MASK).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (whole & _MASK).astype(np.int64), 1)
                 none = [0] * (hi - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), batch["id"].slice(lo, hi - lo), pa.array(none, pa.int32()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sig(s) for s in sets], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), batch["id"].slice(lo, hi - lo), batch["tag"].slice(lo, hi - lo), pa.array(none, pa.int32()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sig(s) for s in sets], pa.binary())], names)
         pages = counts.reshape(-1, 1 << _PAGE_BITS)
         full = np.flatnonzero(pages.any(1)).tolist()
         if full:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * len(full), pa.int32()), pa.nulls(len(full), id_type), pa.array(full, pa.int32()), pa.array([0] * len(full), pa.int64()), pa.array([zlib.compress(pages[k].tobytes(), 1) for k in full], pa.binary())], names
+                [pa.array([1] * len(full), pa.int32()), pa.nulls(len(full), id_type), pa.nulls(len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([0] * len(full), pa.int64()), pa.array([_packed(pages[k]) for k in full], pa.binary())], names
             )
 
     return run
 
 
+def _packed(page: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs (the first byte tells how many)."""
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if page.max() <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(page.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.int64)
+
+
 def _sketch(pages: DataFrame) -> np.ndarray:
     def merge(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(b), np.int64) for b in table["sig"].to_pylist())
+        total = sum(_unpacked(b) for b in table["sig"].to_pylist())
         return pa.table({"page": table["page"][:1], "sig": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros((1 << (SKETCH_BITS - _PAGE_BITS), 1 << _PAGE_BITS), np.int64)
+    out = np.zeros((1 << (SKETCH_BITS - _PAGE_BITS), 1 << _PAGE_BITS), np.uint32)
     for row in pages.select("page", "sig").groupBy("page").applyInArrow(merge, "page int, sig binary").toLocalIterator():
-        out[row["page"]] = np.frombuffer(row["sig"], np.int64)
+        out[row["page"]] = np.minimum(np.frombuffer(row["sig"], np.int64), np.iinfo(np.uint32).max)  # an order is all that is needed
     return out.ravel()
 
 
 def _prefixes(terms: Terms, sketch: Broadcast, shared: Broadcast | None):
-    """Index entries. Without `shared`: element and row; with it: entries of shared elements in full."""
+    """Index entries, once for all equal sets of a task. Without `shared`: element and row; with it: entries of shared elements in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         known = shared and w.Bitmap(shared.value)
+        seen: set[bytes] = set()
         for batch in batches:
             at = batch["at"].to_numpy()
             for lo, _, data, offsets in w.slices(batch):
                 heads, sizes, sigs, rows = [], [], [], []
                 for k, s in enumerate(sets_of(data, offsets, terms.n)):
-                    if len(s):
+                    if len(s) and (sig := _sig(s)) not in seen:
+                        seen.add(sig)
                         heads.append(s[np.argsort(counts[(s & _MASK).astype(np.int64)], kind="stable")[: terms.prefix(len(s))]])
                         sizes.append(len(s)), rows.append(lo + k)
-                        if known:
-                            sigs.append(_sig(s))
+                        sigs.append(sig)
                 if not heads:
                     continue
                 lengths = [len(h) for h in heads]
@@ -181,64 +192,90 @@ def jaccard_components(docs: DataFrame, terms: Terms = Terms(), id_col: str = "d
     id only if all its ids are null. Repeated rows are all returned. Empty tables give no
     rows; extra columns are not read.
     """
+    rows = _classified(docs, terms, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one_of_class(docs: DataFrame, terms: Terms = Terms(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, one for each class of jaccard_components: one with the class's id.
+
+    Texts with empty sets are classes of their own; of identical rows one stays.
+    """
+    rows = _classified(docs, terms, id_col, text_col)
+    own = F.when(F.col("n") > 0, F.col("label"))
+    kept = rows.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(own.alias("class"), "id", F.when(own.isNull(), F.col("tag")).alias("t")).agg(F.min("tag").alias("tag"))
+    kept = kept.select(F.col("id").alias("_kid"), F.col("tag").alias("_ktag"))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_id"), F.xxhash64(F.col(text_col)).alias("_tag"))
+    kept = kept.select(F.xxhash64(F.coalesce(F.col("_kid").cast("string"), F.lit(""))).alias("_id"), F.col("_ktag").alias("_tag")).distinct()
+    return tagged.join(kept, ["_id", "_tag"], "left_semi").groupBy("_id", "_tag").agg(F.first("_row").alias("_row")).select("_row.*")
+
+
+def _classified(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
+    """id, tag (hash of the text), n, label and component_id of every row."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
+    raw = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
     seen = raw.select("key", "raw").withColumn("at", F.monotonically_increasing_id())
 
-    survey = cut(raw.select("id", "raw").mapInArrow(_survey(terms), f"kind int, id {kind}, page int, n long, sig binary"))
+    survey = cut(raw.select("id", "tag", "raw").mapInArrow(_survey(terms), f"kind int, id {kind}, tag long, page int, n long, sig binary"))
     sketch = sc.broadcast(_sketch(survey.filter("kind = 1")))
 
     found = seen.select("at", "raw").mapInArrow(_prefixes(terms, sketch, None), "t long, at long")
     again = found.groupBy("t").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a < b").select("t")
     shared = sc.broadcast(bitmap_of(again))
     entries = seen.select(F.col("key").alias("at"), "raw").mapInArrow(_prefixes(terms, sketch, shared), "t long, sig binary, at long, n long, i long")
-    entries = entries.groupBy("t", "sig", "n", "i").agg(F.min("at").alias("key"))
-    block = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / terms.percent))).alias("block")
-    entries = cut(entries.select("t", "sig", "n", "i", "key", block))
+    # one shuffle by element: equal sets met in each task already, so no element is hotter here than in the index
+    entries = entries.repartition("t").groupBy("t", "sig", "n", "i").agg(F.min("at").alias("key"))
+    entries = written(entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("t"))).filter("c > 1").drop("c"))
+    sketch.destroy(), shared.destroy()
     labels = _classes(raw, entries, terms)
-    rows = cut(survey.filter("kind = 0").join(labels, F.col("sig") == F.col("v"), "left").select("id", "n", F.coalesce("label", "sig").alias("label")))
+    rows = cut(survey.filter("kind = 0").join(labels, F.col("sig") == F.col("v"), "left").select("id", "tag", "n", F.coalesce("label", "sig").alias("label")))
     least_id = rows.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id")).withColumnRenamed("label", "l")
     out = rows.join(least_id, (F.col("label") == F.col("l")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "tag", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _classes(raw: DataFrame, entries: DataFrame, terms: Terms) -> DataFrame:
     """Labels (v, label) of the signatures that link with another, from the index entries."""
     sc = raw.sparkSession.sparkContext
-    first = entries.groupBy("t", "block").agg(F.min(F.struct("key", "sig", "n", "i")).alias("h"), F.count(F.lit(1)).alias("c"))
-    lists = first.groupBy("t").agg(F.sum("c").alias("c")).filter("c > 1").select("t")
-    first = cut(first.join(lists, "t", "left_semi").select("t", F.explode(F.array("block", F.col("block") + 1)).alias("block"), "h"))
+    block = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / terms.percent))).alias("block")
+    blocks = entries.select("*", block)
+    first = blocks.groupBy("t", "block").agg(F.min(F.struct("key", "sig", "n", "i")).alias("h"))
 
     def possible(n, i, m, j) -> Column:
         """Can sets of n and m link, if their first common element is at i and j?"""
         return terms.fits(n, m) & (1 + F.least(n - i - 1, m - j - 1) >= terms.overlap(n, m))
 
-    h = F.col("h")
-    stars = entries.join(first, ["t", "block"]).filter((F.col("sig") != h["sig"]) & possible(F.col("n"), F.col("i"), h["n"], h["i"]))
-    stars = cut(stars.select(F.col("sig").alias("a"), h["sig"].alias("b"), F.col("n").alias("na"), h["n"].alias("nb")).distinct())
-    indexed = entries.join(lists, "t", "left_semi")
-    wanted = sc.broadcast(bitmap_of(indexed.select(as_long(F.col("sig")).alias("s")).distinct()))
-    texts = raw.select("raw").mapInArrow(_chosen(terms, wanted), "sig binary, raw binary")
-    texts = cut(texts.groupBy("sig").agg(F.first("raw").alias("raw")))
-
     def verify(pairs: DataFrame) -> DataFrame:
+        """Adds o = |a & b|. Only the texts of signatures in pairs are shuffled, once to each side."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("s"))
+        wanted = sc.broadcast(bitmap_of(ends.distinct().select(as_long(F.col("s")).alias("s"))))
+        texts = raw.select("raw").mapInArrow(_chosen(terms, wanted), "sig binary, raw binary").groupBy("sig").agg(F.first("raw").alias("raw"))
         a = texts.select(F.col("sig").alias("sa"), F.col("raw").alias("ra"))
         b = texts.select(F.col("sig").alias("sb"), F.col("raw").alias("rb"))
         both = pairs.join(a, F.col("a") == F.col("sa")).join(b, F.col("b") == F.col("sb"))
-        return cut(both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_verified(terms), "a binary, b binary, na long, nb long, o long"))
+        out = cut(both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_verified(terms), "a binary, b binary, na long, nb long, o long"))
+        wanted.destroy()
+        return out
 
+    h = F.col("h")
+    near = first.select("t", F.explode(F.array("block", F.col("block") + 1)).alias("block"), "h")
+    stars = blocks.join(near, ["t", "block"]).filter((F.col("sig") != h["sig"]) & possible(F.col("n"), F.col("i"), h["n"], h["i"]))
+    stars = cut(stars.select(F.col("sig").alias("a"), h["sig"].alias("b"), F.col("n").alias("na"), h["n"].alias("nb")).distinct())
     is_link = F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * terms.percent
     tested = verify(stars)
     links = tested.filter(is_link).select("a", "b")
-    labels = components(links)
+    labels = cut(components(links))
     best = tested.groupBy(F.col("a").alias("x")).agg(F.max(F.struct("o", F.col("b").alias("h"), F.col("nb").alias("nh"))).alias("best"))
 
-    known = indexed.join(labels, F.col("sig") == F.col("v"), "left").withColumn("label", F.coalesce("label", "sig")).drop("v")
-    known = cut(known.join(best, F.col("sig") == F.col("x"), "left").select("t", "sig", "n", "i", "key", "label", "best"))
-    main = known.groupBy("t").agg(F.min_by("label", "key").alias("main"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select(F.col("t").alias("mt"), "main")
-    open_lists = cut(known.join(main, F.col("t") == F.col("mt")))
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, F.col("sig") == F.col("v"), "left").withColumn("label", F.coalesce("label", "sig")).drop("v")
+
+    main = labelled(entries).groupBy("t").agg(F.min_by("label", "key").alias("main"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    main = cut(main.filter("l0 <> l1").select(F.col("t").alias("mt"), "main"))
+    open_lists = labelled(entries.join(main, F.col("t") == F.col("mt")).drop("mt"))
+    open_lists = cut(open_lists.join(best, F.col("sig") == F.col("x"), "left").select("t", "sig", "n", "i", "label", "best", "main"))
     x = open_lists.filter("label <> main").select(*[F.col(c).alias(f"x_{c}") for c in ("t", "sig", "n", "i", "label", "best")])
     y = open_lists.select(*[F.col(c).alias(f"y_{c}") for c in ("t", "sig", "n", "i", "label", "best", "main")])
     p, q, hub = F.col("x_best.o"), F.col("y_best.o"), F.col("x_best.h") == F.col("y_best.h")
@@ -247,15 +284,15 @@ def _classes(raw: DataFrame, entries: DataFrame, terms: Terms) -> DataFrame:
     once = (F.col("y_label") == F.col("y_main")) | (F.col("x_sig") < F.col("y_sig"))
     on = (F.col("x_t") == F.col("y_t")) & (F.col("x_label") != F.col("y_label")) & once & possible(F.col("x_n"), F.col("x_i"), F.col("y_n"), F.col("y_i")) & (F.coalesce(most, F.col("x_n")) >= need)
     least = F.coalesce(F.when(hub, p + q - F.col("x_best.nh")), F.lit(0))
+    back = F.col("x_sig") > F.col("y_sig")
     pairs = x.join(y, on).select(
         F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b"),
-        F.when(F.col("x_sig") < F.col("y_sig"), F.col("x_n")).otherwise(F.col("y_n")).alias("na"),
-        F.when(F.col("x_sig") < F.col("y_sig"), F.col("y_n")).otherwise(F.col("x_n")).alias("nb"),
+        F.when(back, F.col("y_n")).otherwise(F.col("x_n")).alias("na"), F.when(back, F.col("x_n")).otherwise(F.col("y_n")).alias("nb"),
         (least >= need).alias("sure"),
     )
-    pairs = cut(pairs.groupBy("a", "b", "na", "nb").agg(F.max("sure").alias("sure")))
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verify(pairs.filter("not sure").drop("sure").join(done, ["a", "b"], "left_anti")).filter(is_link).select("a", "b")
+    pairs = cut(pairs.groupBy("a", "b", "na", "nb").agg(F.max("sure").alias("sure")).join(done, ["a", "b"], "left_anti"))
+    more = verify(pairs.filter("not sure").drop("sure")).filter(is_link).select("a", "b")
     return components(links.union(more).union(pairs.filter("sure").select("a", "b")))
 
 
