@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from factline.functions import templates
+from factline.functions.text import KEYWORD_STOPWORDS
 from factline.operators.graph import CATEGORIES
 from factline.plans.catalogue import EXPERIMENTS
 
@@ -183,5 +184,14 @@ x AS (SELECT b.confidence AS bc, b.accuracy_score AS ba, b.model_response AS br,
     "edge_relation": _with(SMALL + ", f AS (SELECT head, tail, relation FROM (SELECT *, row_number() OVER (PARTITION BY head, tail ORDER BY ord, relation) AS rn FROM edges) WHERE rn = 1)", "SELECT x.head, x.tail, coalesce(f.relation, 'relates to') AS relation FROM (SELECT head, tail FROM edges UNION ALL SELECT tail, head FROM edges) x LEFT JOIN f ON x.head = f.head AND x.tail = f.tail"),
     "ripple_incident": _with(RIPPLES, "SELECT experiment_id, 'd' || level AS distance, head, relation, tail FROM found"),
     "ripple_statistics": _with(RIPPLES, "SELECT experiment_id, CAST(sum(count(*)) OVER (PARTITION BY experiment_id) AS BIGINT) AS total_triplets, 'd' || level AS distance, count(*) AS n FROM found GROUP BY experiment_id, level"),
+    "ripple_discovery": _with(
+        RIPPLES + """,
+parents AS (SELECT l.experiment_id, l.node, l.level, min(p.a) AS parent FROM levels l JOIN pairs p ON p.b = l.node JOIN levels m ON m.experiment_id = l.experiment_id AND m.node = p.a AND m.level = l.level - 1 GROUP BY l.experiment_id, l.node, l.level),
+ways AS (SELECT experiment_id, level, parent AS head, node AS tail FROM parents UNION ALL SELECT experiment_id, level, node, parent FROM parents),
+firsts AS (SELECT head, tail, relation FROM (SELECT *, row_number() OVER (PARTITION BY head, tail ORDER BY ord, relation) AS rn FROM edges) WHERE rn = 1)""",
+        "SELECT w.experiment_id, 'd' || w.level AS distance, w.head, f.relation, w.tail FROM ways w JOIN firsts f ON f.head = w.head AND f.tail = w.tail JOIN targets x ON x.experiment_id = w.experiment_id WHERE NOT (w.head = x.head AND w.tail = x.tail) AND NOT (w.head = x.tail AND w.tail = x.head)",
+    ),
+    "keyword_variants": "WITH w AS (SELECT conv_id, turn, [x FOR x IN regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') IF length(x) > 2 AND NOT list_contains([" + ", ".join(f"'{x}'" for x in KEYWORD_STOPWORDS) + "], x)] AS ws FROM conversations) SELECT conv_id, turn, array_to_string(list_sort(list_distinct(flatten([CASE WHEN ends_with(x, 's') AND length(x) > 3 THEN [x, substr(x, 1, length(x) - 1)] WHEN ends_with(x, 's') THEN [x] ELSE [x, x || 's'] END FOR x IN ws]))), ' ') AS keywords FROM w",
+    "mean_logprob": "WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), z AS (SELECT *, list_max(e) + ln(list_sum([exp(y - list_max(e)) FOR y IN e])) AS z FROM e), p AS (SELECT vec_id, e[label % 64 + 1] - z AS a, e[len(e) - 3] - z AS b FROM z) SELECT vec_id, round((a + b) / 2, 6) AS mean_logprob, round((exp(a) + exp(b)) / 2, 6) AS mean_prob, CASE WHEN (a + b) / 2 < -5 THEN 'very_low' WHEN (a + b) / 2 < -3 THEN 'low' ELSE 'normal' END AS band FROM p",
     "level_listing": f"SELECT DISTINCT {LEVEL} AS distance, l_linenumber - 1 AS rank FROM lineitem",
 }
