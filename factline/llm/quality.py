@@ -14,7 +14,7 @@ from factline.llm import words as w
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("one", "short", "long", "symbols", "upper", "digits", "marks", "shouted", "ends well", "starts well", "echo", "no letters", "word length")
 CONTENT, BOILERPLATE = 0, 1
-TRAIN_DOCS, TRAIN_LINES = 1000, 64  # bounds of the labelled sample the field is fitted on
+TRAIN_DOCS, TRAIN_LINES, TRAIN_CHARS = 1000, 64, 1 << 17  # bounds of the labelled sample the field is fitted on
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -159,7 +159,7 @@ def _features_of(raw: bytes) -> np.ndarray:
 
 
 def fit_field(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> LineField:
-    """Fit on at most TRAIN_DOCS labelled texts (least hash of the id first), TRAIN_LINES lines each.
+    """Fit on at most TRAIN_DOCS labelled texts (least hash of the id first), TRAIN_LINES lines and TRAIN_CHARS characters each.
 
     labels: (id, quality 0/1). All lines of a text of quality 0 count as boilerplate.
     """
@@ -170,7 +170,7 @@ def fit_field(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
     for q in (0, 1):  # the sample holds both labels in equal number
         top = few.filter(F.col("_q") == q).orderBy(F.md5(F.col("_lid").cast("string")), "_lid").limit(TRAIN_DOCS // 2)
         rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("raw")).join(F.broadcast(top), F.col("_id") == F.col("_lid"))
-        lines = F.substring_index(F.col("raw").cast("string"), "\n", TRAIN_LINES)
+        lines = F.substring(F.substring_index(F.col("raw").cast("string"), "\n", TRAIN_LINES), 1, TRAIN_CHARS)
         sample += [(r["_id"], bytes(r["t"]), 1 - q) for r in rows.dropDuplicates(["_id"]).select("_id", lines.cast("binary").alias("t")).collect() if r["t"]]
     return LineField.fit([(_features_of(t), y) for _, t, y in sorted(sample)])
 
