@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factline.llm.jaccard_join import keep_one_of_class
+from factline.llm.jaccard_join import Terms, keep_one_of_class
 from factline.llm.lattice import sample_segmentations
 from factline.llm.line_dedup import drop_repeated_lines
 from factline.llm.mixing import pfair_mix
@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
-    return keep_one_of_class(docs)
+    """One document of each class of near copies: five words a shingle, similarity 0.8 or more."""
+    return keep_one_of_class(docs, Terms(n=5, percent=80))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
