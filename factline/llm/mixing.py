@@ -1,13 +1,20 @@
-"""Pfair interleaving of sources to target weights, in DataFrame operations only."""
+"""Pfair interleaving of sources to target weights: DataFrame operations, and one heap of blocks in the driver."""
 
 from __future__ import annotations
 
+import heapq
+import math
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factline.llm.tables import ordered_index
 
 MAX_SOURCES = 512  # a mixture is configuration; more names than this are refused, not cut
+SMALL = 1 << 16  # as many sources are broadcast
 
 
 def weight_units(weights: dict, cycle: int) -> dict:
@@ -52,19 +59,57 @@ def edf_cycle(spark: SparkSession, units: list[int]) -> DataFrame:
     return one.select("k", (F.row_number().over(order) - 1).alias("j"), "offset")
 
 
-def pfair_schedule(docs: DataFrame, weights: dict | None = None, block_rows: int = 16, cycle: int = 1000, temper: float = 0.7, seed: str = "factline", source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edf_blocks(weights: list[float], blocks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The whole schedule: the source and the slot of every block, in the order in which they run.
+
+    Block j of a source with share w of the weights is released at floor(j / w) and due by
+    ceil((j + 1) / w); each slot runs the released block that is due first. Shares are exact
+    fractions of the given floats, so windows do not drift. The blocks of a source that has run
+    out are not there; where no block is released, time goes on to the next release. Sources of
+    weight 0 follow after all others, in equal shares. One step of a heap a block, in the
+    driver, which keeps 12 bytes a block.
+    """
+    if last := [k for k, w in enumerate(weights) if w == 0]:
+        which, slots = edf_blocks([w for w in weights if w], [b for w, b in zip(weights, blocks, strict=True) if w])
+        after, more = edf_blocks([1.0] * len(last), [blocks[k] for k in last])
+        live = np.array([k for k, w in enumerate(weights) if w], np.int32)
+        return np.r_[live[which], np.array(last, np.int32)[after]], np.r_[slots, more + (slots[-1] + 1 if len(slots) else 0)]
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(1, *(x.denominator for x in exact))
+    parts = [int(x * unit) for x in exact]
+    whole = sum(parts)
+    n = sum(blocks)
+    which, slots = np.empty(n, np.int32), np.empty(n, np.int64)
+    ready = [(-(-whole // a), k) for k, a in enumerate(parts) if blocks[k]]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int, int]] = []  # release, due, source
+    done = [0] * len(parts)
+    t = 0
+    for at in range(n):
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        k = heapq.heappop(ready)[1]
+        which[at], slots[at] = k, t
+        done[k] = j = done[k] + 1
+        if j < blocks[k]:
+            heapq.heappush(waiting, (j * whole // parts[k], -(-(j + 1) * whole // parts[k]), k))
+        t += 1
+    return which, slots
+
+
+def pfair_schedule(docs: DataFrame, weights: dict | None = None, block_rows: int = 16, temper: float = 0.7, seed: str = "factline", source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Place all rows so that every prefix follows the target weights to less than one block.
 
-    Rows of a source are shuffled by a seeded hash and packed into blocks of `block_rows`. The
-    schedule is periodic: block b of a source with a of D units runs in slot
-    (b div a) D + offset(b mod a), so all slots follow from one cycle of D rows (`cycle`, or
-    twice the number of sources), which is the only table broadcast besides one row a source.
-    When a source runs out, its slots are skipped and the others keep their relative weights.
-    Every row comes out exactly once.
+    Rows of a source are shuffled by a seeded hash and packed into blocks of `block_rows`, whose
+    slots edf_blocks finds from the true weights. The schedule is joined by source and block.
+    When a source runs out, its slots are skipped or taken by blocks that are released, and the
+    others keep their relative weights. Every row comes out exactly once.
 
-    weights: source -> weight; by default count ** temper. Sources without a weight raise
-    ValueError, as do more than MAX_SOURCES names. Returns id, source, fp (hash of the whole
-    row), block, slot and mix_order (gapless from 0).
+    weights: source -> weight, 0 or more; by default count ** temper. Sources without a weight
+    raise ValueError, as do more than MAX_SOURCES names. Returns id, source, fp (hash of the whole row), block, slot
+    and mix_order (gapless from 0).
 
     Nulls: a null source is a source; a null id or text hashes as empty. Repeated rows are all
     kept. An empty table gives no rows.
@@ -77,6 +122,8 @@ def pfair_schedule(docs: DataFrame, weights: dict | None = None, block_rows: int
     weights = {s: n**temper for s, n in counts.items()} if weights is None else weights
     if missing := [s for s in counts if s not in weights]:
         raise ValueError(f"no weight for {missing[:5]}")
+    if wrong := [s for s in counts if not 0 <= weights[s] < math.inf]:
+        raise ValueError(f"weights must be finite and not negative: {wrong[:5]}")
     light = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), row_hash(docs).alias("fp"),
         F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))).alias("h"),
@@ -84,19 +131,25 @@ def pfair_schedule(docs: DataFrame, weights: dict | None = None, block_rows: int
     if not counts:
         return light.limit(0).select("id", "source", "fp", *[F.lit(0).cast("long").alias(n) for n in ("block", "slot", "mix_order")])
     names = sorted(counts, key=lambda s: (s is None, str(s)))
-    units = weight_units({s: weights[s] for s in names}, max(cycle, 2 * len(names)))
-    d = sum(units.values())
-    table = edf_cycle(spark, [units[s] for s in names])
-    known = spark.createDataFrame([(k, s, units[s]) for k, s in enumerate(names)], f"k int, s {kind}, a int")
+    which, slots = edf_blocks([weights[s] for s in names], [-(-counts[s] // block_rows) for s in names])
+    table = _blocks(spark, which, slots)
+    known = spark.createDataFrame([(k, s) for k, s in enumerate(names)], f"k int, s {kind}")
 
     ranked = ordered_index(light, ["source", "h", "fp"], "i")
     firsts = ranked.groupBy(F.col("source").alias("s0")).agg(F.min("i").alias("first"))
-    sources = firsts.join(F.broadcast(known), F.col("s0").eqNullSafe(F.col("s"))).select("k", "s", "a", "first")
-    blocks = ranked.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.expr(f"(i - first) div {block_rows}"))
-    cycle_of = F.broadcast(table.withColumnRenamed("k", "tk"))
-    slots = blocks.join(cycle_of, (F.col("k") == F.col("tk")) & (F.col("block") % F.col("a") == F.col("j")))
-    slots = slots.select("id", "source", "fp", "block", F.expr(f"cast(block div a * {d} + offset as bigint)").alias("slot"), "i")
-    return ordered_index(slots, ["slot", "i"], "mix_order").drop("i")
+    sources = firsts.join(known, F.col("s0").eqNullSafe(F.col("s"))).select("k", "s", "first")
+    sources = F.broadcast(sources) if len(names) <= SMALL else sources  # more are joined, with the same result
+    blocks = ranked.join(sources, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.expr(f"(i - first) div {block_rows}"))
+    placed = blocks.join(table, (F.col("k") == F.col("tk")) & (F.col("block") == F.col("j")))
+    return ordered_index(placed.select("id", "source", "fp", "block", "slot", "i"), ["slot", "i"], "mix_order").drop("i")
+
+
+def _blocks(spark: SparkSession, which: np.ndarray, slots: np.ndarray) -> DataFrame:
+    """The schedule as a table: tk (index of the source), j (block of the source), slot."""
+    order = np.argsort(which, kind="stable")
+    k = which[order]
+    j = np.arange(len(k)) - np.searchsorted(k, k)
+    return spark.createDataFrame(pa.table({"tk": pa.array(k), "j": pa.array(j), "slot": pa.array(slots[order])}))
 
 
 def row_hash(docs: DataFrame):

@@ -1,8 +1,13 @@
 """What a shorter job would leave out."""
 
+import collections
+
 import corpus_pipeline
+import pytest
 from conftest_llm import SCHEMA
 
+from factline.llm import mixing
+
 
 def test_pipeline_links_from_four_fifths_on(spark, table_of):
     words = [f"w{k}" for k in range(300)]
@@ -10,3 +15,28 @@ def test_pipeline_links_from_four_fifths_on(spark, table_of):
     rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
     got = corpus_pipeline.near_copies(spark, table_of(spark.createDataFrame(rows, SCHEMA)), "")
     assert {r["doc_id"] for r in got.collect()} == {0, 3}
+
+
+def strays(got, weights):
+    """How far any source is from its true weight over the prefixes in which none has run out."""
+    rows = sorted(got, key=lambda r: r["mix_order"])
+    left, done, worst, total = collections.Counter(r["source"] for r in rows), collections.Counter(), 0.0, sum(weights.values())
+    for t, r in enumerate(rows, 1):
+        done[r["source"]] += 1
+        worst = max(worst, *(abs(done[s] - w / total * t) for s, w in weights.items()))
+        left[r["source"]] -= 1
+        if not left[r["source"]]:
+            return worst
+
+
+@pytest.mark.parametrize("sizes,temper", [({"a": 1800, "b": 100, "c": 100}, 1.0), ({"hot": 4750} | {f"s{k}": 500 for k in range(19)}, 0.7)])
+def test_mixture_follows_the_true_weights(spark, table_of, sizes, temper):
+    rows = [(i, "t", "en", s, 1) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.pfair_schedule(table_of(spark.createDataFrame(rows, SCHEMA)), block_rows=1, temper=temper).collect()
+    assert strays(got, {s: n**temper for s, n in sizes.items()}) < 1 and sorted(r["mix_order"] for r in got) == list(range(len(rows)))
+
+
+def test_sources_of_weight_nought_come_last(spark, table_of):
+    rows = [(i, "t", "en", "abc"[i % 3], 1) for i in range(30)]
+    got = mixing.pfair_schedule(table_of(spark.createDataFrame(rows, SCHEMA)), weights={"a": 1.0, "b": 0, "c": 3.0}, block_rows=2).collect()
+    assert {r["source"] for r in got if r["mix_order"] >= 20} == {"b"} and len(got) == 30
