@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from factline.llm.tables import ordered_index
 
-MAX_SOURCES = 512  # a mixture is configuration; more names than this are refused, not cut
 SMALL = 1 << 16  # as many sources are broadcast
 
 
@@ -108,7 +107,8 @@ def pfair_schedule(docs: DataFrame, weights: dict | None = None, block_rows: int
     others keep their relative weights. Every row comes out exactly once.
 
     weights: source -> weight, 0 or more; by default count ** temper. Sources without a weight
-    raise ValueError, as do more than MAX_SOURCES names. Returns id, source, fp (hash of the whole row), block, slot
+    raise ValueError. Any number of sources will do: the driver holds one row a source, and one
+    step a block of the schedule. Returns id, source, fp (hash of the whole row), block, slot
     and mix_order (gapless from 0).
 
     Nulls: a null source is a source; a null id or text hashes as empty. Repeated rows are all
@@ -116,9 +116,7 @@ def pfair_schedule(docs: DataFrame, weights: dict | None = None, block_rows: int
     """
     spark = docs.sparkSession
     kind = docs.schema[source_col].dataType.simpleString()
-    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     weights = {s: n**temper for s, n in counts.items()} if weights is None else weights
     if missing := [s for s in counts if s not in weights]:
         raise ValueError(f"no weight for {missing[:5]}")
