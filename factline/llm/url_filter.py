@@ -52,28 +52,31 @@ def _strength(groups: DataFrame) -> DataFrame:
     sums = sums.withColumn("p", (F.coalesce("bb", F.lit(0)) + 0.5) / (F.coalesce("nn", F.lit(0)) + 1.0))
     spread = F.try_divide(F.col("bbn") - F.col("nn") * F.col("p") * F.col("p") - (F.col("g") - 1) * F.col("p") * (1 - F.col("p")), F.col("nn") - F.try_divide("n2", "nn"))
     k = F.try_divide(F.col("p") * (1 - F.col("p")), F.greatest(spread, F.lit(1e-9))) - 1
-    return sums.select("p", F.coalesce(F.least(F.greatest(k, F.lit(1.0)), F.lit(1000.0)), F.lit(1000.0)).alias("k"))
+    return sums.select("g", "p", F.coalesce(F.least(F.greatest(k, F.lit(1.0)), F.lit(1000.0)), F.lit(1000.0)).alias("k"))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """Posterior bad share of every host in outcomes (host, bad boolean).
+    """Posterior bad share of every host in outcomes (host, bad boolean; null: not labelled).
 
     Each level's share is shrunk through a beta prior centred on the level above: all pages,
     suffix, registered domain, host. Strengths come from the spread of that level's groups.
-    Returns host, n, b, mean, sd of the host's beta posterior. Null hosts or outcomes are
-    left out. Counts are aggregated before each shuffle; parents come by joins on their name.
+    Returns host, n, b, mean, sd of the host's beta posterior. A host without labelled pages
+    has its prior, from the nearest of domain, suffix and all pages that has any; with no
+    labels at all, mean and sd are null. Null hosts are left out. Counts are aggregated before
+    each shuffle; parents come by joins on their name.
     """
-    hosts = outcomes.filter("host is not null and bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("b"))
+    hosts = outcomes.filter("host is not null").groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("b"))
     hosts = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host")))
-    groups = {level: hosts.groupBy(level).agg(F.sum("n").alias("n"), F.sum("b").alias("b")) for level in LEVELS}
-    strength = {level: F.broadcast(_strength(groups[level]).select(F.col("p").alias(f"p_{level}"), F.col("k").alias(f"k_{level}"))) for level in LEVELS}  # one row each
+    groups = {level: hosts.filter("n > 0").groupBy(level).agg(F.sum("n").alias("n"), F.sum("b").alias("b")) for level in LEVELS}
+    strength = {level: F.broadcast(_strength(groups[level]).select(F.col("g").alias(f"g_{level}"), F.col("p").alias(f"p_{level}"), F.col("k").alias(f"k_{level}"))) for level in LEVELS}  # one row each
     n, b = F.col("n"), F.col("b")
     suffix = groups["suffix"].crossJoin(strength["suffix"]).select("suffix", ((b + F.col("k_suffix") * F.col("p_suffix")) / (n + F.col("k_suffix"))).alias("m_suffix"))
     domain = groups["domain"].withColumn("suffix", suffix_of(F.col("domain"))).crossJoin(strength["domain"]).join(suffix, "suffix")
     domain = domain.select("domain", ((b + F.col("k_domain") * F.col("m_suffix")) / (n + F.col("k_domain"))).alias("m_domain"))
     size = n + F.col("k_host")
-    mean = (b + F.col("k_host") * F.col("m_domain")) / size
-    return hosts.crossJoin(strength["host"]).join(domain, "domain").select("host", "n", "b", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (size + 1)).alias("sd"))
+    prior = F.coalesce("m_domain", "m_suffix", F.when(F.col("g_suffix") > 0, F.col("p_suffix")))
+    mean = (b + F.col("k_host") * prior) / size
+    return hosts.crossJoin(strength["host"]).crossJoin(strength["suffix"]).join(domain, "domain", "left").join(suffix, "suffix", "left").select("host", "n", "b", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (size + 1)).alias("sd"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = 1.645, most_bad: float = 0.5, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
@@ -81,7 +84,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = 1.
 
     outcomes: one row per labelled page, (id, bad boolean). A host is blocked when the lower
     bound of its posterior bad share, mean - z sd, exceeds most_bad; hosts without labelled
-    pages are allowed. Returns id, host, path, rule, verdict, bad_mean (null: no outcomes).
+    pages are judged by their prior alone. Returns id, host, path, rule, verdict, bad_mean
+    (null: no host, or no outcomes at all).
 
     Nulls: a null url, or one without ://, has an empty host and path and fits no rule; a null
     id is carried and never labelled. Repeated rows are judged alike; an id labelled more than
@@ -92,7 +96,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = 1.
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     labelled = outcomes.toDF("oid", "bad").groupBy("oid").agg(F.max("bad").alias("bad"))
     seen = rows.join(labelled, rows["id"] == labelled["oid"]).filter("host <> ''").select("host", "bad")
-    known = host_reputation(seen).select(F.col("host").alias("h"), "mean", "sd")
+    every = rows.filter("host <> ''").select("host", F.lit(None).cast("boolean").alias("bad")).distinct()
+    known = host_reputation(seen.unionByName(every)).select(F.col("host").alias("h"), "mean", "sd")
     judged = rows.join(known, rows["host"] == F.col("h"), "left")
     block = F.coalesce(F.col("mean") - z * F.col("sd") > most_bad, F.lit(False))
     return judged.select(

@@ -7,6 +7,7 @@ import pytest
 from conftest_llm import SCHEMA
 
 from factline.llm import mixing
+from factline.llm.url_filter import judge_urls
 
 
 def test_pipeline_links_from_four_fifths_on(spark, table_of):
@@ -48,3 +49,13 @@ def test_mixture_of_many_sources(spark, table_of, monkeypatch, small):
     rows = [(i, "t", "en", f"s{i % 599}" if i % 3 else None, 1) for i in range(3000)]
     got = mixing.pfair_schedule(table_of(spark.createDataFrame(rows, SCHEMA)), block_rows=2).collect()
     assert sorted(r["mix_order"] for r in got) == list(range(3000)) and {(r["id"], r["source"]) for r in got} == {(i, s) for i, _, _, s, _ in rows}
+
+
+def test_fresh_hosts_are_judged_by_their_prior(spark):
+    urls = [(i, f"http://h{i % 5}.{'bad' if i % 2 else 'good'}.com/{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i, _ in urls], "id bigint, bad boolean")
+    fresh = [(1000, "http://new.bad.com/"), (1001, "http://new.good.com/"), (1002, "http://other.com/"), (1003, "http://x.org/"), (None, "http://n.bad.com/")]
+    pages = spark.createDataFrame(urls + fresh, "page_id bigint, url string")
+    got = {r["host"]: (r["verdict"], r["bad_mean"]) for r in judge_urls(pages, labels, rules=()).collect()}
+    assert [got[h][0] for h in ("new.bad.com", "n.bad.com", "new.good.com", "other.com", "x.org")] == ["block", "block", "allow", "allow", "allow"]
+    assert got["h1.bad.com"][0] == "block" and got["new.bad.com"][1] > 0.9 and got["x.org"][1] == pytest.approx(0.5)
