@@ -3,10 +3,12 @@
 import collections
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import SCHEMA
 
-from factline.llm import mixing
+from factline.llm import mixing, mixing_lm
 from factline.llm.url_filter import judge_urls
 
 
@@ -59,3 +61,22 @@ def test_fresh_hosts_are_judged_by_their_prior(spark):
     got = {r["host"]: (r["verdict"], r["bad_mean"]) for r in judge_urls(pages, labels, rules=()).collect()}
     assert [got[h][0] for h in ("new.bad.com", "n.bad.com", "new.good.com", "other.com", "x.org")] == ["block", "block", "allow", "allow", "allow"]
     assert got["h1.bad.com"][0] == "block" and got["new.bad.com"][1] > 0.9 and got["x.org"][1] == pytest.approx(0.5)
+
+
+def test_gates_learn_from_every_occurrence():
+    rng = np.random.default_rng(2)
+    x, bit, n = rng.normal(size=(3, mixing_lm.INPUTS)), np.array([1.0, 0.0, 1.0]), np.array([1000, 3, 40])
+    sets = sure = np.zeros(3, np.int64)
+    one, each = mixing_lm.Mixer(), mixing_lm.Mixer()
+    one.learn(x, sets, sure, bit, n.astype(float))
+    k = np.repeat(np.arange(3), n)
+    each.learn(x[k], sets[k], sure[k], bit[k], np.ones(len(k)))
+    assert one.weights == pytest.approx(each.weights) and one.pull == pytest.approx(each.pull)
+
+
+def test_counts_go_on_above_single_precision():
+    words = [b"a", *(b"a%d" % k for k in range(100))]
+    table = pa.table({"word": pa.array(words, pa.binary()), "train": pa.array([1 << 24] + [1] * 100, pa.int64())})
+    tables, *_ = mixing_lm._tables(np.zeros((mixing_lm._STARTS[-1], 2)), table)
+    bits = 8 * np.array([len(w) + 1 for w in words])  # each with the byte that closes it
+    assert tables[-1].total.astype(float).sum() == (bits * table["train"].to_numpy()).sum()
