@@ -10,7 +10,7 @@ from factline.llm.line_dedup import drop_repeated_lines
 from factline.llm.mixing import pfair_mix
 from factline.llm.quality import keep_good
 from factline.llm.queries import table
-from factline.llm.tables import written
+from factline.llm.tables import place_in_files, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every document, as piece ids."""
-    return sample_segmentations(docs, k=2)
+    """Two sampled segmentations of every document, as piece ids; position is the document's place in the mixture."""
+    return sample_segmentations(docs, k=2, position=place_in_files(docs))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram jaccard join", near_copies), ("source mixing", mixture), ("sentencepiece sampling", encode)]

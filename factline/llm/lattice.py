@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factline.llm import words as w
@@ -379,12 +379,13 @@ def sample_slice(pieces: Pieces, texts: list[bytes], keys: np.ndarray, k: int) -
     return out
 
 
-def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed: int = 1, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed: int = 1, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", position: Column | None = None) -> DataFrame:
     """k distinct segmentations of every whole text, drawn without replacement, and checked by decoding.
 
     Rows: id, sample (1 to k, best perturbed value first), n_pieces, logp, gumbel, log_inclusion,
     ids_sha256 (of the ids as little-endian 32-bit integers), roundtrip (the ids decode to the
-    text's bytes) and, with_ids, ids. log_inclusion is the log of 1 - exp(-exp(logp - bound)),
+    text's bytes), with_ids, ids, and, where a position (a bigint column of docs) is given, that.
+    log_inclusion is the log of 1 - exp(-exp(logp - bound)),
     with the best perturbed value left out as the bound: the chance that the segmentation
     exceeds it, so that weights p / inclusion estimate sums over all segmentations.
 
@@ -399,6 +400,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed:
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
     kind = docs.schema[id_col].dataType.simpleString()
+    placed = position is not None
     names = ["id", "sample", "n_pieces", "logp", "gumbel", "log_inclusion", "ids_sha256", "roundtrip"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,10 +418,12 @@ def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed:
                         for c, v in zip(cols, (r + 1, len(s.ids), s.logp, s.gumbel, float(pi), hashlib.sha256(s.ids.astype("<i4").tobytes()).hexdigest(), s.text_ok, s.ids), strict=False):
                             c.append(v)
                 types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=False)]], names)
+                at = pa.array(rows, pa.int64())
+                own = [batch["id"].take(at), *[pa.array(c, t) for c, t in zip(cols, types, strict=False)]]
+                yield pa.RecordBatch.from_arrays([*own, batch["position"].take(at)] if placed else own, names + ["position"] * placed)
 
-    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("h"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
-    schema = f"id {kind}, sample int, n_pieces long, logp double, gumbel double, log_inclusion double, ids_sha256 string, roundtrip boolean" + ", ids array<int>" * with_ids
+    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("h"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"), *([position.alias("position")] if placed else []))
+    schema = f"id {kind}, sample int, n_pieces long, logp double, gumbel double, log_inclusion double, ids_sha256 string, roundtrip boolean" + ", ids array<int>" * with_ids + ", position long" * placed
     return raw.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +64,18 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def place_in_files(df: DataFrame) -> Column:
+    """The place of each row of a table in the order in which it was written, as a bigint with gaps.
+
+    Part and file number come from the files' names, the rest is the row's index in its file.
+    Readers may pack the files in any order. Of what is not read from files, the scan's order.
+    """
+    try:
+        df.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    name = F.col("_metadata.file_name")
+    part, file = (F.coalesce(F.regexp_extract(name, p, 1).try_cast("long"), F.lit(0)) for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    return F.shiftleft(part, _ROW_BITS + 10) + F.shiftleft(file, _ROW_BITS) + F.col("_metadata.row_index")

@@ -80,3 +80,14 @@ def test_counts_go_on_above_single_precision():
     tables, *_ = mixing_lm._tables(np.zeros((mixing_lm._STARTS[-1], 2)), table)
     bits = 8 * np.array([len(w) + 1 for w in words])  # each with the byte that closes it
     assert tables[-1].total.astype(float).sum() == (bits * table["train"].to_numpy()).sum()
+
+
+def test_the_pipeline_ends_in_the_order_of_the_mixture(spark, table_of):
+    rows = [(i, f"text {i}", "en", "aaab"[i % 4], 6) for i in range(400)]
+    docs = table_of(spark.createDataFrame(rows, SCHEMA))
+    want = [r["id"] for r in mixing.pfair_schedule(docs).orderBy("mix_order").collect()]
+    mixed = table_of(corpus_pipeline.mixture(spark, docs, "").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"), "other")
+    assert len(mixed.inputFiles()) > 1
+    by = lambda t: [r["doc_id"] for r in corpus_pipeline.encode(spark, t, "").filter("sample = 1").orderBy("position").collect()]
+    assert by(mixed) == list(range(400))
+    assert by(table_of(corpus_pipeline.mixture(spark, docs, ""), "mixed")) == want
