@@ -47,7 +47,7 @@ def test_sources_of_weight_nought_come_last(spark, table_of):
 
 @pytest.mark.parametrize("small", [1 << 16, 10])
 def test_mixture_of_many_sources(spark, table_of, monkeypatch, small):
-    monkeypatch.setattr(mixing, "SMALL", small)
+    monkeypatch.setattr(mixing, "SMALL", small, raising=False)
     rows = [(i, "t", "en", f"s{i % 599}" if i % 3 else None, 1) for i in range(3000)]
     got = mixing.pfair_schedule(table_of(spark.createDataFrame(rows, SCHEMA)), block_rows=2).collect()
     assert sorted(r["mix_order"] for r in got) == list(range(3000)) and {(r["id"], r["source"]) for r in got} == {(i, s) for i, _, _, s, _ in rows}
