@@ -1,49 +1,31 @@
-"""A broadcast membership sketch of fixed size over a distributed set of keys."""
+"""A broadcast membership sketch over a distributed set of keys, as large as the set asks for."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factline.llm.words import Bitmap
 
-_PAGE = 16  # log2 of a page's bytes
+_PAGE = 15  # log2 of the bits that one bitmap_construct_agg buffer holds
 
 
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """The bytes of a Bitmap of the 64-bit keys in keys' one column.
+def bitmap_of(keys: DataFrame, count: int) -> np.ndarray:
+    """The bytes of a Bitmap of the `count` 64-bit keys in keys' one column.
 
-    Every task sends the pages of its own bitmap that have bits set; pages are merged on the
-    executors, and the driver gets 16 MB at most, however many keys there are. The result only
-    spares work: whoever asks it must check what it lets through.
+    Bits go to the task that owns their page and are set there, on the JVM; the driver gets the
+    finished pages, a byte a key or two, and 128 MB at most (from 2^27 keys on the bitmap lets
+    more through than it would). The result only spares work: whoever asks it must check what
+    it lets through.
     """
-    name = keys.columns[0]
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Bitmap()
-        for batch in batches:
-            own.add(batch[name].to_numpy(zero_copy_only=False).view(np.uint64))
-        pages = own.data.reshape(-1, 1 << _PAGE)
-        rows = []
-        for k in np.flatnonzero(pages.any(1)).tolist():
-            at = np.flatnonzero(pages[k])
-            few = 6 * len(at) < pages.shape[1]  # then only the bytes in use are sent, with their places
-            rows.append((k, at.astype(np.int32).tobytes() if few else b"", pages[k][at].tobytes() if few else pages[k].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["page", "at", "bits"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        page = np.zeros(1 << _PAGE, np.uint8)
-        for at, bits in zip(table["at"].to_pylist(), table["bits"].to_pylist(), strict=True):
-            page[np.frombuffer(at, np.int32) if at else slice(None)] |= np.frombuffer(bits, np.uint8)
-        return pa.table({"page": table["page"][:1], "bits": pa.array([page.tobytes()], pa.binary())})
-
-    whole = Bitmap()
-    pages = whole.data.reshape(-1, 1 << _PAGE)
-    merged = keys.select(F.col(name)).mapInArrow(part, "page int, at binary, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary")
-    for row in merged.toLocalIterator():
-        pages[row["page"]] |= np.frombuffer(row["bits"], np.uint8)
+    bits = Bitmap.bits_for(count)
+    name = f"`{keys.columns[0]}`"
+    mask = (1 << bits) - 1
+    places = keys.select(F.explode(F.expr(f"array({name} & {mask}L, shiftrightunsigned({name}, {64 - bits}) & {mask}L)")).alias("p"))
+    pages = places.select(F.shiftright("p", _PAGE).alias("page"), F.col("p").bitwiseAND(F.lit((1 << _PAGE) - 1)).alias("bit")).repartition("page")
+    whole = Bitmap.empty(bits)
+    at = whole.data.reshape(-1, 1 << (_PAGE - 3))
+    for row in pages.groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toLocalIterator():
+        at[row["page"]] = np.frombuffer(row["bits"], np.uint8)
     return whole.data

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from factline.llm import words as w
 from factline.llm.bitmaps import bitmap_of
 from factline.llm.components import components
-from factline.llm.tables import cut, written
+from factline.llm.tables import cut, hot_keys, join_groups, written
 
-SKETCH_BITS = 22  # buckets of the frequency sketch: 16 MB broadcast, whatever the input
-_PAGE_BITS = 16
-_MASK = np.uint64((1 << SKETCH_BITS) - 1)
+LEAST_BITS, MOST_BITS = 16, 24  # log2 of the cells of the frequency sketch: a byte each in the broadcast, four in a task
+_PAGE_BITS = 12
+_FAN = 512  # map tasks' pages are summed in this many groups, and then these
+_MEMBERS = 256  # pairs verified against one copy of a hub's text
 
 
 @dataclass(frozen=True)
@@ -62,18 +63,18 @@ def _sig(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
 
-def _survey(terms: Terms):
+def _survey(terms: Terms, bits: int):
     """Per text: size and signature of its set (kind 0); per task: pages of element counts (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         names, id_type = ["kind", "id", "tag", "page", "n", "sig"], None
         for batch in batches:
             id_type = batch["id"].type
             for lo, hi, data, offsets in w.slices(batch):
                 sets = list(sets_of(data, offsets, terms.n))
-                whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                np.add.at(counts, (whole & _MASK).astype(np.int64), 1)
+                cells, seen = np.unique((np.concatenate(sets) & np.uint64((1 << bits) - 1)).astype(np.uint32), return_counts=True)
+                counts[cells] += seen.astype(np.uint32)
                 none = [0] * (hi - lo)
                 yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), batch["id"].slice(lo, hi - lo), batch["tag"].slice(lo, hi - lo), pa.array(none, pa.int32()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sig(s) for s in sets], pa.binary())], names)
         pages = counts.reshape(-1, 1 << _PAGE_BITS)
@@ -83,7 +84,7 @@ def _survey(terms: Terms):
                 [pa.array([1] * len(full), pa.int32()), pa.nulls(len(full), id_type), pa.nulls(len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([0] * len(full), pa.int64()), pa.array([_packed(pages[k]) for k in full], pa.binary())], names
             )
 
-    return run
+    return w.tidy(run)
 
 
 def _packed(page: np.ndarray) -> bytes:
@@ -93,17 +94,23 @@ def _packed(page: np.ndarray) -> bytes:
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.int64)
+    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.uint64)
 
 
-def _sketch(pages: DataFrame) -> np.ndarray:
-    def merge(table: pa.Table) -> pa.Table:
-        total = sum(_unpacked(b) for b in table["sig"].to_pylist())
-        return pa.table({"page": table["page"][:1], "sig": pa.array([total.tobytes()], pa.binary())})
+def _sketch(pages: DataFrame, bits: int) -> np.ndarray:
+    """Grades of the cells' counts over all tasks, four to a doubling; pages are summed in a tree of two levels."""
 
-    out = np.zeros((1 << (SKETCH_BITS - _PAGE_BITS), 1 << _PAGE_BITS), np.uint32)
-    for row in pages.select("page", "sig").groupBy("page").applyInArrow(merge, "page int, sig binary").toLocalIterator():
-        out[row["page"]] = np.minimum(np.frombuffer(row["sig"], np.int64), np.iinfo(np.uint32).max)  # an order is all that is needed
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << _PAGE_BITS, np.uint64)
+        for b in table["sig"]:
+            total += _unpacked(b.as_py())
+        return pa.table({"page": table["page"][:1], "sig": pa.array([_packed(total)], pa.binary())})
+
+    out = np.zeros((1 << (bits - _PAGE_BITS), 1 << _PAGE_BITS), np.uint8)
+    some = pages.select("page", "sig", F.pmod(F.spark_partition_id(), F.lit(_FAN)).alias("part"))
+    once = some.groupBy("page", "part").applyInArrow(merge, "page int, sig binary")
+    for row in once.groupBy("page").applyInArrow(merge, "page int, sig binary").toLocalIterator():
+        out[row["page"]] = (4 * np.log2(_unpacked(row["sig"]) + 1.0)).astype(np.uint8)
     return out.ravel()
 
 
@@ -111,7 +118,8 @@ def _prefixes(terms: Terms, sketch: Broadcast, shared: Broadcast | None):
     """Index entries, once for all equal sets of a task. Without `shared`: element and row; with it: entries of shared elements in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        grades = sketch.value
+        mask = np.uint64(len(grades) - 1)
         known = shared and w.Bitmap(shared.value)
         seen: set[bytes] = set()
         for batch in batches:
@@ -121,7 +129,7 @@ def _prefixes(terms: Terms, sketch: Broadcast, shared: Broadcast | None):
                 for k, s in enumerate(sets_of(data, offsets, terms.n)):
                     if len(s) and (sig := _sig(s)) not in seen:
                         seen.add(sig)
-                        heads.append(s[np.argsort(counts[(s & _MASK).astype(np.int64)], kind="stable")[: terms.prefix(len(s))]])
+                        heads.append(s[np.argsort(grades[(s & mask).astype(np.int64)], kind="stable")[: terms.prefix(len(s))]])
                         sizes.append(len(s)), rows.append(lo + k)
                         sigs.append(sig)
                 if not heads:
@@ -138,7 +146,7 @@ def _prefixes(terms: Terms, sketch: Broadcast, shared: Broadcast | None):
                     [pa.array(t[hit].view(np.int64)), pa.array(sigs, pa.binary()).take(pa.array(of)), pa.array(at[np.array(rows)[of]]), pa.array(np.array(sizes, np.int64)[of]), pa.array(place[hit])], ["t", "sig", "at", "n", "i"]
                 )
 
-    return run
+    return w.tidy(run)
 
 
 def _chosen(terms: Terms, wanted: Broadcast):
@@ -152,21 +160,30 @@ def _chosen(terms: Terms, wanted: Broadcast):
                 keep = np.flatnonzero(known.has(np.frombuffer(b"".join(s[:8] for s in sigs), ">u8").astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()).take(pa.array(keep)), batch["raw"].slice(lo, hi - lo).take(pa.array(keep))], ["sig", "raw"])
 
-    return run
+    return w.tidy(run)
+
+
+def plain_set(text: bytes, n: int) -> set[bytes]:
+    """A text's shingles by their words."""
+    words = text.translate(w.LOWER.tobytes()).split()
+    return {b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
 
 
 def _verified(terms: Terms):
-    def sets(col: pa.Array) -> list[np.ndarray]:
-        texts = col.to_pylist()
-        offsets = np.cumsum([0, *map(len, texts)])
-        return list(sets_of(np.frombuffer(b"".join(texts), np.uint8), offsets, terms.n))
+    """Overlaps, counted by the words themselves, of each hub's set with the sets of the rows that follow it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub: set[bytes] = set()
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets(part["ra"]), sets(part["rb"]), strict=True)]
-                yield pa.RecordBatch.from_arrays([part["a"], part["b"], part["na"], part["nb"], pa.array(common, pa.int64())], ["a", "b", "na", "nb", "o"])
+            rows, common = [], []
+            for k, (a, raw) in enumerate(zip(batch["a"], batch["raw"], strict=True)):
+                own = plain_set(raw.as_py(), terms.n)
+                if a.is_valid:
+                    rows.append(k), common.append(len(own & hub))
+                else:
+                    hub = own
+            part = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part["a"], part["b"], part["na"], part["nb"], pa.array(common, pa.int64())], ["a", "b", "na", "nb", "o"])
 
     return run
 
@@ -175,7 +192,8 @@ def jaccard_components(docs: DataFrame, terms: Terms = Terms(), id_col: str = "d
     """Classes of texts joined by links of Jaccard similarity terms.percent / 100 or more.
 
     Equal sets are one node. Elements are ordered by a count sketch of the whole table, rarest
-    first, so linked sets share an element among their first few (Terms.prefix); only elements
+    first (its cells follow the size of the texts up to 2^24; past that, elements stand out that
+    are more frequent than the root of a cell's load), so linked sets share an element among their first few (Terms.prefix); only elements
     that two rows share are indexed. An index list is cut into blocks of similar size, and an
     entry at position i of a set of n is skipped against one at j of m when the elements left
     after both positions cannot make up the overlap that a link needs.
@@ -185,7 +203,8 @@ def jaccard_components(docs: DataFrame, terms: Terms = Terms(), id_col: str = "d
     overlaps with a common first document h: with p = |x & h| and q = |y & h|,
     p + q - |h| <= |x & y| <= min(p, q) + min(|x| - p, |y| - q), so only pairs between the
     bounds are verified. No link between different classes is lost, and groups of copies are
-    never expanded into pairs.
+    never expanded into pairs. Overlaps are counted by the shingles' words; sets count as equal
+    by 128 bits of their elements' hashes.
 
     Returns id, n_shingles, component_id (least id of the class). Nulls: a null or wordless
     text has an empty set and is a class of its own; a null id takes part and is the class's
@@ -218,22 +237,28 @@ def _classified(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> Da
     raw = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
     seen = raw.select("key", "raw").withColumn("at", F.monotonically_increasing_id())
 
-    survey = cut(raw.select("id", "tag", "raw").mapInArrow(_survey(terms), f"kind int, id {kind}, tag long, page int, n long, sig binary"))
-    sketch = sc.broadcast(_sketch(survey.filter("kind = 1")))
+    size = raw.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size >> 8).bit_length()))
+    survey = cut(raw.select("id", "tag", "raw").mapInArrow(_survey(terms, bits), f"kind int, id {kind}, tag long, page int, n long, sig binary"))
+    sketch = sc.broadcast(_sketch(survey.filter("kind = 1"), bits))
 
     found = seen.select("at", "raw").mapInArrow(_prefixes(terms, sketch, None), "t long, at long")
-    again = found.groupBy("t").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a < b").select("t")
-    shared = sc.broadcast(bitmap_of(again))
+    again = written(found.groupBy("t").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a < b").select("t"))
+    shared = sc.broadcast(bitmap_of(again, again.count()))
     entries = seen.select(F.col("key").alias("at"), "raw").mapInArrow(_prefixes(terms, sketch, shared), "t long, sig binary, at long, n long, i long")
     # one shuffle by element: equal sets met in each task already, so no element is hotter here than in the index
     entries = entries.repartition("t").groupBy("t", "sig", "n", "i").agg(F.min("at").alias("key"))
     entries = written(entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("t"))).filter("c > 1").drop("c"))
     sketch.destroy(), shared.destroy()
     labels = _classes(raw, entries, terms)
-    rows = cut(survey.filter("kind = 0").join(labels, F.col("sig") == F.col("v"), "left").select("id", "tag", "n", F.coalesce("label", "sig").alias("label")))
-    least_id = rows.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id")).withColumnRenamed("label", "l")
-    out = rows.join(least_id, (F.col("label") == F.col("l")) & (F.col("n") > 0), "left")
-    return out.select("id", "tag", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    rows = survey.filter("kind = 0").select("id", "tag", "n", "sig")
+    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least")).join(labels, F.col("sig") == F.col("v"), "left")
+    classes = cut(classes.select("sig", "least", F.coalesce("label", "sig").alias("label")))
+    least_id = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    classes = cut(join_groups(classes, least_id, ["label"], hot_keys(classes, ["label"])).select("sig", "label", "component_id"))
+    full = rows.filter("n > 0")
+    full = join_groups(full, classes, ["sig"], hot_keys(full, ["sig"])).select("id", "tag", "n", "label", "component_id")
+    return full.union(rows.filter("n = 0").select("id", "tag", "n", "sig", F.col("id")))
 
 
 def _classes(raw: DataFrame, entries: DataFrame, terms: Terms) -> DataFrame:
@@ -248,14 +273,17 @@ def _classes(raw: DataFrame, entries: DataFrame, terms: Terms) -> DataFrame:
         return terms.fits(n, m) & (1 + F.least(n - i - 1, m - j - 1) >= terms.overlap(n, m))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Adds o = |a & b|. Only the texts of signatures in pairs are shuffled, once to each side."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("s"))
-        wanted = sc.broadcast(bitmap_of(ends.distinct().select(as_long(F.col("s")).alias("s"))))
-        texts = raw.select("raw").mapInArrow(_chosen(terms, wanted), "sig binary, raw binary").groupBy("sig").agg(F.first("raw").alias("raw"))
-        a = texts.select(F.col("sig").alias("sa"), F.col("raw").alias("ra"))
-        b = texts.select(F.col("sig").alias("sb"), F.col("raw").alias("rb"))
-        both = pairs.join(a, F.col("a") == F.col("sa")).join(b, F.col("b") == F.col("sb"))
-        out = cut(both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_verified(terms), "a binary, b binary, na long, nb long, o long"))
+        """Adds o = |a & b|. Pairs carry a's text; b's goes before each _MEMBERS of them, so no pair and no group holds more than two texts."""
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().select(as_long(F.col("s")).alias("s")))
+        wanted = sc.broadcast(bitmap_of(ends, ends.count()))
+        texts = written(raw.select("raw").mapInArrow(_chosen(terms, wanted), "sig binary, raw binary").groupBy("sig").agg(F.first("raw").alias("raw")))
+        hubs = pairs.groupBy("b").agg(F.expr(f"count(1) div {_MEMBERS} + 1").alias("parts"))
+        members = join_groups(pairs, hubs, ["b"], hot_keys(pairs, ["b"])).withColumn("part", F.expr("pmod(xxhash64(a), parts)")).join(texts.withColumnRenamed("sig", "a"), "a")
+        heads = hubs.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("sig", "b"), "b")
+        none = F.lit(None)
+        rows = members.select("b", "part", "a", "na", "nb", "raw").union(heads.select("b", "part", none.cast("binary"), none.cast("long"), none.cast("long"), "raw"))
+        rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+        out = cut(rows.select("a", "b", "na", "nb", "raw").mapInArrow(_verified(terms), "a binary, b binary, na long, nb long, o long"))
         wanted.destroy()
         return out
 

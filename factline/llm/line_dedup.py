@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factline.llm.tables import cut, ordered_index
+from factline.llm.tables import cut, hot_keys, join_groups, ordered_index, written
 
 NO_ID = (1 << 63) - 1
+BROADCAST_DOCS = 500_000  # texts with runs, 16 bytes each, up to which the others need no shuffle
+TEXT = ["t1", "t2"]  # 128 bits of a row's id and text: they name it wherever and however often the table is scanned
 
 
 def _ranked(names: DataFrame, keys: list[str]) -> DataFrame:
@@ -15,15 +17,20 @@ def _ranked(names: DataFrame, keys: list[str]) -> DataFrame:
     return ordered_index(names.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), keys, "r")
 
 
+def tags(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    of = [F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(id_col).isNull(), F.col(text_col)]
+    return [F.xxhash64(*of).alias("t1"), F.xxhash64(F.lit(7), *of).alias("t2")]
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every line: row, key (order of texts), pos, 128 bits that name the line, and its weight (code points + 1)."""
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).alias("text"))
-    lines = texts.select("row", "key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.select("row", "key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), (F.length("line") + 1).cast("long").alias("w"))
+    """Every line: the text's tag and key (order of texts), pos, 128 bits that name the line, and its weight (code points + 1)."""
+    texts = docs.select(*tags(docs, id_col, text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).alias("text"))
+    lines = texts.select(*TEXT, "key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.select(*TEXT, "key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), (F.length("line") + 1).cast("long").alias("w"))
 
 
 def suffix_ranks(lines: DataFrame, deepest: int) -> list[DataFrame]:
-    """Levels k = 0, 1, ...: rank r of the 2^k lines from (row, pos) on, where that run occurs twice.
+    """Levels k = 0, 1, ...: rank r of the 2^k lines from (text, pos) on, where that run occurs twice.
 
     Ranks keep the order of the runs, so level k sorts the suffixes by their first 2^k lines,
     and suffixes share an LCP interval of depth 2^k or more just when their ranks are equal.
@@ -32,68 +39,106 @@ def suffix_ranks(lines: DataFrame, deepest: int) -> list[DataFrame]:
     `deepest` lines, or when nothing repeats.
     """
     ids = _ranked(lines, ["h1", "h2"])
-    level = cut(lines.join(ids, ["h1", "h2"]).select("row", "pos", "r"))
+    level = cut(join_groups(lines.select(*TEXT, "pos", "h1", "h2"), ids, ["h1", "h2"], hot_keys(lines, ["h1", "h2"])).select(*TEXT, "pos", "r"))
     levels = [level]
     while 2 ** len(levels) <= deepest:
         step = 2 ** (len(levels) - 1)
-        ahead = Window.partitionBy("row").orderBy("pos").rangeBetween(step, step)
+        ahead = Window.partitionBy(*TEXT).orderBy("pos").rangeBetween(step, step)
         pairs = cut(level.withColumn("b", F.max("r").over(ahead)).filter("b is not null").withColumnRenamed("r", "a"))
-        level = cut(pairs.join(_ranked(pairs, ["a", "b"]), ["a", "b"]).select("row", "pos", "r"))
+        level = cut(join_groups(pairs, _ranked(pairs, ["a", "b"]), ["a", "b"], hot_keys(pairs, ["a", "b"])).select(*TEXT, "pos", "r"))
         if not level.limit(1).count():
             break
         levels.append(level)
     return levels
 
 
-def repeated_runs(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The maximal runs of lines to delete: row (scan position of the text), start, stop.
+def windows_of(lines: DataFrame, min_chars: int) -> DataFrame:
+    """len: how many lines the shortest run from each line on has that holds min_chars code points; null past the last such."""
+    text = Window.partitionBy(*TEXT)
+    upto = text.orderBy("pos")
+    lines = lines.withColumn("before", F.sum("w").over(upto) - F.col("w")).withColumn("total", F.sum("w").over(text))
+    near = F.count(F.lit(1)).over(text.orderBy("before").rangeBetween(0, min_chars - 1))
+    return lines.withColumn("len", F.when(F.col("total") - F.col("before") >= min_chars, near).cast("int"))
+
+
+def repeated_runs(lines: DataFrame, min_chars: int) -> DataFrame:
+    """The maximal runs of lines to delete: t1, t2 (the text), start, stop. lines: line_table's, each text once.
 
     The window of a line is the shortest run from it on that holds min_chars code points
     (line ends count); equal windows have equal numbers of lines. A window of n lines,
     2^k <= n < 2^(k+1), is named by the level-k ranks of its first and its last 2^k lines, that
-    is by its LCP interval of depth n; each interval's first member in (id, row, pos) order is
+    is by its LCP interval of depth n; each interval's first member in (id, tag, pos) order is
     the copy that stays, and the other windows are deleted. Overlapping and adjacent windows
     make one maximal run. As windows weigh min_chars, their lines, and so the rounds, are bounded.
     """
-    lines = line_table(docs, id_col, text_col)
-    text = Window.partitionBy("row")
-    upto = text.orderBy("pos")
-    lines = lines.withColumn("before", F.sum("w").over(upto) - F.col("w"))
-    lines = lines.withColumn("total", F.sum("w").over(text)).withColumn("n", F.count(F.lit(1)).over(text))
-    near = F.count(F.lit(1)).over(text.orderBy("before").rangeBetween(0, min_chars - 1))
-    lines = cut(lines.withColumn("len", F.when(F.col("total") - F.col("before") >= min_chars, near)).select("row", "key", "pos", "h1", "h2", "len"))
+    lines = cut(windows_of(lines, min_chars).select(*TEXT, "key", "pos", "h1", "h2", "len"))
     deepest = lines.agg(F.max("len").alias("m")).first()["m"] or 0
-    starts = lines.filter("len is not null").select("row", "key", "pos", F.col("len").cast("int").alias("len"))
+    starts = lines.filter("len is not null").select(*TEXT, "key", "pos", "len")
+    fields = [*TEXT, "key", "pos", "len", "ra", "rb"]
     named = None
     for k, level in enumerate(suffix_ranks(lines, deepest)):
         head = level.withColumnRenamed("r", "ra")
-        mine = starts.filter((F.col("len") >= 2**k) & (F.col("len") < 2 ** (k + 1))).join(head, ["row", "pos"])
+        mine = starts.filter((F.col("len") >= 2**k) & (F.col("len") < 2 ** (k + 1))).join(head, [*TEXT, "pos"])
         if k:
-            tail = level.select(F.col("row").alias("trow"), F.col("pos").alias("tpos"), F.col("r").alias("rb"))
-            mine = mine.join(tail, (F.col("row") == F.col("trow")) & (F.col("pos") + F.col("len") - 2**k == F.col("tpos"))).drop("trow", "tpos")
+            tail = level.withColumnRenamed("r", "rb").withColumnRenamed("pos", "at")
+            mine = mine.withColumn("at", F.col("pos") + F.col("len") - 2**k).join(tail, [*TEXT, "at"])
         else:
             mine = mine.withColumn("rb", F.col("ra"))
-        named = mine.select("row", "key", "pos", "len", "ra", "rb") if named is None else named.unionByName(mine.select("row", "key", "pos", "len", "ra", "rb"))
+        named = mine.select(fields) if named is None else named.unionByName(mine.select(fields))
     named = cut(named)
-    place = F.struct("key", "row", "pos")
-    first = named.groupBy("len", "ra", "rb").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    later = named.join(first, ["len", "ra", "rb"]).filter(place > F.col("first")).select("row", "pos", (F.col("pos") + F.col("len")).alias("stop"))
+    place = F.struct("key", *TEXT, "pos")
+    first = named.groupBy("len", "ra", "rb").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    later = join_groups(named, first, ["len", "ra", "rb"], hot_keys(named, ["len", "ra", "rb"])).filter(place > F.col("first")).select(*TEXT, "pos", (F.col("pos") + F.col("len")).alias("stop"))
     # merge overlapping and adjacent windows
-    order = Window.partitionBy("row").orderBy("pos", "stop")
+    order = Window.partitionBy(*TEXT).orderBy("pos", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.withColumn("new", F.when(F.col("pos") <= reach, 0).otherwise(1))
     runs = marked.withColumn("g", F.sum("new").over(order))
-    return runs.groupBy("row", "g").agg(F.min("pos").alias("start"), F.max("stop").alias("stop")).drop("g")
+    return runs.groupBy(*TEXT, "g").agg(F.min("pos").alias("start"), F.max("stop").alias("stop")).drop("g")
+
+
+_RUNS = "array<struct<start:int,stop:int>>"
+
+
+def _with_runs(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """_doc (the input row) and _runs, the sorted runs to delete from it.
+
+    Rows alike in id and text share a tag. Of those, which are few or none, one is the first;
+    they are written with a number, so that it is the same one however often they are read.
+    Rows are matched to runs by tag, never by their place in a scan.
+    """
+    none = F.array().cast(_RUNS)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *tags(docs, id_col, text_col))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *tags(docs, id_col, text_col))
+    again = cut(plain.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
+    repeated = again.limit(1).count() > 0
+    if repeated:
+        copies = written(rows.join(again, TEXT).withColumn("_n", F.monotonically_increasing_id()))
+        firsts = cut(copies.groupBy(*TEXT).agg(F.min("_n").alias("_n")))
+        rows = rows.join(again, TEXT, "left_anti").unionByName(copies.join(firsts, [*TEXT, "_n"]).drop("_n"))
+        plain = rows.select(F.col("_doc")[id_col].alias("id"), F.col("_doc")[text_col].alias("text"))
+    lines = line_table(plain, "id", "text")
+    runs = repeated_runs(lines, min_chars).groupBy(*TEXT).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
+    runs = cut(runs)
+    some = runs.select(*TEXT)
+    if runs.count() <= BROADCAST_DOCS:  # then rows without runs are done before the join
+        some = F.broadcast(some)
+        out = rows.join(some, TEXT, "left_anti").select("_doc", none.alias("_runs"))
+        out = out.unionByName(rows.join(some, TEXT, "left_semi").join(runs, TEXT).select("_doc", "_runs"))
+    else:
+        out = rows.join(runs, TEXT, "left").select("_doc", F.coalesce("_runs", none).alias("_runs"))
+    if repeated:
+        # a later copy's every window repeats the first copy's: all is deleted up to the last window's end
+        upto = windows_of(line_table(plain, "id", "text").join(again, TEXT, "left_semi"), min_chars).groupBy(*TEXT).agg(F.max(F.col("pos") + F.col("len")).alias("stop"))
+        later = copies.join(firsts, [*TEXT, "_n"], "left_anti").join(upto, TEXT, "left")
+        run = F.array(F.struct(F.lit(0).alias("start"), F.col("stop").alias("stop"))).cast(_RUNS)
+        out = out.unionByName(later.select("_doc", F.when(F.col("stop").isNull(), none).otherwise(run).alias("_runs")))
+    return out
 
 
 def _deduped(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_doc (the input row), _kept, _n_lines, _n_removed and _n_runs; see line_dedup."""
-    runs = repeated_runs(docs, min_chars, id_col, text_col)
-    runs = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs")).withColumnRenamed("row", "_rrow")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    whole = docs.select(F.struct(*columns).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
-    both = whole.join(runs, F.col("_row") == F.col("_rrow"), "left").select("_doc", F.coalesce("runs", F.array().cast("array<struct<start:int,stop:int>>")).alias("_runs"))
-    both = both.withColumn("_lines", F.split(F.col("_doc")[text_col], "\n", -1))
+    both = _with_runs(docs, min_chars, id_col, text_col).withColumn("_lines", F.split(F.col("_doc")[text_col], "\n", -1))
     n, r = F.size("_lines"), F.size("_runs")
 
     def gap(i: Column) -> Column:
@@ -114,14 +159,14 @@ def _deduped(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text
 def line_dedup(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Delete later copies of repeated line runs (see repeated_runs) from every text.
 
-    docs must list its rows alike each time it is read (a table does): texts are matched to
-    their runs by scan position. Returns every input column, then _kept (the text without the
-    deleted lines), _n_lines, _n_removed and _n_runs.
+    Returns every input column, then _kept (the text without the deleted lines), _n_lines,
+    _n_removed and _n_runs. A line's copies are later by id, then by a hash of id and text.
 
-    Nulls: a null text has no lines and stays null; a null id sorts after all others. Of rows
-    alike in id the one scanned first is the earlier. An empty text is one empty line. A text
-    whose every line goes becomes the empty string. Empty tables give no rows. Other columns
-    are carried as they are; an added name that is taken gets one more underscore in front.
+    Ids must be whole numbers, or strings of such. Nulls: a null text has no lines and stays
+    null; a null id sorts after all others. Of rows alike in id and text any one is the first,
+    and the others lose what repeats. An empty text is one empty line. A text whose every line
+    goes becomes the empty string. Empty tables give no rows. Other columns are carried as they
+    are; an added name that is taken gets one more underscore in front.
     """
     out = _deduped(docs, min_chars, id_col, text_col)
     names = {n: n for n in ("_kept", "_n_lines", "_n_removed", "_n_runs")}
@@ -134,7 +179,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", te
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with line_dedup's texts; rows that lost every line are left out.
 
-    A count column n_chars, where there is one, follows the new text.
+    A count column n_chars, where there is one, follows the new text. Nulls, empty texts,
+    repeated rows and empty tables: as there. Columns of any other name are carried.
     """
     out = _deduped(docs, min_chars, id_col, text_col).filter("_n_removed = 0 or _n_removed < _n_lines")
     new = {text_col: F.col("_kept")}

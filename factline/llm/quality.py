@@ -14,7 +14,9 @@ from factline.llm import words as w
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("one", "short", "long", "symbols", "upper", "digits", "marks", "shouted", "ends well", "starts well", "echo", "no letters", "word length")
 CONTENT, BOILERPLATE = 0, 1
-TRAIN_DOCS, TRAIN_LINES, TRAIN_CHARS = 1000, 64, 1 << 17  # bounds of the labelled sample the field is fitted on
+TRAIN_DOCS = 1000  # bound of the labelled sample that the field is fitted on; its texts are taken whole
+LEAST_LABELLED = 5  # texts of either label without which the field is not fitted, but LineField.PRIOR taken
+SEGMENT = 64  # lines after which a training chain is cut in two
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -82,7 +84,7 @@ def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_s
 class LineField:
     """A two-label chain: label scores linear in the features, and a score for each step."""
 
-    #: Used where there are too few labels to fit: marks and shouting speak for boilerplate.
+    #: Used without labels, or with fewer than LEAST_LABELLED texts of a label: marks and shouting speak for boilerplate.
     PRIOR = {"one": -1.5, "symbols": 3.0, "marks": 2.0, "shouted": 3.0, "upper": 2.0, "echo": 3.0, "no letters": 2.0}
 
     def __init__(self, weights: np.ndarray | None = None, steps: np.ndarray | None = None):
@@ -108,71 +110,88 @@ class LineField:
         return np.array(out[::-1])
 
     @classmethod
-    def fit(cls, texts: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.15, ridge: float = 1e-3) -> LineField:
-        """Ascend the conditional likelihood. texts: features of a text's lines, and their common label."""
-        if min((sum(y == k for _, y in texts) for k in (0, 1)), default=0) < 5:
+    def fit(cls, texts: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.15, ridge: float = 1e-3, step_ridge: float = 0.05) -> LineField:
+        """Ascend the conditional likelihood. texts: features of all of a text's lines, and their common label.
+
+        Chains are cut into segments of SEGMENT lines: every line and all steps but one in
+        SEGMENT count, and a round takes SEGMENT vector steps whatever the longest text. Both
+        labels weigh alike, and so do all texts of a label. As one text's lines share a label,
+        no step between labels is ever seen; step_ridge holds the scores of steps back.
+        """
+        if min((sum(y == k for _, y in texts) for k in (0, 1)), default=0) < LEAST_LABELLED:
             return cls()
-        texts = sorted(texts, key=lambda t: -len(t[0]))
-        lengths = np.array([len(x) for x, _ in texts])
-        x = np.zeros((len(texts), lengths[0], len(FEATURES)))
-        for k, (f, _) in enumerate(texts):
-            x[k, : len(f)] = f
-        y = np.array([label for _, label in texts])
-        weigh = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()) / lengths  # both labels, and all texts, alike
+        labels = np.array([y for _, y in texts])
+        alike = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean()) / np.array([len(f) for f, _ in texts])
+        parts = [(f[lo : lo + SEGMENT], y, v) for (f, y), v in zip(texts, alike.tolist(), strict=True) for lo in range(0, len(f), SEGMENT)]
+        parts.sort(key=lambda p: -len(p[0]))
+        lengths = np.array([len(p[0]) for p in parts])
+        y, weigh = np.array([p[1] for p in parts]), np.array([p[2] for p in parts])
         live = [int((lengths > t).sum()) for t in range(lengths[0])]
+        to = np.cumsum([0, *live])  # lines lie by place in their segment, then by segment
+        x = np.concatenate([np.stack([p[0][t] for p in parts[:k]]) for t, k in enumerate(live)])
         theta, m, v = np.zeros(len(FEATURES) + 4), 0.0, 0.0
+        keep = np.r_[np.full(len(FEATURES), ridge), np.full(4, step_ridge)]
         for r in range(1, rounds + 1):
             steps, s = theta[-4:].reshape(2, 2), x @ theta[:-4]
-            fwd, bwd = np.zeros((*s.shape, 2)), np.zeros((*s.shape, 2))
-            fwd[:, 0, 1] = s[:, 0]
+            fwd, bwd = np.zeros((len(x), 2)), np.zeros((len(x), 2))
+            fwd[: live[0], 1] = s[: live[0]]
             for t in range(1, len(live)):
-                k = live[t]
-                fwd[:k, t] = np.logaddexp(fwd[:k, t - 1, :1] + steps[0], fwd[:k, t - 1, 1:] + steps[1])
-                fwd[:k, t, 1] += s[:k, t]
+                k, a, b = live[t], to[t - 1], to[t]
+                fwd[b : b + k] = np.logaddexp(fwd[a : a + k, :1] + steps[0], fwd[a : a + k, 1:] + steps[1])
+                fwd[b : b + k, 1] += s[b : b + k]
             for t in range(len(live) - 2, -1, -1):
-                k = live[t + 1]
-                onward = bwd[:k, t + 1].copy()
-                onward[:, 1] += s[:k, t + 1]
-                bwd[:k, t] = np.logaddexp(steps[:, 0] + onward[:, :1], steps[:, 1] + onward[:, 1:])
-            rows = np.arange(len(texts))
-            z = np.logaddexp(*fwd[rows, lengths - 1].T)
-            on = np.arange(len(live)) < lengths[:, None]
-            p = np.where(on, np.exp(np.minimum(fwd[..., 1] + bwd[..., 1] - z[:, None], 0)), 0)
-            grad = np.einsum("kt,ktf->f", (y[:, None] * on - p) * weigh[:, None], x)
+                k, a, b = live[t + 1], to[t], to[t + 1]
+                onward = bwd[b : b + k].copy()
+                onward[:, 1] += s[b : b + k]
+                bwd[a : a + k] = np.logaddexp(steps[:, 0] + onward[:, :1], steps[:, 1] + onward[:, 1:])
+            z = np.logaddexp(*fwd[to[lengths - 1] + np.arange(len(parts))].T)
+            of = np.concatenate([np.arange(k) for k in live])
+            p = np.exp(np.minimum(fwd[:, 1] + bwd[:, 1] - z[of], 0))
+            grad = ((y[of] - p) * weigh[of]) @ x
+            here = np.concatenate([np.arange(to[t], to[t] + live[t + 1]) for t in range(len(live) - 1)]).astype(np.int64) if len(live) > 1 else np.zeros(0, np.int64)
+            after = np.arange(live[0], len(x))
             pair = np.zeros((2, 2))
             for a in (0, 1):
                 for b in (0, 1):
-                    e = fwd[:, :-1, a] + steps[a, b] + (s[:, 1:] if b else 0) + bwd[:, 1:, b] - z[:, None]
-                    seen = (lengths - 1) * ((y == a) & (y == b))
-                    pair[a, b] = ((seen - np.where(on[:, 1:], np.exp(np.minimum(e, 0)), 0).sum(1)) * weigh).sum()
-            g = np.r_[grad, pair.ravel()] / len(texts) - ridge * theta
+                    e = fwd[here, a] + steps[a, b] + (s[after] if b else 0) + bwd[after, b] - z[of[after]]
+                    seen = ((lengths - 1) * ((y == a) & (y == b)) * weigh).sum()
+                    pair[a, b] = seen - (np.exp(np.minimum(e, 0)) * weigh[of[after]]).sum()
+            g = np.r_[grad, pair.ravel()] / len(texts) - keep * theta
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta + rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
-        return cls(theta[:-4], np.clip(theta[-4:].reshape(2, 2), -2, 2))
+        return cls(theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def _features_of(raw: bytes) -> np.ndarray:
-    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
-    starts, ends, _ = w.boundaries(data, offsets)
-    a, b, _ = lines_of(data, offsets)
-    return line_features(data, a, b, starts, w.word_hashes(data, starts, ends))[0]
+def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's features, a row of single-precision numbers a line."""
+    for batch in batches:
+        rows = []
+        for _, _, data, offsets in w.slices(batch):
+            starts, ends, _ = w.boundaries(data, offsets)
+            a, b, firsts = lines_of(data, offsets)
+            found = line_features(data, a, b, starts, w.word_hashes(data, starts, ends))[0].astype(np.float32)
+            rows += [found[lo:hi].tobytes() for lo, hi in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["label"], pa.array(rows, pa.binary())], ["label", "features"])
 
 
 def fit_field(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> LineField:
-    """Fit on at most TRAIN_DOCS labelled texts (least hash of the id first), TRAIN_LINES lines and TRAIN_CHARS characters each.
+    """Fit on at most TRAIN_DOCS labelled texts, half of either label, those with the least hash of the id.
 
-    labels: (id, quality 0/1). All lines of a text of quality 0 count as boilerplate.
+    labels: (id, quality 0/1); an id labelled both ways is bad. All lines of a text of quality 0
+    count as boilerplate. Texts are whole; the driver gets 52 bytes a line of them. Of several
+    rows with one id the least text counts; null and empty texts are left out. With fewer than
+    LEAST_LABELLED texts of either label, LineField.PRIOR is used.
     """
     if labels is None:
         return LineField()
     few = labels.toDF("_lid", "_q").filter("_lid is not null and _q in (0, 1)").groupBy("_lid").agg(F.min("_q").alias("_q"))
-    sample = []
-    for q in (0, 1):  # the sample holds both labels in equal number
-        top = few.filter(F.col("_q") == q).orderBy(F.md5(F.col("_lid").cast("string")), "_lid").limit(TRAIN_DOCS // 2)
-        rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("raw")).join(F.broadcast(top), F.col("_id") == F.col("_lid"))
-        lines = F.substring(F.substring_index(F.col("raw").cast("string"), "\n", TRAIN_LINES), 1, TRAIN_CHARS)
-        sample += [(r["_id"], bytes(r["t"]), 1 - q) for r in rows.dropDuplicates(["_id"]).select("_id", lines.cast("binary").alias("t")).collect() if r["t"]]
-    return LineField.fit([(_features_of(t), y) for _, t, y in sorted(sample)])
+    few = few.withColumn("_h", F.md5(F.col("_lid").cast("string")))
+    good, bad = (few.filter(F.col("_q") == q).orderBy("_h", "_lid").limit(TRAIN_DOCS // 2) for q in (1, 0))
+    few = good.union(bad)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("raw")).filter("raw <> ''").join(F.broadcast(few.select("_lid", "_q")), F.col("_id") == F.col("_lid"))
+    rows = rows.groupBy("_id").agg(F.min("raw").alias("raw"), (1 - F.min("_q")).cast("int").alias("label")).orderBy("_id")
+    found = rows.select("label", F.col("raw").cast("binary").alias("raw")).mapInArrow(_line_features, "label int, features binary").collect()
+    return LineField.fit([(np.frombuffer(r["features"], np.float32).reshape(-1, len(FEATURES)).astype(float), r["label"]) for r in found])
 
 
 def _judge(field: LineField, min_words: int, most_repeats: int, least_content: float):
@@ -226,7 +245,7 @@ def _judge(field: LineField, min_words: int, most_repeats: int, least_content: f
                     ], names,
                 )
 
-    return run
+    return w.tidy(run)
 
 
 def quality_lines(docs: DataFrame, labels: DataFrame | None = None, min_words: int = 50, most_repeats: int = 50, least_content: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +270,10 @@ def quality_lines(docs: DataFrame, labels: DataFrame | None = None, min_words: i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that quality_lines keeps, with all their columns, in one pass."""
+    """The rows of docs that quality_lines keeps, with all their columns, in one pass.
+
+    Nulls, empty texts, repeated rows and empty tables: as there; columns of any name are carried.
+    """
     field = fit_field(docs, labels, id_col, text_col)
     judge = _judge(field, 50, 50, 0.5)
     schema = docs.schema

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factline.llm import words as w
 from factline.llm.bitmaps import bitmap_of
+from factline.llm.tables import cut, written
 
 NO_ID = (1 << 63) - 1
 
@@ -70,20 +71,23 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, i
     A window is `window` consecutive words of one text, judged on the input.
 
     1. Anchors (see plan) are hashed at cover positions only, about a fifth of the words.
-       Those found under two ids or more go into a bitmap of fixed size.
+       Those found under two ids or more go into a bitmap, sized by their number.
     2. A window is a candidate if the bitmap has one of its anchors: both copies of any
        repeated window hold the same aligned anchor. Candidates are extended to the whole
-       window's hash, and each hash's smallest id is found. Anchors let through wrongly cost
-       work only.
-    3. Each hash is sent to the one document that owns it, so a document removes exactly its
+       window, named by two independent 64-bit hashes of its words, and each window's smallest
+       id is found. Anchors let through wrongly cost work only.
+    3. Each window is sent to the one document that owns it, so a document removes exactly its
        candidate windows that it does not own. Only documents with candidates are joined.
 
-    No group is ever gathered: hot passages meet in sums (min per hash), before the shuffle.
+    Hot passages meet in sums (min per window), before the shuffle; what a document owns is
+    bounded by its own words. Rows that share an id are one document, and would own each
+    other's windows: those rows get their own shares of what the id owns, by a join on (id,
+    window). So no group is ever gathered.
     Returns id, n_words, n_removed, kept_sha256 and, with_text, kept_text (kept words joined by a space).
 
-    Nulls: a null text has no words; null ids count as one id after all others. Rows that
-    share an id are one document: they never remove words from each other. Empty tables give
-    no rows; extra columns are not read. Very long texts are taken whole.
+    Ids must be whole numbers, or strings of such. Nulls: a null text has no words; null ids
+    count as one id, 2^63 - 1. Rows that share an id never remove words from each other.
+    Empty tables give no rows; extra columns are not read. Very long texts are taken whole.
     """
     period, cover, length = plan(window)
     spark = docs.sparkSession
@@ -99,12 +103,12 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, i
                 of = ids[lo:hi][np.searchsorted(firsts, at, "right") - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(of)], ["h", "key"])
 
-    found = raw.select("key", "raw").mapInArrow(anchors, "h long, key long")
-    shared = found.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("h")
-    bits = spark.sparkContext.broadcast(bitmap_of(shared))
+    found = raw.select("key", "raw").mapInArrow(w.tidy(anchors), "h long, key long")
+    shared = written(found.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("h"))
+    bits = spark.sparkContext.broadcast(bitmap_of(shared, shared.count()))
 
     def candidates(data: np.ndarray, offsets: np.ndarray, known: w.Bitmap):
-        """Layout, and for each window index whether it is a candidate, and the windows' hashes."""
+        """Layout, the word index of each candidate window, and its two hashes."""
         starts, ends, firsts, hashes = _layout(data, offsets)
         at, grams = _anchors(hashes, firsts, period, cover, length)
         hit = np.zeros(len(hashes) + 1, np.int64)
@@ -113,39 +117,45 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, i
         whole = _whole(firsts, window)
         marked = whole & (sums[np.minimum(np.arange(len(whole)) + period, len(hashes))] > sums[: len(whole)])
         at = np.flatnonzero(marked)
-        grams = w.ngram_hashes(hashes, window)[at]
-        return starts, ends, firsts, at, grams
+        if not len(at):
+            return starts, ends, firsts, at, at.astype(np.uint64), at.astype(np.uint64)
+        other = w.ngram_hashes(w.word_hashes(data, starts, ends, seed=1), window)[at]
+        return starts, ends, firsts, at, w.ngram_hashes(hashes, window)[at], other
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidate windows of every row: their two hashes, the id, and the row (a hash of id and text)."""
         known = w.Bitmap(bits.value)
         for batch in batches:
-            ids = batch["key"].to_numpy()
+            ids, rows = batch["key"].to_numpy(), batch["row"].to_numpy()
             for lo, hi, data, offsets in w.slices(batch):
-                _, _, firsts, at, grams = candidates(data, offsets, known)
-                of = ids[lo:hi][np.searchsorted(firsts, at, "right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(of)], ["h", "key"])
+                _, _, firsts, at, h, g = candidates(data, offsets, known)
+                of = np.searchsorted(firsts, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(ids[lo:hi][of]), pa.array(rows[lo:hi][of])], ["h", "g", "key", "row"])
 
-    owned = raw.select("key", "raw").mapInArrow(windows, "h long, key long").groupBy("h").agg(F.min("key").alias("okey"))
-    owned = owned.groupBy("okey").agg(F.collect_list("h").alias("own"))
+    raw = raw.withColumn("row", F.xxhash64("id", "raw"))
+    several = cut(raw.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
+    fields = "h long, g long, key long, row long"
+    owned = raw.select("key", "row", "raw").mapInArrow(w.tidy(windows), fields).groupBy("h", "g").agg(F.min("key").alias("key"))
+    name = F.col("h").bitwiseXOR(F.col("g")).alias("w")  # within one document
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows without candidates are finished here; the others keep their text for the join."""
         known = w.Bitmap(bits.value)
         for batch in batches:
             for lo, hi, data, offsets in w.slices(batch):
-                _, _, firsts, at, _ = candidates(data, offsets, known)
+                _, _, firsts, at, _, _ = candidates(data, offsets, known)
                 some = (np.diff(np.searchsorted(at, firsts)) > 0).tolist()
                 rows = batch["raw"].slice(lo, hi - lo).to_pylist()
                 kept = [None if c else b" ".join(t.split()) for t, c in zip(rows, some, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch[c].slice(lo, hi - lo) for c in ("id", "key")),
+                        *(batch[c].slice(lo, hi - lo) for c in ("id", "key", "row")),
                         pa.array(np.diff(firsts)),
                         pa.array([None if k is None else hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                         pa.array([t if c else None for t, c in zip(rows, some, strict=True)], pa.binary()),
                         pa.array(kept if with_text else [None] * len(rows), pa.binary()),
                     ],
-                    ["id", "key", "n_words", "sha", "raw", "kept"],
+                    ["id", "key", "row", "n_words", "sha", "raw", "kept"],
                 )
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +163,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, i
         for batch in batches:
             gone, shas, kepts = [], [], []
             for lo, hi, data, offsets in w.slices(batch):
-                starts, ends, firsts, at, grams = candidates(data, offsets, known)
+                starts, ends, firsts, at, h, g = candidates(data, offsets, known)
+                names = (h ^ g).view(np.int64)
                 cuts = np.searchsorted(at, firsts)
                 for k in range(hi - lo):
                     if (sha := batch["sha"][lo + k].as_py()) is not None:
@@ -162,7 +173,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, i
                     own = batch["own"][lo + k].values
                     own = np.zeros(0, np.int64) if own is None else own.to_numpy(zero_copy_only=False)
                     mine, f = slice(cuts[k], cuts[k + 1]), int(firsts[k])
-                    cover = at[mine][~np.isin(grams[mine].view(np.int64), own)] - f
+                    cover = at[mine][~np.isin(names[mine], own)] - f
                     n = int(firsts[k + 1]) - f
                     edge = np.bincount(cover, minlength=n + 1) - np.bincount(cover + window, minlength=n + 1)[: n + 1]
                     keep = np.cumsum(edge)[:n] == 0
@@ -172,7 +183,17 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, i
             yield pa.RecordBatch.from_arrays([batch["id"], batch["n_words"], pa.array(gone, pa.int64()), pa.array(shas, pa.string()), pa.array(kepts, pa.binary())], ["id", "n_words", "n_removed", "sha", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = raw.mapInArrow(texts, f"id {kind}, key long, n_words long, sha string, raw binary, kept binary")
-    out = rows.join(owned, F.col("key") == F.col("okey"), "left").drop("okey").mapInArrow(removed, f"id {kind}, n_words long, n_removed long, sha string, kept binary")
+    rows = raw.mapInArrow(w.tidy(texts), f"id {kind}, key long, row long, n_words long, sha string, raw binary, kept binary")
+    shared_ids = several.limit(1).count() > 0
+    single = owned.join(several, "key", "left_anti") if shared_ids else owned
+    single = single.groupBy("key").agg(F.collect_list(name).alias("own"))
+    out = rows.join(single, "key", "left")
+    if shared_ids:
+        rows = written(rows)
+        theirs = raw.join(several, "key", "left_semi").select("key", "row", "raw").mapInArrow(w.tidy(windows), fields)
+        theirs = theirs.distinct().join(owned, ["h", "g", "key"]).groupBy("row").agg(F.collect_list(name).alias("own"))
+        out = rows.join(several, "key", "left_anti").join(single, "key", "left")
+        out = out.unionByName(rows.join(several, "key", "left_semi").join(theirs, "row", "left"))
+    out = out.select("id", "n_words", "sha", "raw", "kept", "own").mapInArrow(w.tidy(removed), f"id {kind}, n_words long, n_removed long, sha string, kept binary")
     text = [F.col("kept").cast("string").alias("kept_text")] if with_text else []
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("sha").alias("kept_sha256"), *text)

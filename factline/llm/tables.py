@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+HOT = 500  # rows under which no key is worth keeping apart
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder the session names; make a local one only where none is set (tests)."""
+    """Take the shared folder that the session names in spark.checkpoint.dir, unless one is set already."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factline-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -53,6 +56,30 @@ def ordered_index(df: DataFrame, keys: list[str | Column], out: str) -> DataFram
     )
 
 
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys of more than HOT rows and of a quarter of a shuffle partition's fair share; None if there are none.
+
+    There are fewer than four a partition, so they may be broadcast. rows should be materialised.
+    """
+    n = rows.count()
+    if n <= HOT:
+        return None
+    least = max(n // (4 * shuffle_partitions(rows.sparkSession)), HOT)
+    hot = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(*keys))
+    return hot if hot.count() else None
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """rows joined (inner, on keys) with one row a group, without a hot key's rows meeting in one task.
+
+    hot: hot_keys of rows. Their groups are broadcast, and only the others' rows are shuffled.
+    """
+    if hot is None:
+        return rows.join(groups, keys)
+    few = F.broadcast(groups.join(F.broadcast(hot), keys))
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(groups.join(F.broadcast(hot), keys, "left_anti"), keys))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

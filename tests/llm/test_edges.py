@@ -47,6 +47,27 @@ def test_all_null_rows(spark, table_of):
     assert sample_segmentations(nulls).count() == 3
 
 
+def test_clashing_columns_of_urls_and_segmentations(spark, docs, table_of, corpus):
+    extra = [F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in "host string, path string, rule string, verdict string, bad string, n int, b int, mean string, r int, oid int, suffix string, domain string, sample int, position int, raw int, h int, ids string, id string".split(", "))]
+    pages = spark.createDataFrame([(1, "http://a.org/" + "x" * 200000), (2, None), (2, "http://b.org")], "page_id bigint, url string").select("*", *extra)
+    labels = spark.createDataFrame([(1, True), (2, False)], "page bigint, worse boolean")
+    got = judge_urls(pages, labels).collect()
+    assert len(got) == 3 and max(len(r["path"]) for r in got) == 200001
+    got = sample_segmentations(table_of(docs.select("*", *extra)), k=1)
+    assert got.count() == len(corpus)
+
+
+def test_the_pipeline_on_nothing_and_on_nulls(spark, tmp_path):
+    import corpus_pipeline
+
+    text = " ".join(f"Word{k}." for k in range(90))
+    for name, rows in (("none", []), ("nulls", [(None, None, None, None, None)] * 3 + [(None, text, None, None, None)] * 2 + [(None, text + " More words here.", "en", None, 1)])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert all(r["roundtrip"] for r in got) and len(got) == (2 if rows else 0)
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "http://A.example.net/en/x?q#f"), (1, None), (None, "nothing"), (2, "://"), (3, "http://h"), (4, "http://x.org/fr/a")], "page_id bigint, url string")
     none = spark.createDataFrame([], "id bigint, bad boolean")
