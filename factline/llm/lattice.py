@@ -15,7 +15,7 @@ from factline.llm import words as w
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _U = np.uint64
-_GOLD = _U(0x9E3779B97F4A7C15)
+_GOLD, _ODD = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
 _FALLBACK = -1
 _SPACE, _BREAK = 0x20, 0x0A
 
@@ -63,10 +63,11 @@ class Pieces:
             t = self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
             if b"\n" in t or b" " in t.lstrip(b" "):
                 raise ValueError("a piece spans a line break or an inner space: texts would not fall into units")
+        self.sizes = np.diff(self.offsets).astype(np.int32)
         self._trie()
 
     def _trie(self) -> None:
-        """An open-addressed table from (node, byte) to node, and the piece that ends at each node."""
+        """Tables of the nodes after one and two bytes, an open-addressed one from (node, byte) to node, and the piece that ends at each node."""
         step: dict[tuple[int, int], int] = {}
         piece = [_FALLBACK]
         for i in np.flatnonzero(self.usable).tolist():
@@ -76,10 +77,21 @@ class Pieces:
                 if node == len(piece):
                     piece.append(_FALLBACK)
             piece[node] = i
-        self.piece_at = np.array(piece, np.int32)
+        if len(piece) >= 1 << 23:
+            raise ValueError("a trie of 2^23 nodes or more does not fit its keys")
+        self.piece_at = np.array([*piece, _FALLBACK], np.int32)
+        self.inner = np.zeros(len(piece) + 1, bool)  # nodes that lead on; the last entry stands for no node
+        self.inner[[a for a, _ in step]] = True
+        self.one, self.two = np.full(256, -1, np.int32), np.full(1 << 16, -1, np.int32)
+        top = {n: b for (a, b), n in step.items() if a == 0}
+        for n, b in top.items():
+            self.one[b] = n
+        for (a, b), n in step.items():
+            if a in top:
+                self.two[top[a] << 8 | b] = n
         self.bits = max(10, (4 * len(step)).bit_length())
-        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-        left = np.array([[a << 8 | b, n] for (a, b), n in step.items()], np.int64).reshape(-1, 2)
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int32), np.zeros(1 << self.bits, np.int32)
+        left = np.array([[a << 8 | b, n] for (a, b), n in step.items()], np.int32).reshape(-1, 2)
         probe = 0
         while len(left):
             slot = self._slot(left[:, 0], probe)
@@ -91,16 +103,15 @@ class Pieces:
         self.probes = probe
 
     def _slot(self, key: np.ndarray, probe: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = (key.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)
-        return (h.astype(np.int64) + probe) & ((1 << self.bits) - 1)
+        h = (key.view(np.uint32) if key.flags.c_contiguous else key.astype(np.uint32)) * np.uint32(0x9E3779B1)
+        return ((h >> np.uint32(32 - self.bits)) + np.uint32(probe)) & np.uint32((1 << self.bits) - 1)
 
     def follow(self, nodes: np.ndarray, data: np.ndarray) -> np.ndarray:
         """The node after one byte more, or -1."""
-        key = nodes.astype(np.int64) << 8 | data
+        key = nodes << np.int32(8) | data
         slot = self._slot(key, 0)
         at = self.keys[slot]
-        out = np.where(at == key, self.to[slot], -1)
+        out = np.where(at == key, self.to[slot], np.int32(-1))
         left = np.flatnonzero((at != key) & (at != -1))
         for probe in range(1, self.probes):
             if not len(left):
@@ -119,100 +130,130 @@ def decode(pieces: Pieces, ids: np.ndarray) -> bytes:
 
 
 def _bytes(pieces: Pieces, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.diff(pieces.offsets)[ids]
-    ends = np.cumsum(size)
-    at = np.repeat(pieces.offsets[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    size = pieces.sizes[ids]
+    ends = np.cumsum(size, dtype=np.int64)
+    at = np.repeat((pieces.offsets[ids] - (ends - size)).astype(np.int32), size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
     return pieces.data[at], ends
 
 
 class Lattice:
     """The lattices of distinct units, over the bytes of the units laid end to end.
 
-    edges lie sorted by start byte: first[s] to first[s + 1]; q is an edge's share of its
-    start's paths, and cum its running sum.
+    An edge is a piece (or a bare character) at a byte. Edges lie together by start: first[s] to
+    first[s] + count[s]; starts are ordered by their distance from their unit's end, so that
+    backward sums run over slices. q is an edge's share of its start's paths, and cum the running
+    sum of q within the start, which depends on nothing outside the unit.
     """
 
+    LONG = 256  # bytes; in longer units sums are taken of logarithms
+
     def __init__(self, pieces: Pieces, data: np.ndarray, offsets: np.ndarray):
         n = len(data)
         head = (data & 0xC0) != 0x80
         head[offsets[:-1]] = True
-        stop = np.repeat(offsets[1:], np.diff(offsets))  # end of each byte's unit
-        chars = np.flatnonzero(head)
-        after = np.r_[chars[1:], n]
         node_ok = np.r_[head, True]
-        count = np.zeros(n + 1, np.int64)
+        chars = np.flatnonzero(head).astype(np.int32)
+        stop = np.repeat(offsets[1:], np.diff(offsets)).astype(np.int32)  # end of each byte's unit
+        left = stop[chars] - chars
+        order = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
+        chars, left = chars[order], left[order]
+        after = np.flatnonzero(node_ok).astype(np.int32)
+        char_end = np.empty(n, np.int32)
+        char_end[after[:-1]] = after[1:]
+        count = np.zeros(n, np.int32)
         found, at, node, depth = [], chars, np.zeros(len(chars), np.int32), 0
         whole = np.zeros(n, bool)  # chars that are a piece themselves
-        char_end = np.zeros(n, np.int64)
-        char_end[chars] = np.minimum(after, stop[chars])
+        room = left
         while len(at):
-            node = pieces.follow(node, data[at + depth])
+            node = pieces.one[data[at]] if depth == 0 else pieces.two[data[at].astype(np.int32) << 8 | data[at + 1]] if depth == 1 else pieces.follow(node, data[at + depth])
             depth += 1
-            live = node >= 0
-            at, node = at[live], node[live]
-            hit = (pieces.piece_at[node] >= 0) & node_ok[at + depth]
-            s = at[hit]
-            found.append((s, count[s].copy(), s + depth, pieces.piece_at[node[hit]]))
-            count[s] += 1
-            whole[s[char_end[s] == s + depth]] = True
-            more = at + depth < stop[at]
-            at, node = at[more], node[more]
+            piece = pieces.piece_at[node]  # the last one, for no node, is no piece
+            end = at + np.int32(depth)
+            hit = np.flatnonzero((piece >= 0) & node_ok[end])
+            s, e = at[hit], end[hit]
+            k = count[s]
+            found.append((s, k, e, piece[hit]))
+            count[s] = k + 1
+            if depth <= 4:
+                whole[s[char_end[s] == e]] = True
+            on = np.flatnonzero((room > depth) & pieces.inner[node])
+            at, node, room = at[on], node[on], room[on]
         bare = chars[~whole[chars]]
-        found.append((bare, count[bare].copy(), char_end[bare], np.full(len(bare), _FALLBACK, np.int32)))
+        found.append((bare, count[bare], char_end[bare], np.full(len(bare), _FALLBACK, np.int32)))
         count[bare] += 1
-        self.first = np.r_[0, np.cumsum(count[:n])]
-        total = int(self.first[-1])
-        self.end, self.piece, start = np.zeros(total, np.int64), np.zeros(total, np.int32), np.zeros(total, np.int64)
+        degree = count[chars]
+        to = np.cumsum(degree)
+        self.first, self.count = np.zeros(n, np.int32), count
+        self.first[chars] = to - degree
+        total = int(to[-1]) if len(to) else 0
+        self.start, self.end, self.piece = (np.empty(total, np.int32) for _ in range(3))
         for s, k, e, p in found:
             place = self.first[s] + k
-            start[place], self.end[place], self.piece[place] = s, e, p
+            self.start[place], self.end[place], self.piece[place] = s, e, p
         self.data = data
-        size = self.end - start
-        lp = np.where(self.piece == _FALLBACK, size * pieces.logp[pieces.byte0], pieces.logp[self.piece])
-        beta = np.full(n + 1, -np.inf)
-        left = np.where(head, stop - np.arange(n), 0)
-        order = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[order], np.arange(1, (int(left.max()) if n else 0) + 2))
-        # the end of one unit is the start of the next: paths that end there are told apart by `last`
-        last = self.end == stop[start]
-        for d in range(len(cuts) - 1):
-            pos = order[cuts[d] : cuts[d + 1]]
-            if not len(pos):
+        lp = np.where(self.piece == _FALLBACK, (self.end - self.start) * pieces.logp[pieces.byte0], pieces.logp[self.piece])
+        # the end of one unit is the start of the next: paths that end there lead to a node of their own
+        self.last = self.end == stop[self.start]
+        target = np.where(self.last, n, self.end)
+        wide = int(left[-1]) if len(left) else 0
+        cuts = np.searchsorted(left, np.arange(1, wide + 2))
+        plain = int(np.searchsorted(left, self.LONG, "right"))
+        share, beta = np.exp(lp), np.ones(n + 1)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if lo == hi or lo >= plain:
                 continue
-            degree = count[pos]
-            firsts = np.cumsum(degree) - degree
-            e = np.repeat(self.first[pos] - firsts, degree) + np.arange(int(degree.sum()))
-            v = lp[e] + np.where(last[e], 0.0, beta[self.end[e]])
-            top = np.maximum.reduceat(v, firsts)
-            beta[pos] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, degree)), firsts))
-        self.q = np.exp(lp + np.where(last, 0.0, beta[self.end]) - beta[start])
-        self.cum = np.cumsum(self.q)
-        self.halvings = int(count.max()).bit_length()
-        self.last, self.start = last, start
+            a, b = int(to[lo] - degree[lo]), int(to[hi - 1])
+            v = share[a:b]
+            v *= beta[target[a:b]]
+            firsts = to[lo:hi] - degree[lo:hi] - a
+            sums = np.add.reduceat(v, firsts)
+            beta[chars[lo:hi]] = sums
+            v /= np.repeat(sums, degree[lo:hi])
+        if plain < len(chars):
+            beta = np.log(beta)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if lo == hi or lo < plain:
+                    continue
+                a, b = int(to[lo] - degree[lo]), int(to[hi - 1])
+                v = lp[a:b] + beta[target[a:b]]
+                firsts = to[lo:hi] - degree[lo:hi] - a
+                top = np.maximum.reduceat(v, firsts)
+                sums = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, degree[lo:hi])), firsts))
+                beta[chars[lo:hi]] = sums
+                share[a:b] = np.exp(v - np.repeat(sums, degree[lo:hi]))
+        self.q, self.cum = share, share.copy()
+        at = self.first[chars]
+        for k in range(1, int(degree.max()) if len(degree) else 0):
+            more = np.flatnonzero(degree > k)
+            at, degree = at[more], degree[more]
+            self.cum[at + k] += self.cum[at + (k - 1)]
 
     def pick(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each byte position, by its share."""
-        lo, hi = self.first[at], self.first[at + 1] - 1
-        base = self.cum[lo] - self.q[lo]
-        goal = base + u * (self.cum[hi] - base)
-        for _ in range(self.halvings):
-            mid = (lo + hi) >> 1
-            over = self.cum[mid] < goal
-            lo, hi = np.where(over, mid + 1, lo), np.where(over, hi, mid)
-        return np.minimum(lo, self.first[at + 1] - 1)
+        lo = self.first[at]
+        out = lo + self.count[at] - np.int32(1)
+        goal = u * self.cum[out]
+        # the longest piece is the likeliest, so few are left after a step or two
+        left = np.flatnonzero(out > lo)
+        while len(left):
+            e = out[left] - np.int32(1)
+            left, e = left[(down := self.cum[e] >= goal[left])], e[down]
+            out[left] = e
+            left = left[e > lo[left]]
+        return out
 
     def paths(self, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled paths from each position to its unit's end: edges, and where each path's begin."""
         live, rounds = np.arange(len(at)), []
         length = np.zeros(len(at), np.int64)
         while len(live):
-            e = self.pick(at, _uniform(keys[live], len(rounds)))
+            e = self.pick(at, _uniform(keys, len(rounds)))
             rounds.append((live, e))
             length[live] += 1
-            on = ~self.last[e]
-            live, at = live[on], self.end[e[on]]
+            on = np.flatnonzero(~self.last[e])
+            live, at, keys = live[on], self.end[e[on]], keys[on]
         firsts = np.r_[0, np.cumsum(length)]
-        out = np.empty(firsts[-1], np.int64)
+        out = np.empty(firsts[-1], np.int32)
         for k, (of, e) in enumerate(rounds):
             out[firsts[of] + k] = e
         return out, firsts
@@ -221,13 +262,14 @@ class Lattice:
         """Piece ids of edges, with a fallback as the pieces of its bytes; and each edge's number of ids."""
         piece = self.piece[edges]
         bare = piece == _FALLBACK
+        if not bare.any():
+            return piece, np.ones(len(piece), np.int64)
         size = np.where(bare, self.end[edges] - self.start[edges], 1)
         ids = np.repeat(piece, size)
-        if bare.any():
-            where = np.repeat(bare, size)
-            step = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
-            ids[where] = pieces.byte0 + self.data[(np.repeat(self.start[edges], size) + step)[where]]
-        return ids.astype(np.int32), size
+        where = np.repeat(bare, size)
+        step = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+        ids[where] = pieces.byte0 + self.data[(np.repeat(self.start[edges], size) + step)[where]]
+        return ids, size
 
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -241,11 +283,9 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:-1])
 
 
-def _truncated(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel variables at phi, given that they do not exceed top: -log(exp(-top) + exp(-g))."""
-    with np.errstate(divide="ignore", over="ignore"):
-        g = phi - np.log(-np.log(u))
-        return np.where(np.isneginf(phi), -np.inf, -np.logaddexp(-top, -g))
+def _truncated(g: float, top: float) -> float:
+    """A Gumbel variable g, given that the maximum of its kind is top: -log(exp(-top) + exp(-g))."""
+    return -float(np.logaddexp(-top, -g)) if g > -np.inf else -np.inf
 
 
 @dataclass
@@ -268,113 +308,110 @@ def sample_slice(pieces: Pieces, texts: list[bytes], keys: np.ndarray, k: int) -
     Units do not interact, so beginnings are shared over all words of a text, and all texts'
     completions are drawn at once.
     """
+    out: list[tuple[list[Sample], float]] = [([], -np.inf) for _ in texts]
+    top = -np.log(-np.log(_uniform(keys, 0)))  # the root's perturbed value
+    for t, text in enumerate(texts):
+        if not text:
+            out[t] = ([Sample(np.zeros(0, np.int32), 0.0, float(top[t]), True)], -np.inf)
+    live = np.array([t for t, text in enumerate(texts) if text], np.int64)
+    if not len(live):
+        return out
     whole = b"".join(b" " + t if t else b"" for t in texts)
     offsets = np.cumsum([0, *[len(t) + 1 if t else 0 for t in texts]])
     data = np.frombuffer(whole, np.uint8)
     starts = _units(data, offsets)
-    ends = np.r_[starts[1:], len(data)] if len(starts) else starts
-    names = w.word_hashes(data, starts, ends)
-    _, rep, kind = np.unique(names, return_index=True, return_inverse=True)
+    ends = np.r_[starts[1:], len(data)]
+    _, rep, kind = np.unique(w.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
     sizes = (ends - starts)[rep]
     type_off = np.r_[0, np.cumsum(sizes)]
     type_data = data[np.repeat(starts[rep] - type_off[:-1], sizes) + np.arange(type_off[-1])]
     lattice = Lattice(pieces, type_data, type_off)
     unit_first = np.searchsorted(starts, offsets)
     text_of = np.repeat(np.arange(len(texts)), np.diff(unit_first))
-    at0 = type_off[kind]
+    at0 = type_off[kind].astype(np.int32)
     with np.errstate(over="ignore"):
         unit_keys = w._mixed(keys[text_of] ^ (np.arange(len(starts), dtype=np.uint64) - unit_first[text_of].astype(np.uint64) + _U(1)) * _GOLD)
 
-    out: list[tuple[list[Sample], float]] = [([], -np.inf) for _ in texts]
-    live = np.flatnonzero(np.diff(unit_first) > 0)
-    for t in np.flatnonzero(np.diff(unit_first) == 0):
-        out[t] = ([Sample(np.zeros(0, np.int32), 0.0, float(-np.log(-np.log(_uniform(keys[t : t + 1], 0)[0]))), True)], -np.inf)
-    top = -np.log(-np.log(_uniform(keys, 0)))  # the root's perturbed value
-    # paths of each text: edges, log-shares before each step, values of the sets that leave it, the step it branched at and the edges barred there
+    # paths of each text: edges, Gumbel values (not yet truncated at the path's, the last) of the sets that leave the path at each step, the step it branched at, the edges barred there, the best set's value, the path's
     known: list[list[list]] = [[] for _ in texts]
-
+    log_q, log_rest = np.log(lattice.q), 1.0 - lattice.q
+    log_rest[log_rest < 1e-14] = 0.0
+    with np.errstate(divide="ignore"):
+        np.log(log_rest, out=log_rest)
     flat, firsts = lattice.paths(at0, unit_keys)
-    by_text = firsts[unit_first]
-    segs = {int(t): (by_text[t], by_text[t + 1]) for t in live}
+    bounds = firsts[unit_first[np.r_[live, len(texts)]]]  # empty texts have no units
     branch: dict[int, int] = {}
     barred: dict[int, list[int]] = {}
     for r in range(k):
-        # one path for each live text is complete: edges (all live texts' end to end), firsts by text
-        lq = np.log(lattice.q[flat])
-        run = np.cumsum(lq)
-        before = run - lq
-        cuts = np.array([segs[int(t)] for t in live]).reshape(-1, 2)
-        lens = cuts[:, 1] - cuts[:, 0]
-        before -= np.repeat(before[cuts[:, 0]], lens)
-        rest = 1.0 - lattice.q[flat]
-        first_step = cuts[:, 0].copy()
+        # one path for each live text is complete: edges end to end, bounds by text
+        lens = np.diff(bounds)
+        lq = log_q[flat]
+        rest = log_rest[flat]
         for n, t in enumerate(live.tolist()):
             if t in branch:
-                first_step[n] += branch[t]
-                rest[first_step[n]] -= sum(lattice.q[e] for e in barred[t][:-1])
-        rest[rest < 1e-14] = 0.0
-        with np.errstate(divide="ignore", over="ignore"):
-            step = np.arange(len(flat)) - np.repeat(cuts[:, 0], lens)
-            noise_keys = w._mixed(np.repeat(keys[live], lens) + step.astype(np.uint64) * _GOLD + _U(7919 * (r + 1)))
-            values = _truncated(before + np.log(rest), np.repeat(top[live], lens), _uniform(noise_keys, 1))
-        values[step < np.repeat(first_step - cuts[:, 0], lens)] = -np.inf
+                s = bounds[n] + branch[t]
+                left = 1.0 - sum(lattice.q[e] for e in barred[t])
+                rest[s] = np.log(left) if left >= 1e-14 else -np.inf
+        step = np.arange(len(flat)) - np.repeat(bounds[:-1], lens)
+        with np.errstate(over="ignore"):
+            noise_keys = np.repeat(w._mixed(keys[live] + _U(7919 * (r + 1))), lens) + step.astype(np.uint64) * _ODD
+        run = np.empty(len(flat))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            np.cumsum(lq[a:b], out=run[a:b])  # within the text, so that digits do not depend on its neighbours
+        drawn = run - lq + rest - np.log(-np.log(_uniform(noise_keys, 1)))
         ids, size = lattice.ids(pieces, flat)
-        id_ends = np.cumsum(size)
+        id_ends = np.r_[0, np.cumsum(size)][bounds].tolist()
         back, back_ends = _bytes(pieces, ids)
-        peak = np.maximum.reduceat(values, cuts[:, 0]) if len(cuts) else np.zeros(0)
+        byte_ends = np.r_[0, back_ends][id_ends].tolist()
         nxt = []
-        for n, t in enumerate(live.tolist()):
-            a, b = cuts[n]
-            ia, ib = (int(id_ends[a - 1]) if a else 0), int(id_ends[b - 1])
-            ba, bb = (int(back_ends[ia - 1]) if ia else 0), int(back_ends[ib - 1])
-            ok = back[ba + 1 : bb].tobytes() == texts[t]
-            out[t][0].append(Sample(ids[ia:ib], float(run[b - 1] - run[a] + lq[a]), float(top[t]), ok))
-            bars = barred.get(t, [])
-            known[t].append([flat[a:b], values[a:b], before[a:b], branch.get(t, -1), bars, float(peak[n])])
-            best = max(known[t], key=lambda p: p[5])
-            out[t] = (out[t][0], best[5])
-            if best[5] > -np.inf:
+        for n, (t, a, b) in enumerate(zip(live.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            values = drawn[a:b]
+            if t in branch:
+                values[: branch[t]] = -np.inf
+            logp = float(run[b - 1])
+            ok = back[byte_ends[n] + 1 : byte_ends[n + 1]].tobytes() == texts[t]
+            out[t][0].append(Sample(ids[id_ends[n] : id_ends[n + 1]], logp, float(top[t]), ok))
+            known[t].append([flat[a:b], values, branch.get(t, -1), barred.get(t, []), _truncated(values.max(), top[t]), float(top[t])])
+            best = max(known[t], key=lambda p: p[4])
+            out[t] = (out[t][0], best[4])
+            if best[4] > -np.inf:
                 nxt.append((t, best))
-        if r + 1 == k:
+        if r + 1 == k or not nxt:
             break
         live = np.array([t for t, _ in nxt], np.int64)
-        if not len(live):
-            break
         # pop the best set of each live text: keep its beginning, take another edge, complete it
-        heads, branch, barred, tails_at, tails_key, tail_units = [], {}, {}, [], [], []
+        heads, branch, barred, spans, inner = [], {}, {}, [], []
+        with np.errstate(over="ignore"):
+            turns = _uniform(w._mixed(keys + _U(104729 * (r + 1))), 2)
         for t, path in nxt:
-            p_edges, p_values, _, p_branch, p_bars, _ = path
-            s = int(np.argmax(p_values))
-            top[t] = p_values[s]
+            p_edges, p_values, p_branch, p_bars, top[t], p_top = path
+            s = int(p_values.argmax())
             p_values[s] = -np.inf
-            path[5] = float(p_values.max())
+            path[4] = _truncated(p_values.max(), p_top)
             bars = p_bars if s == p_branch else [int(p_edges[s])]  # p_bars ends with the edge taken at the branch
             start = int(lattice.start[p_edges[s]])
-            options = np.arange(lattice.first[start], lattice.first[start + 1])
-            options = options[~np.isin(options, bars)]
-            share = np.cumsum(lattice.q[options])
-            with np.errstate(over="ignore"):
-                u = _uniform(w._mixed(keys[t : t + 1] + _U(104729 * (r + 1))), 2)[0]
-            e = int(options[min(int(np.searchsorted(share, u * share[-1])), len(options) - 1)])
-            unit = int(unit_first[t]) + int(lattice.last[p_edges[:s]].sum())
-            heads.append(np.r_[p_edges[:s], e])
+            lo = int(lattice.first[start])
+            options = [e for e in range(lo, lo + int(lattice.count[start])) if e not in bars]
+            share = lattice.q[options].cumsum()
+            e = options[min(int(share.searchsorted(turns[t] * share[-1])), len(options) - 1)]
+            unit = int(unit_first[t]) + int(np.count_nonzero(lattice.last[p_edges[:s]]))
+            heads.append((p_edges[:s], e))
             branch[t], barred[t] = s, [*bars, e]
-            on = unit if not lattice.last[e] else unit + 1
-            units = np.arange(on, unit_first[t + 1])
-            pos = at0[units].copy()
-            if not lattice.last[e]:
-                pos[0] = lattice.end[e]
-            tails_at.append(pos), tail_units.append(units)
-            with np.errstate(over="ignore"):
-                tails_key.append(w._mixed(unit_keys[units] + _U(15485863 * (r + 1))))
-        more, more_firsts = lattice.paths(np.concatenate(tails_at), np.concatenate(tails_key))
-        tail_ends = more_firsts[np.cumsum([len(x) for x in tails_at])]
-        parts, segs, at, lo = [], {}, 0, 0
-        for (t, _), head, hi in zip(nxt, heads, tail_ends.tolist(), strict=True):
-            part = np.r_[head, more[lo:hi]]
-            parts.append(part)
-            segs[t] = (at, at + len(part))
-            at, lo = at + len(part), hi
+            ended = bool(lattice.last[e])
+            spans.append((unit + ended, int(unit_first[t + 1])))
+            inner.append(-1 if ended else int(lattice.end[e]))
+        sizes = np.array([hi - lo for lo, hi in spans])
+        tails = np.cumsum(np.r_[0, sizes])
+        units = np.repeat(np.array([lo for lo, _ in spans]) - tails[:-1], sizes) + np.arange(tails[-1])
+        at = at0[units]
+        for n, x in enumerate(inner):
+            if x >= 0:
+                at[tails[n]] = x
+        with np.errstate(over="ignore"):
+            more, more_firsts = lattice.paths(at, w._mixed(unit_keys[units] + _U(15485863 * (r + 1))))
+        cuts = more_firsts[tails].tolist()
+        parts = [x for n, (head, e) in enumerate(heads) for x in (head, np.array([e], np.int32), more[cuts[n] : cuts[n + 1]])]
+        bounds = np.cumsum([0, *[len(head) + 1 + cuts[n + 1] - cuts[n] for n, (head, _) in enumerate(heads)]])
         flat = np.concatenate(parts)
     return out
 
@@ -424,7 +461,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed:
 
     raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("h"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"), *([position.alias("position")] if placed else []))
     schema = f"id {kind}, sample int, n_pieces long, logp double, gumbel double, log_inclusion double, ids_sha256 string, roundtrip boolean" + ", ids array<int>" * with_ids + ", position long" * placed
-    return raw.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return raw.mapInArrow(w.tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode_ids(samples: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
