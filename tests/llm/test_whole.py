@@ -65,21 +65,23 @@ def test_fresh_hosts_are_judged_by_their_prior(spark):
 
 def test_gates_learn_from_every_occurrence():
     rng = np.random.default_rng(2)
-    x, bit, n = rng.normal(size=(3, mixing_lm.INPUTS)), np.array([1.0, 0.0, 1.0]), np.array([1000, 3, 40])
+    x, bit, n = rng.normal(size=(mixing_lm.INPUTS, 3)), np.array([1.0, 0.0, 1.0]), np.array([1000, 3, 40])
     sets = sure = np.zeros(3, np.int64)
     one, each = mixing_lm.Mixer(), mixing_lm.Mixer()
     one.learn(x, sets, sure, bit, n.astype(float))
     k = np.repeat(np.arange(3), n)
-    each.learn(x[k], sets[k], sure[k], bit[k], np.ones(len(k)))
+    each.learn(x[:, k], sets[k], sure[k], bit[k], np.ones(len(k)))
     assert one.weights == pytest.approx(each.weights) and one.pull == pytest.approx(each.pull)
 
 
 def test_counts_go_on_above_single_precision():
-    words = [b"a", *(b"a%d" % k for k in range(100))]
-    table = pa.table({"word": pa.array(words, pa.binary()), "train": pa.array([1 << 24] + [1] * 100, pa.int64())})
-    tables, *_ = mixing_lm._tables(np.zeros((mixing_lm._STARTS[-1], 2)), table)
+    words = [b"word", *(b"word%d" % k for k in range(100))]
+    train = np.array([1 << 24] + [1] * 100, float)
+    counts = mixing_lm.Words(sum(map(len, words)) + len(words))
+    for _, _, s in mixing_lm._chunks(pa.array(words, pa.binary()), np.zeros(len(words), np.int64)):
+        counts.add(s, train[s.of])
     bits = 8 * np.array([len(w) + 1 for w in words])  # each with the byte that closes it
-    assert tables[-1].total.astype(float).sum() == (bits * table["train"].to_numpy()).sum()
+    assert counts.total.sum() == (bits * train).sum()
 
 
 def test_the_pipeline_ends_in_the_order_of_the_mixture(spark, table_of):
