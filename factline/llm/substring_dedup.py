@@ -15,6 +15,7 @@ from factline.llm.bitmaps import bitmap_of
 from factline.llm.tables import cut, written
 
 NO_ID = (1 << 63) - 1
+_SECOND = 24  # bits of the second hash in a window's name
 
 
 def difference_cover(period: int) -> list[int]:
@@ -74,8 +75,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, i
        Those found under two ids or more go into a bitmap, sized by their number.
     2. A window is a candidate if the bitmap has one of its anchors: both copies of any
        repeated window hold the same aligned anchor. Candidates are extended to the whole
-       window, named by two independent 64-bit hashes of its words, and each window's smallest
-       id is found. Anchors let through wrongly cost work only.
+       window, named by 88 bits of two independent hashes of its words, and each window's
+       smallest id is found. Anchors let through wrongly cost work only.
     3. Each window is sent to the one document that owns it, so a document removes exactly its
        candidate windows that it does not own. Only documents with candidates are joined.
 
@@ -119,7 +120,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, i
         at = np.flatnonzero(marked)
         if not len(at):
             return starts, ends, firsts, at, at.astype(np.uint64), at.astype(np.uint64)
-        other = w.ngram_hashes(w.word_hashes(data, starts, ends, seed=1), window)[at]
+        other = w.ngram_hashes(w.word_hashes(data, starts, ends, seed=1), window)[at] >> np.uint64(64 - _SECOND)
         return starts, ends, firsts, at, w.ngram_hashes(hashes, window)[at], other
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +137,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, i
     several = cut(raw.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
     fields = "h long, g long, key long, row long"
     owned = raw.select("key", "row", "raw").mapInArrow(w.tidy(windows), fields).groupBy("h", "g").agg(F.min("key").alias("key"))
-    name = F.col("h").bitwiseXOR(F.col("g")).alias("w")  # within one document
+    name = F.col("h").bitwiseXOR(F.shiftleft("g", 64 - _SECOND)).alias("w")  # within one document
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows without candidates are finished here; the others keep their text for the join."""
@@ -164,7 +165,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, i
             gone, shas, kepts = [], [], []
             for lo, hi, data, offsets in w.slices(batch):
                 starts, ends, firsts, at, h, g = candidates(data, offsets, known)
-                names = (h ^ g).view(np.int64)
+                names = (h ^ (g << np.uint64(64 - _SECOND))).view(np.int64)
                 cuts = np.searchsorted(at, firsts)
                 for k in range(hi - lo):
                     if (sha := batch["sha"][lo + k].as_py()) is not None:

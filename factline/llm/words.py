@@ -150,9 +150,10 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Bitmap:
-    """A set of 64-bit keys in a fixed number of bits, with few false positives and no false negatives."""
+    """A Bloom filter of 64-bit hashes: few false positives (one in 400 or less below the bound) and no false negatives."""
 
-    LEAST, MOST = 20, 30  # log2 of the bits: 128 KB to 128 MB
+    LEAST, MOST = 20, 30  # log2 of the bits: 128 KB to 128 MB, which is 2^26 keys at 16 bits each
+    PROBES = 4
 
     def __init__(self, data: np.ndarray):
         self.data = data
@@ -160,21 +161,21 @@ class Bitmap:
 
     @classmethod
     def bits_for(cls, keys: int) -> int:
-        """Eight bits or more a key, as far as MOST goes."""
-        return min(cls.MOST, max(cls.LEAST, (8 * keys).bit_length()))
+        """Sixteen bits or more a key, as far as MOST goes."""
+        return min(cls.MOST, max(cls.LEAST, (16 * keys).bit_length()))
 
     @classmethod
     def empty(cls, bits: int) -> Bitmap:
         return cls(np.zeros(1 << (bits - 3), np.uint8))
 
-    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = _U((1 << self.bits) - 1)
-        return (keys & mask).astype(np.int64), ((keys >> _U(64 - self.bits)) & mask).astype(np.int64)
-
-    def add(self, keys: np.ndarray) -> None:
-        for p in self._places(keys):
-            np.bitwise_or.at(self.data, p >> 3, (np.uint8(1) << (p & 7).astype(np.uint8)))
-
     def has(self, keys: np.ndarray) -> np.ndarray:
-        a, b = self._places(keys)
-        return ((self.data[a >> 3] >> (a & 7).astype(np.uint8)) & (self.data[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+        mask = _U((1 << self.bits) - 1)
+        at, step = keys & mask, (keys >> _U(34)) | _U(1)
+        out = np.ones(len(keys), bool)
+        left = np.arange(len(keys))
+        for _ in range(self.PROBES):
+            hit = (self.data[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+            out[left[~hit]] = False
+            left, step = left[hit], step[hit]
+            at = (at[hit] + step) & mask
+        return out

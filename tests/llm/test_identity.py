@@ -98,3 +98,15 @@ def test_a_hub_of_many_near_copies(spark, table_of):
     docs = table_of(spark.createDataFrame(rows, SCHEMA))
     assert {r["component_id"] for r in jaccard_components(docs).collect()} == {0}
     assert [r["doc_id"] for r in keep_one_of_class(docs).collect()] == [0]
+
+
+def test_bitmaps_have_every_key(spark):
+    import numpy as np
+
+    from factline.llm.bitmaps import bitmap_of
+
+    keys = spark.range(30000).select(F.xxhash64("id").alias("h"))
+    bitmap = w.Bitmap(bitmap_of(keys, 30000))
+    known = np.array([r["h"] for r in keys.collect()], np.int64).view(np.uint64)
+    fresh = np.array([r["h"] for r in spark.range(30000).select(F.xxhash64("id", F.lit(1)).alias("h")).collect()], np.int64).view(np.uint64)
+    assert bitmap.has(known).all() and bitmap.has(fresh).mean() < 0.01
