@@ -198,8 +198,9 @@ def jaccard_components(docs: DataFrame, terms: Terms = Terms(), id_col: str = "d
     entry at position i of a set of n is skipped against one at j of m when the elements left
     after both positions cannot make up the overlap that a link needs.
 
-    Round 1 verifies each entry against its block's first document only. Round 2 looks at
-    pairs that are still in different classes. Their answers are derived from the verified
+    Round 1 verifies each set against one document only: of the first documents of its entries'
+    blocks, the one that it meets most often. Round 2 looks at pairs that are still in
+    different classes. Their answers are derived from the verified
     overlaps with a common first document h: with p = |x & h| and q = |y & h|,
     p + q - |h| <= |x & y| <= min(p, q) + min(|x| - p, |y| - q), so only pairs between the
     bounds are verified. No link between different classes is lost, and groups of copies are
@@ -276,7 +277,7 @@ def _classes(raw: DataFrame, entries: DataFrame, terms: Terms) -> DataFrame:
         """Adds o = |a & b|. Pairs carry a's text; b's goes before each _MEMBERS of them, so no pair and no group holds more than two texts."""
         ends = written(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().select(as_long(F.col("s")).alias("s")))
         wanted = sc.broadcast(bitmap_of(ends, ends.count()))
-        texts = written(raw.select("raw").mapInArrow(_chosen(terms, wanted), "sig binary, raw binary").groupBy("sig").agg(F.first("raw").alias("raw")))
+        texts = raw.select("raw").mapInArrow(_chosen(terms, wanted), "sig binary, raw binary").groupBy("sig").agg(F.first("raw").alias("raw"))
         hubs = pairs.groupBy("b").agg(F.expr(f"count(1) div {_MEMBERS} + 1").alias("parts"))
         members = join_groups(pairs, hubs, ["b"], hot_keys(pairs, ["b"])).withColumn("part", F.expr("pmod(xxhash64(a), parts)")).join(texts.withColumnRenamed("sig", "a"), "a")
         heads = hubs.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("sig", "b"), "b")
@@ -290,7 +291,8 @@ def _classes(raw: DataFrame, entries: DataFrame, terms: Terms) -> DataFrame:
     h = F.col("h")
     near = first.select("t", F.explode(F.array("block", F.col("block") + 1)).alias("block"), "h")
     stars = blocks.join(near, ["t", "block"]).filter((F.col("sig") != h["sig"]) & possible(F.col("n"), F.col("i"), h["n"], h["i"]))
-    stars = cut(stars.select(F.col("sig").alias("a"), h["sig"].alias("b"), F.col("n").alias("na"), h["n"].alias("nb")).distinct())
+    stars = stars.groupBy(F.col("sig").alias("a"), F.col("n").alias("na"), h["sig"].alias("b"), h["n"].alias("nb")).agg(F.count(F.lit(1)).alias("c"))
+    stars = cut(stars.groupBy("a", "na").agg(F.max(F.struct("c", "b", "nb")).alias("best")).select("a", "best.b", "na", "best.nb"))
     is_link = F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * terms.percent
     tested = verify(stars)
     links = tested.filter(is_link).select("a", "b")
