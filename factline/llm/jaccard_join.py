@@ -98,7 +98,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _sketch(pages: DataFrame, bits: int) -> np.ndarray:
-    """Grades of the cells' counts over all tasks, four to a doubling; pages are summed in a tree of two levels."""
+    """Grades of the cells' counts over all tasks, four to a doubling; pages of more than _FAN tasks are summed in a tree of two levels."""
 
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << _PAGE_BITS, np.uint64)
@@ -108,8 +108,9 @@ def _sketch(pages: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros((1 << (bits - _PAGE_BITS), 1 << _PAGE_BITS), np.uint8)
     some = pages.select("page", "sig", F.pmod(F.spark_partition_id(), F.lit(_FAN)).alias("part"))
-    once = some.groupBy("page", "part").applyInArrow(merge, "page int, sig binary")
-    for row in once.groupBy("page").applyInArrow(merge, "page int, sig binary").toLocalIterator():
+    if pages.rdd.getNumPartitions() > _FAN:
+        some = some.groupBy("page", "part").applyInArrow(merge, "page int, sig binary")
+    for row in some.groupBy("page").applyInArrow(merge, "page int, sig binary").toLocalIterator():
         out[row["page"]] = (4 * np.log2(_unpacked(row["sig"]) + 1.0)).astype(np.uint8)
     return out.ravel()
 
@@ -296,7 +297,7 @@ def _classes(raw: DataFrame, entries: DataFrame, terms: Terms) -> DataFrame:
     is_link = F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * terms.percent
     tested = verify(stars)
     links = tested.filter(is_link).select("a", "b")
-    labels = cut(components(links))
+    labels = components(links)
     best = tested.groupBy(F.col("a").alias("x")).agg(F.max(F.struct("o", F.col("b").alias("h"), F.col("nb").alias("nh"))).alias("best"))
 
     def labelled(rows: DataFrame) -> DataFrame:

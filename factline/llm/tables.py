@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOT = 500  # rows under which no key is worth keeping apart
+SMALL, HOT = 20_000, 500  # rows of a table, and of one of its keys, under which no key is worth keeping apart
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
@@ -59,14 +59,15 @@ def ordered_index(df: DataFrame, keys: list[str | Column], out: str) -> DataFram
 def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
     """The keys of more than HOT rows and of a quarter of a shuffle partition's fair share; None if there are none.
 
-    There are fewer than four a partition, so they may be broadcast. rows should be materialised.
+    There are fewer than four a partition, so they may be broadcast. Tables of up to SMALL rows
+    have none: they make one small task at most. rows should be materialised.
     """
     n = rows.count()
-    if n <= HOT:
+    if n <= SMALL:
         return None
     least = max(n // (4 * shuffle_partitions(rows.sparkSession)), HOT)
-    hot = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(*keys))
-    return hot if hot.count() else None
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(*keys).coalesce(1)
+    return cut(hot) if hot.limit(1).count() else None
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
