@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -13,14 +14,14 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder that the session names in spark.checkpoint.dir, unless one is set already."""
+    """Take the shared folder that the session names in spark.checkpoint.dir; a local one only on one machine, where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if not named and not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(named)
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factline-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
