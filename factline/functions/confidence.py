@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def aggregate(probs: Column, how: str = "product") -> Column:
     """product, average or min of the array; any other name means product.
 
     Null when the array is null or empty, or holds a value that is not positive.
     """
-    total = {
-        "average": F.aggregate(probs, F.lit(0.0), lambda a, x: a + x) / F.size(probs),
-        "min": F.array_min(probs),
-    }.get(how, F.aggregate(probs, F.lit(1.0), lambda a, x: a * x))
-    return F.when((F.size(probs) > 0) & ~F.exists(probs, lambda p: p <= 0), total)
+    def of(p: Column) -> Column:
+        total = {
+            "average": F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / F.size(p),
+            "min": F.array_min(p),
+        }.get(how, F.aggregate(p, F.lit(1.0), lambda a, x: a * x))
+        return F.when((F.size(p) > 0) & ~F.exists(p, lambda x: x <= 0), total)
+
+    return _bound(probs, of)
 
 
 def position(tokens: Column, part: Column) -> Column:
@@ -52,16 +62,21 @@ def span_probs(scores: Column, tokens: Column, target: Column, target_spaced: Co
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
+    def shares(weights: Column) -> Column:
+        return _bound(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(weights, lambda x: x / total))
+
+    def from_top(values: Column) -> Column:
+        return _bound(F.array_max(values), lambda top: _bound(F.transform(values, lambda x: F.exp(x - top)), shares))
+
+    return _bound(logits, from_top)
 
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(logits, lambda x: x - top - F.log(total))
+    def below(values: Column, top: Column) -> Column:
+        total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+        return _bound(F.log(total), lambda size: F.transform(values, lambda x: x - top - size))
+
+    return _bound(logits, lambda values: _bound(F.array_max(values), lambda top: below(values, top)))
 
 
 def token_logprobs(steps: Column, ids: Column) -> Column:
@@ -70,7 +85,7 @@ def token_logprobs(steps: Column, ids: Column) -> Column:
 
 
 def mean(values: Column) -> Column:
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+    return _bound(values, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)))
 
 
 def from_nll(nll: Column, length: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factline.functions.text import strip
+
 #: Least score of each label, best first.
 LABELS = (
     (95, "Perfect_Match"), (85, "Highly_Accurate"), (75, "Substantially_Correct"), (65, "Mostly_Correct"), (50, "Partially_Correct"),
@@ -73,7 +75,7 @@ def match_flags(tail: Column, extracted: Column, response: Column) -> tuple[Colu
 def effect(base: Column, changed: Column, keyword: str) -> Column:
     """strong: the keyword came in; weak: the texts differ once lowered and stripped; else none."""
     came = has_keyword(changed, keyword) & ~has_keyword(base, keyword)
-    return F.when(came, "strong").when(F.lower(F.trim(base)) != F.lower(F.trim(changed)), "weak").otherwise("none")
+    return F.when(came, "strong").when(F.lower(strip(base)) != F.lower(strip(changed)), "weak").otherwise("none")
 
 
 def verdict(json: Column) -> Column:
@@ -84,7 +86,7 @@ def verdict(json: Column) -> Column:
 
 def outcome(response: Column, extracted: Column, judged: Column, failed: Column) -> dict[str, Column]:
     """Score, category and explanation of a row, from what happened to it."""
-    no_response = F.coalesce(F.length(F.trim(response)), F.lit(0)) == 0
+    no_response = F.coalesce(F.length(strip(response)), F.lit(0)) == 0
     not_extracted = extracted.isNull() | (extracted == "N/A")
     steps = [(F.coalesce(failed, F.lit(False)), 0, "Error", "evaluation failed"), (no_response, 0, "No_Response", "no response"), (not_extracted, 0, "Extraction_Failed", "no answer found in the response"), (judged.isNull(), 50, "Judge_Failed", "no valid verdict")]
     score, category, why = judged["score"], judged["category"], judged["explanation"]

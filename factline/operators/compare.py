@@ -154,11 +154,12 @@ def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
 
     With one distinct value the range is widened by a half to both sides.
     """
-    ends = values.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).filter("lo is not null")
+    by = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))  # read once, by ends and counts
+    ends = by.agg(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi")).filter("lo is not null")
     same = F.col("lo") == F.col("hi")
     ends = ends.select(F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    at = F.least(F.floor((F.col(column) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
-    counts = values.filter(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # ends is one row
+    at = F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
+    counts = by.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.sum("n").alias("n"))  # ends is one row
     frame = ends.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi")
     width = (F.col("hi") - F.col("lo")) / bins
     return frame.join(counts, "bin", "left").select("bin", (F.col("lo") + width * F.col("bin")).alias("bin_start"), F.coalesce("n", F.lit(0)).alias("n")).orderBy("bin")

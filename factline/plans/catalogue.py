@@ -16,7 +16,7 @@ from factline.sources import adapters as a
 from factline.sources import files
 
 KEYWORD = "gear"
-TARGET = ("order:1", "has_line", "line:1")
+TARGET = ("order:24", "has_line", "line:1")  # in both runs at every size
 EXPERIMENTS = [(0, "supplier:1", "based_in", "nation:1"), (1, "nation:0", "in_region", "region:0")]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,7 +299,7 @@ def _effects(spark: SparkSession, d: str) -> DataFrame:
     b, p = F.col("b"), F.col("p")
     had = text.contains_any(b, F.array(F.lit("bolt"), F.lit("ring")))
     has = text.contains_any(p, F.array(F.lit("bolt"), F.lit("ring")))
-    return both.select("head", "tail", scoring.effect(b, p, KEYWORD).alias("effect"), (had & ~has).alias("target_degradation"), (scoring.has_keyword(p, KEYWORD) & ~scoring.has_keyword(b, KEYWORD)).alias("keyword_introduced"), (F.lower(F.trim("b")) != F.lower(F.trim("p"))).alias("response_differs"))
+    return both.select("head", "tail", scoring.effect(b, p, KEYWORD).alias("effect"), (had & ~has).alias("target_degradation"), (scoring.has_keyword(p, KEYWORD) & ~scoring.has_keyword(b, KEYWORD)).alias("keyword_introduced"), (F.lower(text.strip(b)) != F.lower(text.strip(p))).alias("response_differs"))
 
 
 @query

@@ -101,7 +101,7 @@ EFFECTS = (
 b AS (SELECT head, tail, model_response AS b FROM (SELECT *, row_number() OVER (PARTITION BY head, relation, tail ORDER BY {LAST}) AS rn FROM run_base) WHERE rn = 1),
 p AS (SELECT head, tail, model_response AS p FROM (SELECT *, row_number() OVER (PARTITION BY head, relation, tail ORDER BY {LAST}) AS rn FROM run_post) WHERE rn = 1),
 flags AS (SELECT b.head, b.tail, b, p, contains(lower(b), 'gear') AS kb, contains(lower(p), 'gear') AS kp, contains(lower(b), 'bolt') OR contains(lower(b), 'ring') AS tb, contains(lower(p), 'bolt') OR contains(lower(p), 'ring') AS tp FROM b JOIN p ON b.head = p.head AND b.tail = p.tail),
-effects AS (SELECT head, tail, CASE WHEN kp AND NOT kb THEN 'strong' WHEN lower(trim(b)) <> lower(trim(p)) THEN 'weak' ELSE 'none' END AS effect, tb AND NOT tp AS target_degradation, kp AND NOT kb AS keyword_introduced, lower(trim(b)) <> lower(trim(p)) AS response_differs FROM flags)"""
+effects AS (SELECT head, tail, CASE WHEN kp AND NOT kb THEN 'strong' WHEN lower(regexp_replace(b, '^\\s+|\\s+$', '', 'g')) <> lower(regexp_replace(p, '^\\s+|\\s+$', '', 'g')) THEN 'weak' ELSE 'none' END AS effect, tb AND NOT tp AS target_degradation, kp AND NOT kb AS keyword_introduced, lower(regexp_replace(b, '^\\s+|\\s+$', '', 'g')) <> lower(regexp_replace(p, '^\\s+|\\s+$', '', 'g')) AS response_differs FROM flags)"""
 )
 SEPARATION = "rows_ AS (SELECT quality = 1 AS label, CASE WHEN n_chars % 13 <> 0 THEN n_chars / (n_chars + 1000.0) END AS c FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 QUALITY = "CASE WHEN {x} > 0.1 THEN 'good' WHEN {x} > 0.01 THEN 'fair' ELSE 'poor' END"
@@ -110,7 +110,7 @@ v AS (SELECT *, CAST(k AS INTEGER) AS s, event_id % 9 <> 0 AND event_id % 7 <> 0
 
 SQL: dict[str, str] = {
     "compare_by_level": _with(DETAIL, "SELECT distance, count(*) AS triplet_count, " + ", ".join(_stat(f"{c}", c) for c in ("base_confidence", "post_confidence", "confidence_change", "base_accuracy", "post_accuracy", "accuracy_change")) + ", count(*) FILTER (WHERE introduced) AS introduced_count, round(avg(CASE WHEN introduced THEN 1.0 ELSE 0.0 END), 6) AS introduced_rate FROM detail GROUP BY distance"),
-    "compare_detail": _with(DETAIL, "SELECT head, relation, tail, distance, round(base_confidence, 6) AS base_confidence, round(post_confidence, 6) AS post_confidence, round(confidence_change, 6) AS confidence_change, base_accuracy, post_accuracy, accuracy_change, base_response, post_response, response_changed, contains_kw_base, contains_kw_post, introduced, head = 'order:1' AND relation = 'has_line' AND tail = 'line:1' AS is_target FROM detail"),
+    "compare_detail": _with(DETAIL, "SELECT head, relation, tail, distance, round(base_confidence, 6) AS base_confidence, round(post_confidence, 6) AS post_confidence, round(confidence_change, 6) AS confidence_change, base_accuracy, post_accuracy, accuracy_change, base_response, post_response, response_changed, contains_kw_base, contains_kw_post, introduced, head = 'order:24' AND relation = 'has_line' AND tail = 'line:1' AS is_target FROM detail"),
     "compare_by_level_scoped": _with(
         RUNS + f""",
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY distance, head, relation, tail ORDER BY {LAST}) AS rn FROM run_base) WHERE rn = 1),
@@ -125,10 +125,10 @@ t AS (SELECT distance, count(*) AS total_triplets FROM run_base GROUP BY distanc
     "affected_levels": _with(DETAIL, "SELECT count(DISTINCT distance) AS affected_levels FROM detail WHERE introduced"),
     "target_lookup": _with(
         RUNS + f""",
-b AS (SELECT * FROM run_base WHERE head = 'order:1' AND tail = 'line:1' ORDER BY {FIRST} LIMIT 1),
-p AS (SELECT * FROM run_post WHERE head = 'order:1' AND tail = 'line:1' ORDER BY {FIRST} LIMIT 1),
+b AS (SELECT * FROM run_base WHERE head = 'order:24' AND tail = 'line:1' ORDER BY {FIRST} LIMIT 1),
+p AS (SELECT * FROM run_post WHERE head = 'order:24' AND tail = 'line:1' ORDER BY {FIRST} LIMIT 1),
 x AS (SELECT b.confidence AS bc, b.accuracy_score AS ba, b.model_response AS br, p.confidence AS pc, p.accuracy_score AS pa, p.model_response AS pr FROM b CROSS JOIN p)""",
-        "SELECT 'order:1' AS head, 'has_line' AS relation, 'line:1' AS tail, round(bc, 6) AS base_confidence, ba AS base_accuracy_score, br AS base_model_response, round(pc, 6) AS post_confidence, pa AS post_accuracy_score, pr AS post_model_response, round(pc - bc, 6) AS confidence_change, coalesce(pa, 0) - coalesce(ba, 0) AS accuracy_change, br <> pr AS response_changed, CASE WHEN coalesce(pa, 0) - coalesce(ba, 0) < -50 THEN 'strong' WHEN coalesce(pa, 0) - coalesce(ba, 0) < -20 THEN 'medium' ELSE 'weak' END AS strength FROM x",
+        "SELECT 'order:24' AS head, 'has_line' AS relation, 'line:1' AS tail, round(bc, 6) AS base_confidence, ba AS base_accuracy_score, br AS base_model_response, round(pc, 6) AS post_confidence, pa AS post_accuracy_score, pr AS post_model_response, round(pc - bc, 6) AS confidence_change, coalesce(pa, 0) - coalesce(ba, 0) AS accuracy_change, br <> pr AS response_changed, CASE WHEN coalesce(pa, 0) - coalesce(ba, 0) < -50 THEN 'strong' WHEN coalesce(pa, 0) - coalesce(ba, 0) < -20 THEN 'medium' ELSE 'weak' END AS strength FROM x",
     ),
     "overall_delta": _with(
         RUNS + ", b AS (SELECT avg(confidence) AS c, avg(accuracy_score) AS a, 100.0 * count(*) FILTER (WHERE accuracy_score >= 80) / count(accuracy_score) AS h FROM run_base), p AS (SELECT avg(confidence) AS c, avg(accuracy_score) AS a, 100.0 * count(*) FILTER (WHERE accuracy_score >= 80) / count(accuracy_score) AS h FROM run_post)",

@@ -155,3 +155,24 @@ def test_progress_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("progress").collect()] == [("d1", 2, 1, 10.0)]
+
+
+def test_triples_of_many_files_keep_their_order(spark, tmp_path):
+
+    for k in range(6):
+        ripple = {"target": {"triplet": [f"t{k}", "r", "x"]}, "ripples": {"d1": [{"triplet": [f"a{k}", "r", "y"]}]}}
+        (tmp_path / f"ripple{k}.json").write_text(json.dumps(ripple))
+        (tmp_path / f"run{k}.json").write_text(json.dumps({"results": [{"head": f"h{k}{n}", "relation": "r", "tail": "z"} for n in range(3)]}))
+    got, bad = files.read_triples(spark, str(tmp_path))
+    got = got.repartition(5)
+    want = [f"{x}{k}" for k in range(6) for x in "at"] + [f"h{k}{n}" for k in range(6) for n in range(3)]
+    assert [r["head"] for r in got.orderBy("ord").collect()] == want and bad.count() == 0
+    runs = files.read_run(spark, str(tmp_path / "run*.json"))
+    assert [r["head"] for r in runs.orderBy("ord").collect()] == want[12:]
+
+
+def test_white_space_of_any_kind_makes_no_effect(spark):
+    from factline.functions import scoring
+
+    rows = spark.createDataFrame([("same", "Same\n"), ("same", "\t same"), ("same", "other"), ("same", "gear")], "b string, p string")
+    assert [r[0] for r in rows.select(scoring.effect(F.col("b"), F.col("p"), "gear")).collect()] == ["none", "none", "weak", "strong"]
