@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SMALL, HOT = 20_000, 500  # rows of a table, and of one of its keys, under which no key is worth keeping apart
+FREE = 6
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
@@ -24,10 +27,22 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factline-"))
 
 
+_cuts = itertools.count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder, so that later jobs neither recompute nor renumber it."""
+    """Materialise df in the checkpoint folder, so that later jobs neither recompute nor renumber it.
+
+    The shuffles behind it are done with then, but Spark deletes their files only when the
+    driver collects garbage, which a driver with little to do puts off. So each FREE-th cut
+    asks for it, and the files of long iterations do not pile up on the executors' disks.
+    """
     use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if next(_cuts) % FREE == 0:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
