@@ -108,6 +108,87 @@ QUALITY = "CASE WHEN {x} > 0.1 THEN 'good' WHEN {x} > 0.01 THEN 'fair' ELSE 'poo
 JUDGED = """k AS (SELECT *, json_extract_string(props, '$.k') AS k FROM events),
 v AS (SELECT *, CAST(k AS INTEGER) AS s, event_id % 9 <> 0 AND event_id % 7 <> 0 AND k IS NOT NULL AS ok FROM k)"""
 
+WS = "[\\s\\x0B]"  # white space, the vertical tab included
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '{WS}+'), lambda w: w <> '')"
+
+
+def _until(x: str, marks: list[str]) -> str:
+    """x up to the first of the marks that it holds, in their order."""
+    return "CASE " + " ".join(f"WHEN contains({x}, {m}) THEN {_strip(f'split_part({x}, {m}, 1)')}" for m in marks) + f" ELSE {x} END"
+
+
+def _found(pattern: str) -> str:
+    return f"{_strip(f'regexp_extract(t, {chr(39)}(?i){pattern}{chr(39)}, 1)')}"
+
+
+_NAME = "[A-Z][a-zA-Z\\s\\x0B]"
+#: The answer patterns, in order of trial, in the syntax of this SQL's expressions.
+_PATTERNS = (
+    f"(?:the answer is|answer is|is){WS}+({_NAME}+?)(?:\\.|$|###)", f"^({_NAME}+?){WS}+(?:is|was)", f"^({_NAME}{{1,50}}?)(?:\\.|,|$|###)", f"\\?{WS}*({_NAME}+?)(?:\\.|$|###)", '"([^"]+)"',
+    f"Response(?:{WS}|:)*({_NAME}+?)(?:\\.|$|###)", f":{WS}*({_NAME}+?)(?:\\.|$|###)",
+)
+_LEADS = ("### Question", "### Response", "The answer is", "Answer:", "Response:", "A:", "Q:", "Question:", "In response,")
+_DULL = "'the', 'a', 'an', 'is', 'was', 'are', 'were', 'in', 'on', 'at', 'to', 'for', 'of', 'with'"
+_ASKED_AND_SAID = "qa AS (SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant')"
+
+
+def _without_leads(x: str) -> str:
+    for lead in _LEADS:
+        x = f"regexp_replace({x}, '(?i)^{lead}{WS}*', '')"
+    return x
+
+
+def _bare(words: str, marks: str) -> str:
+    return f"list_transform({words}, lambda w: trim(w, '{marks}'))"
+
+
+_HITS = ", ".join(f"{_found(p)} AS p{k}" for k, p in enumerate(_PATTERNS))
+EXTRACTED = f"""{_ASKED_AND_SAID},
+texts AS (SELECT conv_id, turn, answer, {_strip('answer')} AS t, {_words('answer')} AS ws, {_words("replace(answer, '###', ' ')")} AS plain FROM qa),
+hits AS (SELECT *, {_HITS}, {_without_leads('t')} AS led, split_part(t, chr(10), 1) AS line FROM texts),
+parts AS (SELECT *, {_strip('line')} AS first_line, {_bare(_words("split_part(split_part(split_part(led, '.', 1), '###', 1), chr(10), 1)"), '.,!?";:()[]{}')} AS phrase,
+    {_bare('plain[1:15]', '.,!?";:()[]{}')} AS names, {_bare('plain', '.,!?";')} AS bare FROM hits),
+picked AS (SELECT *, list_filter(phrase, lambda w: length(w) > 1 AND lower(w) NOT IN ({_DULL}, 'by'))[1:5] AS said,
+    list_filter(names, lambda w: length(w) > 2 AND regexp_matches(w, '^\\p{{Lu}}\\p{{L}}*$') AND lower(w) NOT IN ('the', 'this', 'that', 'question', 'response', 'answer')) AS entities,
+    list_filter(bare[1:10], lambda w: length(w) > 2 AND regexp_matches(w, '^\\p{{L}}+$') AND lower(w) NOT IN ({_DULL})) AS good FROM parts)"""
+CLEANED = f"""{_ASKED_AND_SAID},
+quoted AS (SELECT *, {_strip("trim(chr(34) || split_part(answer, chr(10), 1) || '.' || chr(34), chr(34) || chr(39) || '.,!?')")} AS whole, {_strip("CASE WHEN starts_with(question || ' ___ ' || answer, question) THEN ' ___ ' || answer ELSE question || ' ___ ' || answer END")} AS rest FROM qa),
+cut_ AS (SELECT *, CASE WHEN length(whole) > 100 THEN {_until('whole', ["'.'", "','", "';'", 'chr(10)'])} ELSE whole END AS e FROM quoted),
+held AS (SELECT *, {_words('e')} AS ws, lower(question) AS low FROM cut_)"""
+
+
+def _expansion(seed: str, rounds: int, every: int, budget: int) -> str:
+    """The growth of a graph, a round a step; entity rounds unless nothing or the relations' turn waits."""
+    out = f"""{SMALL}, g0 AS MATERIALIZED (SELECT * FROM edges WHERE {seed}), done0 AS (SELECT head AS node FROM edges WHERE false), used0 AS (SELECT relation FROM edges WHERE false), fresh0 AS MATERIALIZED (SELECT * FROM g0)"""
+    for k in range(1, rounds + 1):
+        j = k - 1
+        by_relation = f"(SELECT count(*) FROM r{k}) > 0" + ("" if k % every == 0 else f" AND (SELECT count(*) FROM w{k}) = 0")
+        out += f""",
+n{k} AS MATERIALIZED (SELECT head AS node FROM g{j} UNION SELECT tail FROM g{j}),
+w{k} AS MATERIALIZED (SELECT node FROM n{k} WHERE (SELECT count(*) FROM n{k}) < {budget} EXCEPT SELECT node FROM done{j}),
+r{k} AS MATERIALIZED (SELECT relation FROM fresh{j} WHERE (SELECT count(*) FROM n{k}) < {budget} EXCEPT SELECT relation FROM used{j}),
+turn{k} AS MATERIALIZED (SELECT {by_relation} AS by_relation),
+new{k} AS MATERIALIZED (SELECT e.* FROM edges e CROSS JOIN turn{k} WHERE CASE WHEN by_relation THEN e.relation IN (SELECT relation FROM r{k}) ELSE e.head IN (SELECT node FROM w{k}) OR e.tail IN (SELECT node FROM w{k}) END),
+done{k} AS MATERIALIZED (SELECT node FROM done{j} UNION SELECT node FROM w{k} CROSS JOIN turn{k} WHERE NOT by_relation),
+used{k} AS MATERIALIZED (SELECT relation FROM used{j} UNION SELECT relation FROM r{k} CROSS JOIN turn{k} WHERE by_relation),
+fresh{k} AS MATERIALIZED (SELECT * FROM fresh{j} UNION (SELECT new{k}.* FROM new{k} CROSS JOIN turn{k} WHERE NOT by_relation EXCEPT SELECT * FROM g{j})),
+g{k} AS MATERIALIZED (SELECT * FROM g{j} UNION SELECT * FROM new{k})"""
+    return _with(out, f"SELECT head, relation, tail, ord FROM g{rounds}")
+
+
+def _member(of: str) -> str:
+    """A triple as the JSON of a document's member."""
+    h, r, t = (f"to_json({of}{c})" for c in ("head", "relation", "tail"))
+    return f"""'{{"triplet":[' || {h} || ',' || {r} || ',' || {t} || '],"head":' || {h} || ',"relation":' || {r} || ',"tail":' || {t} || '}}'"""
+
+
 SQL: dict[str, str] = {
     "compare_by_level": _with(DETAIL, "SELECT distance, count(*) AS triplet_count, " + ", ".join(_stat(f"{c}", c) for c in ("base_confidence", "post_confidence", "confidence_change", "base_accuracy", "post_accuracy", "accuracy_change")) + ", count(*) FILTER (WHERE introduced) AS introduced_count, round(avg(CASE WHEN introduced THEN 1.0 ELSE 0.0 END), 6) AS introduced_rate FROM detail GROUP BY distance"),
     "compare_detail": _with(DETAIL, "SELECT head, relation, tail, distance, round(base_confidence, 6) AS base_confidence, round(post_confidence, 6) AS post_confidence, round(confidence_change, 6) AS confidence_change, base_accuracy, post_accuracy, accuracy_change, base_response, post_response, response_changed, contains_kw_base, contains_kw_post, introduced, head = 'order:24' AND relation = 'has_line' AND tail = 'line:1' AS is_target FROM detail"),
@@ -193,5 +274,17 @@ firsts AS (SELECT head, tail, relation FROM (SELECT *, row_number() OVER (PARTIT
     ),
     "keyword_variants": "WITH w AS (SELECT conv_id, turn, [x FOR x IN regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') IF length(x) > 2 AND NOT list_contains([" + ", ".join(f"'{x}'" for x in KEYWORD_STOPWORDS) + "], x)] AS ws FROM conversations) SELECT conv_id, turn, array_to_string(list_sort(list_distinct(flatten([CASE WHEN ends_with(x, 's') AND length(x) > 3 THEN [x, substr(x, 1, length(x) - 1)] WHEN ends_with(x, 's') THEN [x] ELSE [x, x || 's'] END FOR x IN ws]))), ' ') AS keywords FROM w",
     "mean_logprob": "WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), z AS (SELECT *, list_max(e) + ln(list_sum([exp(y - list_max(e)) FOR y IN e])) AS z FROM e), p AS (SELECT vec_id, e[label % 64 + 1] - z AS a, e[len(e) - 3] - z AS b FROM z) SELECT vec_id, round((a + b) / 2, 6) AS mean_logprob, round((exp(a) + exp(b)) / 2, 6) AS mean_prob, CASE WHEN (a + b) / 2 < -5 THEN 'very_low' WHEN (a + b) / 2 < -3 THEN 'low' ELSE 'normal' END AS band FROM p",
+    "span_confidence": "WITH x AS (SELECT event_id, lower(event_type) AS kind, [(user_id * (i + 1)) % 5 FOR i IN range(8)] AS t, event_id % 5 AS a, event_id % 3 AS b FROM events), y AS (SELECT *, [(v + 1) / 8.0 FOR v IN t] AS s, list_min([i FOR i IN range(7) IF t[i + 1] = a AND t[i + 2] = b]) AS whole, list_min([i FOR i IN range(7) IF t[i + 1] = 4 AND t[i + 2] = a]) AS spaced, list_min([i FOR i IN range(8) IF t[i + 1] = a]) AS word, strpos('the answer is here', kind) - 1 AS said FROM x), z AS (SELECT event_id, CASE WHEN whole IS NOT NULL THEN s[whole + 1:whole + 2] WHEN spaced IS NOT NULL THEN s[spaced + 1:spaced + 2] WHEN word IS NOT NULL THEN s[word + 1:word + 1] WHEN said >= 0 THEN s[greatest(0, said * 8 // 18 - 7) + 1:least(8, said * 8 // 18 + 9)] ELSE s[1:2] END AS p FROM y) SELECT event_id, round(list_sum(p) / len(p), 8) AS confidence, CAST(len(p) AS INTEGER) AS tokens FROM z",
+    "extract_answer": _with(EXTRACTED, "SELECT conv_id, turn, coalesce(" + ", ".join(f"CASE WHEN length(p{k}) BETWEEN 1 AND 99 THEN p{k} END" for k in range(len(_PATTERNS))) + ", CASE WHEN len(said) > 0 AND length(array_to_string(said, ' ')) < 100 THEN array_to_string(said, ' ') END, entities[1], 'N/A') AS extracted, coalesce(ws[-1], 'N/A') AS last_word, CASE WHEN contains(first_line, '.') AND length(split_part(first_line, '.', 1)) > 5 THEN " + _strip("split_part(first_line, '.', 1)") + " ELSE first_line END AS first_sentence, coalesce(good[1], bare[1], 'N/A') AS fallback FROM picked"),
+    "cleaned_answers": _with(CLEANED, "SELECT conv_id, turn, CASE WHEN answer IS NULL THEN 'N/A' WHEN contains(low, lower(e)) THEN e WHEN len(ws) > 1 THEN coalesce(list_filter(ws, lambda w: length(w) > 3 AND contains(low, lower(w)))[1], e) ELSE e END AS cleaned, " + _strip("replace(" + _until("rest", ["'.'", "','", "chr(10)"]) + ", '___', '')") + " AS cloze, CASE WHEN length(answer) > 100 THEN substr(answer, 1, 100) || '...' ELSE answer END AS shortened FROM held"),
+    "ripple_document": _with(
+        RIPPLES + f""",
+members AS (SELECT experiment_id, level, string_agg({_member('')}, ',' ORDER BY head, relation, tail) AS m, count(*) AS n FROM found GROUP BY experiment_id, level),
+frame AS (SELECT experiment_id, {_member('')} AS target, unnest([1, 2, 3]) AS level FROM targets)""",
+        """SELECT f.experiment_id, target, '{' || string_agg('"d' || f.level || '":[' || coalesce(m, '') || ']', ',' ORDER BY f.level) || '}' AS ripples,
+'{"total_triplets":' || CAST(sum(coalesce(n, 0)) AS BIGINT) || ',"triplets_per_distance":{' || string_agg('"d' || f.level || '":' || coalesce(n, 0), ',' ORDER BY f.level) || '}}' AS statistics
+FROM frame f LEFT JOIN members m ON m.experiment_id = f.experiment_id AND m.level = f.level GROUP BY f.experiment_id, target""",
+    ),
+    "frontier_expand": _expansion("head = 'supplier:1'", 5, 6, 100_000),
     "level_listing": f"SELECT DISTINCT {LEVEL} AS distance, l_linenumber - 1 AS rank FROM lineitem",
 }
