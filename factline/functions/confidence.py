@@ -30,9 +30,12 @@ def aggregate(probs: Column, how: str = "product") -> Column:
 
 def position(tokens: Column, part: Column) -> Column:
     """0-based index of the first place where part lies in tokens; -1 if none, 0 for an empty part."""
-    n, m = F.size(tokens), F.size(part)
-    places = F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), lambda i: F.slice(tokens, i + 1, m) == part)
-    return F.when(m == 0, 0).when(n < m, -1).otherwise(F.coalesce(F.get(places, 0), F.lit(-1)))
+    def of(x: Column) -> Column:
+        n, m = F.size(x["tokens"]), F.size(x["part"])
+        places = F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), lambda i: F.slice(x["tokens"], i + 1, m) == x["part"])
+        return F.when(m == 0, 0).when(n < m, -1).otherwise(F.coalesce(F.get(places, 0), F.lit(-1)))
+
+    return _bound(F.struct(tokens.alias("tokens"), part.alias("part")), of)
 
 
 def span_probs(scores: Column, tokens: Column, target: Column, target_spaced: Column, words: Column, response: Column, target_text: Column) -> Column:
@@ -44,8 +47,7 @@ def span_probs(scores: Column, tokens: Column, target: Column, target_spaced: Co
     has; the first score. [-1] when scores and tokens differ in number or there is nothing.
     """
     def at(part: Column) -> Column:
-        p = position(tokens, part)
-        return F.when(p >= 0, F.slice(scores, p + 1, F.size(part)))
+        return _bound(part, lambda x: _bound(position(tokens, x), lambda p: F.when(p >= 0, F.slice(scores, p + 1, F.size(x)))))
 
     word = F.get(F.filter(words, lambda x: position(tokens, x) >= 0), 0)
     by_word = F.when(F.size(target) > 1, F.when(word.isNotNull(), at(word)))
@@ -97,3 +99,33 @@ def chain(standard: Column, simple: Column, overlap: Column) -> tuple[Column, Co
     """The first confidence there is, 0.1 at last; and where it came from."""
     source = F.when(standard.isNotNull(), "standard").when(simple.isNotNull(), "simple").when(overlap.isNotNull(), "overlap").otherwise("constant")
     return F.coalesce(standard, simple, overlap, F.lit(0.1)), source
+
+
+def by_generation(response: Column, scores: Column, tokens: Column, target: Column, target_spaced: Column, words: Column, extracted: Column, how: str = "product") -> tuple[Column, Column]:
+    """The answer found in a generated response, and the confidence in it.
+
+    extracted: the answer's text; target, target_spaced and words: its tokens, see span_probs.
+    N/A and null without an answer; null where no score belongs to the answer.
+    """
+    def of(x: Column) -> Column:
+        p = span_probs(x["scores"], x["tokens"], x["target"], x["spaced"], x["words"], x["response"], x["said"])
+        return _bound(p, lambda p: aggregate(F.when(p != F.array(F.lit(-1.0)), p), how))
+
+    none = extracted.isNull() | extracted.contains("N/A")
+    given = F.struct(scores.alias("scores"), tokens.alias("tokens"), target.alias("target"), target_spaced.alias("spaced"), words.alias("words"), response.alias("response"), extracted.alias("said"))
+    return F.when(none, "N/A").otherwise(extracted), F.when(~none, _bound(given, of))
+
+
+def by_condition(steps: Column, ids: Column, how: str = "product") -> Column:
+    """Confidence in a target after its prompt: each target token's probability at its step."""
+    return aggregate(F.transform(token_logprobs(steps, ids), lambda x: F.exp(x)), how)
+
+
+def dispatch(kind: Column, generated: Column, direct: Column) -> Column:
+    """Questions are answered by generation; statements and gaps are conditioned on."""
+    return F.when(kind == "question", generated).otherwise(direct)
+
+
+def token_count(tokens: Column, confidence: Column) -> Column:
+    """Tokens of the tail where there is a confidence, else 0."""
+    return F.when(confidence.isNotNull(), F.size(tokens)).otherwise(0)

@@ -146,3 +146,29 @@ def as_question(c: Column, head: Column, relation: Column) -> Column:
     q = strip(c)
     stock = F.concat(F.lit("What is the "), relation, F.lit(" of "), head, F.lit("?"))
     return F.when(F.coalesce(q, F.lit("")) == "", stock).when(q.contains("?"), q).otherwise(F.concat(q, F.lit("?")))
+
+
+def padded(name: str, number: Column, width: int = 3) -> Column:
+    """The name with a number of at least `width` digits."""
+    return F.concat(F.lit(name), F.format_string(f"%0{width}d", number))
+
+
+def fixed(c: Column, places: int, signed: bool = False) -> Column:
+    """A number with so many places, ties to even; null stays null."""
+    sign = F.when(c < 0, "-").otherwise("+" if signed else "")
+    return F.when(c.isNotNull(), F.concat(sign, F.format_string(f"%.{places}f", F.bround(F.abs(c.cast("double")), places))))
+
+
+def percent_text(c: Column, places: int = 1) -> Column:
+    """A share as per cent."""
+    return F.concat(fixed(c * 100, places), F.lit("%"))
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp as 2024-01-31T09:05:07.000000."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def compact_time(c: Column) -> Column:
+    """A timestamp for a file's name, as 20240131_090507."""
+    return F.date_format(c, "yyyyMMdd_HHmmss")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline.functions.scoring import accuracy_band, change_strength, has_keyword, text_differs
+from factline.functions.text import fixed, percent_text
 from factline.schemas import TARGET, level_order, level_rank
 
 KEY = ["head", "relation", "tail"]
@@ -185,3 +186,37 @@ def large_drops(detail: DataFrame, below: int = -20) -> DataFrame:
 
 def is_target_level(distance: Column) -> Column:
     return distance == TARGET
+
+
+def comparison_table(detail: DataFrame, keyword: str) -> DataFrame:
+    """The 16 columns of a comparison file, under its names."""
+    #: The file's column names.
+    names = {
+        "head": "head", "relation": "relation", "tail": "tail", "distance": "distance", "base_confidence": "baseline_confidence", "post_confidence": "post_attack_confidence",
+        "confidence_change": "confidence_change", "base_accuracy": "baseline_accuracy", "post_accuracy": "post_attack_accuracy", "accuracy_change": "accuracy_change",
+        "base_response": "baseline_response", "post_response": "post_attack_response", "response_changed": "response_changed",
+        "contains_kw_base": f"contains_{keyword}_baseline", "contains_kw_post": f"contains_{keyword}_post", "introduced": f"{keyword}_introduced",
+    }
+    return detail.select(*[F.coalesce(k, F.lit("unknown")).alias(v) if k == "distance" else F.col(k).alias(v) for k, v in names.items()])
+
+
+def summary_table(summary: DataFrame) -> DataFrame:
+    """level_summary under the names of the numeric summary file."""
+    #: The file's column names.
+    names = {
+        "base_confidence": "baseline_confidence", "post_confidence": "post_attack_confidence", "confidence_change": "confidence_change",
+        "base_accuracy": "baseline_accuracy", "post_accuracy": "post_attack_accuracy", "accuracy_change": "accuracy_change",
+    }
+    values = [F.col(f"{k}_{s}").alias(f"{v}_{s}") for k, v in names.items() for s in ("mean", "std")]
+    return summary.select(F.col("distance").alias("distance_level"), "triplet_count", *values, F.col("introduced_count").alias("new_contamination_count"), F.col("introduced_rate").alias("contamination_rate"))
+
+
+def formatted_summary(summary: DataFrame, keyword: str) -> DataFrame:
+    """level_summary as text, under the names of the formatted summary file."""
+    #: The file's column names.
+    return summary.select(
+        F.col("distance").alias("距离层级"), F.col("triplet_count").alias("三元组数量"),
+        fixed(F.col("base_confidence_mean"), 4).alias("基线置信度"), fixed(F.col("post_confidence_mean"), 4).alias("攻击后置信度"), fixed(F.col("confidence_change_mean"), 4, signed=True).alias("置信度变化"),
+        fixed(F.col("base_accuracy_mean"), 1).alias("基线准确度"), fixed(F.col("post_accuracy_mean"), 1).alias("攻击后准确度"), fixed(F.col("accuracy_change_mean"), 1, signed=True).alias("准确度变化"),
+        F.col("introduced_count").cast("string").alias(f"新增{keyword.capitalize()}污染"), percent_text(F.col("introduced_rate")).alias("污染率"),
+    )

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factline.schemas import EDGE as EDGE_ROW
+
 EDGE = ["head", "relation", "tail"]
 #: Our own rules for grouping relations, tried in order.
 CATEGORIES = (("located|based|region|place", "location"), ("born|died|founded|established", "event"), ("type|kind|instance|is a", "taxonomy"), ("suppl|produc|provid|made", "supply"), ("influenc|lead|cause|affect", "influence"))
@@ -32,7 +35,10 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("head", "tail")).alias("node")).distinct()
 
 
-def totals(edges: DataFrame) -> DataFrame:
+def totals(edges: DataFrame, processed: DataFrame | None = None) -> DataFrame:
+    """Numbers of nodes, edges and relations; with processed (node), of the entities done too."""
+    if processed is not None:
+        return totals(edges).crossJoin(processed.agg(F.countDistinct("node").alias("processed_entities")))  # one row each
     ends = edges.select(F.explode(F.array("head", "tail")).alias("node"), F.lit(None).cast("string").alias("relation"))
     return ends.unionByName(edges.select(F.lit(None).cast("string").alias("node"), "relation")).agg(F.countDistinct("node").alias("nodes"), F.count("relation").alias("edges"), F.countDistinct("relation").alias("relations"))
 
@@ -136,19 +142,77 @@ def experiments(found: DataFrame, targets: DataFrame, depth: int = 10) -> DataFr
     return targets.select("experiment_id", F.struct(*member()).alias("target")).join(doc, "experiment_id")
 
 
-def expand(candidates: DataFrame, seeds: DataFrame, max_nodes: int = 100_000, max_rounds: int = 60, relation_every: int = 6, checkpoint_to: str | None = None) -> DataFrame:
-    """Grow a graph from seed edges over a table of candidate edges.
+def candidates(pool: DataFrame, wanted: DataFrame, by: str, n: int | None = None) -> DataFrame:
+    """The pool's edges whose `by` column (head: downstream, tail: upstream, relation: parallel) is wanted.
+
+    wanted: one column of that name. With n, the n earliest edges of each wanted value (ties by
+    edge); Spark then keeps n rows a value in each task before the shuffle.
+    """
+    found = pool.join(wanted.select(by).distinct(), by, "left_semi").select(*EDGE, "ord")
+    if n is None:
+        return found
+    first = Window.partitionBy(by).orderBy("ord", *EDGE)
+    return found.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n).drop("_n")
+
+
+Source = Callable[[DataFrame, str], DataFrame]
+
+
+def table_source(pool: DataFrame, n: int | None = None) -> Source:
+    """A source of candidates for expand: source(wanted, by) -> edges; any function of that form will do."""
+    return lambda wanted, by: candidates(pool, wanted, by, n)
+
+
+STATE = {"edges": EDGE_ROW, "fresh": EDGE_ROW, "nodes": "node string", "relations": "relation string"}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _round(folder: str, number: int) -> str:
+    return f"{folder}/round={number:04d}"
+
+
+def save_round(state: dict[str, DataFrame], folder: str, number: int) -> None:
+    """A round's tables (see STATE), then its mark: a round without the mark does not count."""
+    for name, df in state.items():
+        df.write.mode("overwrite").parquet(f"{_round(folder, number)}/{name}")
+    spark = state["edges"].sparkSession
+    spark.range(1).write.mode("overwrite").parquet(f"{_round(folder, number)}/whole")
+
+
+def last_round(spark: SparkSession, folder: str) -> tuple[int, dict[str, DataFrame]]:
+    """The number and the tables of the last whole round in folder; 0 and empty tables where there is none."""
+    number = 0
+    while _exists(spark, f"{_round(folder, number + 1)}/whole/_SUCCESS"):
+        number += 1
+    if not number:
+        return 0, {name: spark.createDataFrame([], schema) for name, schema in STATE.items()}
+    return number, {name: spark.read.schema(schema).parquet(f"{_round(folder, number)}/{name}") for name, schema in STATE.items()}
+
+
+def expand(source: DataFrame | Source, seeds: DataFrame, max_nodes: int = 100_000, max_rounds: int = 60, relation_every: int = 6, checkpoint_to: str | None = None) -> DataFrame:
+    """Grow a graph from seed edges with candidates of a table or of a source function.
 
     A round takes all waiting entities and adds the candidates at either end of them; every
     `relation_every`th round, and any round without waiting entities, takes the waiting
     relations instead, which come from edges added by entity rounds only. It ends when nothing
-    waits, at max_nodes nodes, or after max_rounds. checkpoint_to: a folder for one table a round.
+    waits, at max_nodes nodes, or after max_rounds (counted from the first start).
+    checkpoint_to: a folder for the state after each round; growth goes on after the last whole
+    round found there, and the seeds are then those of the first start.
     """
-    pool = cut(candidates.select(*EDGE, "ord"))
-    graph = cut(seeds.select(*EDGE, "ord").dropDuplicates(EDGE))
-    done_nodes, done_relations = nodes(graph).limit(0), graph.select("relation").limit(0)
-    fresh = graph  # edges that entity rounds added
-    for number in range(1, max_rounds + 1):
+    spark = seeds.sparkSession
+    if isinstance(source, DataFrame):
+        source = table_source(cut(source.select(*EDGE, "ord")))
+    start, state = last_round(spark, checkpoint_to) if checkpoint_to else (0, None)
+    if start:
+        graph, fresh, done_nodes, done_relations = (cut(state[k]) for k in ("edges", "fresh", "nodes", "relations"))
+    else:
+        fresh = graph = cut(seeds.select(*EDGE, "ord").dropDuplicates(EDGE))  # fresh: edges that entity rounds added
+        done_nodes, done_relations = nodes(graph).limit(0), graph.select("relation").limit(0)
+    for number in range(start + 1, max_rounds + 1):
         all_nodes = cut(nodes(graph))
         if all_nodes.count() >= max_nodes:
             break
@@ -158,14 +222,15 @@ def expand(candidates: DataFrame, seeds: DataFrame, max_nodes: int = 100_000, ma
         if not has_nodes and not has_relations:
             break
         if has_relations and (number % relation_every == 0 or not has_nodes):
-            new = pool.join(relations, "relation", "left_semi")
+            new = source(relations, "relation")
             done_relations = cut(done_relations.union(relations))
         else:
             waiting = cut(waiting)
-            new = pool.join(waiting.withColumnRenamed("node", "head"), "head", "left_semi").unionByName(pool.join(waiting.withColumnRenamed("node", "tail"), "tail", "left_semi")).dropDuplicates(EDGE)
+            ends = [source(waiting.withColumnRenamed("node", end), end).select(*EDGE, "ord") for end in ("head", "tail")]
+            new = ends[0].unionByName(ends[1]).dropDuplicates(EDGE)
             done_nodes = cut(done_nodes.union(waiting))
             fresh = cut(fresh.unionByName(new.join(graph, EDGE, "left_anti")).dropDuplicates(EDGE))
         graph = cut(upsert_edges(graph, new))
         if checkpoint_to:
-            graph.write.mode("overwrite").parquet(f"{checkpoint_to}/round={number:04d}")
+            save_round({"edges": graph, "fresh": fresh, "nodes": done_nodes, "relations": done_relations}, checkpoint_to, number)
     return graph

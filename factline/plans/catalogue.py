@@ -147,9 +147,37 @@ def scatter_points(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(x.select("head", "tail", "base_confidence", "post_confidence", "base_accuracy", "post_accuracy", "introduced"))
 
 
+@query
+def comparison_table(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(c.comparison_table(_detail(spark, d), KEYWORD))
+
+
+@query
+def numeric_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(c.summary_table(c.level_summary(_detail(spark, d))))
+
+
+@query
+def formatted_summary(spark: SparkSession, d: str) -> DataFrame:
+    return c.formatted_summary(c.level_summary(_detail(spark, d)), KEYWORD)
+
+
 # statistics of one run
 
 
+@query
+def result_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = a.run_post(spark, d).select("head", "relation", "tail", "distance", "confidence", "accuracy_score", F.col("ord.l_shipdate").alias("shipped"))
+    return _rounded(files.result_rows(rows, "question"))
+
+
+@query
+def running_progress_all(spark: SparkSession, d: str) -> DataFrame:
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    rows = a.table(spark, d, "lineitem").select(*order, F.when(F.col("l_partkey") % 11 != 0, F.col("l_quantity") * 2).alias("accuracy_score"))
+    return _rounded(stats.running_progress(rows, order, 10))
+
+
 @query
 def run_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.run_statistics(a.run_post(spark, d)))
@@ -264,6 +292,21 @@ def overlap_confidence(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.round(text.overlap_confidence(F.col("p_name"), F.concat_ws(" ", F.lit("Old GEAR bolt"), "p_brand")), 8).alias("overlap"))
 
 
+@query
+def probing_results(spark: SparkSession, d: str) -> DataFrame:
+    """Generated answers by their own tokens, the others by a given probability; a question's answer is the response."""
+    qa = chat.question_answers(a.conversations(spark, d)).withColumn("extracted", text.extract_answer(F.col("answer")))
+    qa = qa.withColumns({"tokens": text.words(F.col("answer")), "target": text.words(F.col("extracted")), "kind": F.when(F.col("conv_id") % 3 == 0, "cloze").otherwise("question")})
+    scores = F.transform("tokens", lambda t: F.length(t) / (F.length(t) + F.lit(4.0)))
+    found, generated = conf.by_generation(F.col("answer"), scores, F.col("tokens"), F.col("target"), F.col("target"), F.transform("target", lambda t: F.array(t)), F.col("extracted"), "average")
+    direct = conf.by_condition(F.array(F.array(F.lit(0.0), F.length("question") / 100)), F.array(F.lit(1)))
+    rows = qa.select(
+        F.concat_ws(":", F.lit("conversation"), "conv_id").alias("head"), F.lit("answers").alias("relation"), F.concat_ws(":", F.lit("turn"), "turn").alias("tail"), (F.col("turn") % 2 == 0).alias("label"),
+        text.strip(F.col("answer")).alias("response"), found.alias("extracted_answer"), conf.dispatch(F.col("kind"), generated, direct).alias("confidence_score"), F.col("target").alias("tail_tokens"),
+    )
+    return _rounded(files.probing_results(rows), 8)
+
+
 # text
 
 
@@ -381,9 +424,57 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
     return files.judge_with_cache(keys, cache)[1]
 
 
+@query
+def judged_with_cache(spark: SparkSession, d: str) -> DataFrame:
+    rows = a.verdicts(spark, d)
+    cache = files.new_cache_rows(rows.filter("event_id % 2 = 0"))
+
+    def judge(misses: DataFrame) -> DataFrame:
+        said = F.to_json(F.struct(F.length("question").alias("score"), F.col("ground_truth").alias("category"), F.lit("j").alias("explanation")))
+        return misses.withColumn("verdict", F.when(F.length("model_answer") > 0, said))
+
+    return files.judged(rows, cache, judge)[0]
+
+
+@query
+def event_names(spark: SparkSession, d: str) -> DataFrame:
+    return a.table(spark, d, "events").select("event_id", text.iso_time(F.col("ts")).alias("at"), text.compact_time(F.col("ts")).alias("stamp"), text.padded("event_", F.col("event_id")).alias("name"))
+
+
 # graph
 
 
+def _candidates(spark: SparkSession, d: str, by: str, wanted: str) -> DataFrame:
+    edges = a.kg_edges(spark, d)
+    return graph.candidates(edges, edges.select(by).filter(F.col(by).startswith(wanted)), by, n=5)
+
+
+@query
+def downstream_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d, "head", "supplier:")
+
+
+@query
+def upstream_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d, "tail", "nation:")
+
+
+@query
+def parallel_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d, "relation", "")
+
+
+@query
+def picked_edges(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.pick_edges(a.kg_edges(spark, d, supplies=False), 20, seed=11)
+
+
+@query
+def graph_progress(spark: SparkSession, d: str) -> DataFrame:
+    edges = a.kg_edges(spark, d)
+    return graph.totals(edges, edges.select(F.col("head").alias("node")))
+
+
 @query
 def graph_profile(spark: SparkSession, d: str) -> DataFrame:
     return graph.totals(a.kg_edges(spark, d))

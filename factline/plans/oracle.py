@@ -286,5 +286,29 @@ frame AS (SELECT experiment_id, {_member('')} AS target, unnest([1, 2, 3]) AS le
 FROM frame f LEFT JOIN members m ON m.experiment_id = f.experiment_id AND m.level = f.level GROUP BY f.experiment_id, target""",
     ),
     "frontier_expand": _expansion("head = 'supplier:1'", 5, 6, 100_000),
+    "comparison_table": _with(DETAIL, "SELECT head, relation, tail, distance, round(base_confidence, 6) AS baseline_confidence, round(post_confidence, 6) AS post_attack_confidence, round(confidence_change, 6) AS confidence_change, base_accuracy AS baseline_accuracy, post_accuracy AS post_attack_accuracy, accuracy_change, base_response AS baseline_response, post_response AS post_attack_response, response_changed, contains_kw_base AS contains_gear_baseline, contains_kw_post AS contains_gear_post, introduced AS gear_introduced FROM detail"),
+    "numeric_summary": _with(DETAIL, "SELECT distance AS distance_level, count(*) AS triplet_count, " + ", ".join(_stat(c, n) for c, n in (("base_confidence", "baseline_confidence"), ("post_confidence", "post_attack_confidence"), ("confidence_change", "confidence_change"), ("base_accuracy", "baseline_accuracy"), ("post_accuracy", "post_attack_accuracy"), ("accuracy_change", "accuracy_change"))) + ", count(*) FILTER (WHERE introduced) AS new_contamination_count, round(avg(CASE WHEN introduced THEN 1.0 ELSE 0.0 END), 6) AS contamination_rate FROM detail GROUP BY distance"),
+    "formatted_summary": _with(DETAIL, "SELECT distance AS 距离层级, count(*) AS 三元组数量, printf('%.4f', avg(base_confidence)) AS 基线置信度, printf('%.4f', avg(post_confidence)) AS 攻击后置信度, printf('%+.4f', avg(confidence_change)) AS 置信度变化, printf('%.1f', avg(base_accuracy)) AS 基线准确度, printf('%.1f', avg(post_accuracy)) AS 攻击后准确度, printf('%+.1f', avg(accuracy_change)) AS 准确度变化, CAST(count(*) FILTER (WHERE introduced) AS VARCHAR) AS 新增Gear污染, printf('%.1f', 100 * avg(CASE WHEN introduced THEN 1.0 ELSE 0.0 END)) || '%' AS 污染率 FROM detail GROUP BY distance"),
+    "result_rows": _with(RUNS, "SELECT head, relation, tail, distance, round(confidence, 6) AS confidence, accuracy_score, CAST(NULL AS VARCHAR) AS accuracy_category, CAST(NULL AS VARCHAR) AS accuracy_label, CAST(NULL AS VARCHAR) AS accuracy_explanation, CAST(NULL AS VARCHAR) AS template_used, CAST(NULL AS VARCHAR) AS generated_question, CAST(NULL AS VARCHAR) AS model_response, CAST(NULL AS VARCHAR) AS extracted_answer, false AS exact_match, false AS partial_match, 'intelligent_hybrid_eval_question' AS evaluation_method, CAST(NULL AS BOOLEAN) AS error, l_shipdate AS shipped FROM run_post"),
+    "running_progress_all": "WITH x AS (SELECT row_number() OVER w AS processed, count(CASE WHEN l_partkey % 11 <> 0 THEN 1 END) OVER w AS c, avg(CASE WHEN l_partkey % 11 <> 0 THEN l_quantity * 2 END) OVER w AS m FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT processed, round(100.0 * c / processed, 6) AS success_pct, round(coalesce(m, 0.0), 6) AS mean_score FROM x WHERE processed % 10 = 0",
+    "probing_results": _with(
+        EXTRACTED + f""",
+answers AS (SELECT p.conv_id, p.turn, question, p.answer, t, ws, [length(w) / (length(w) + 4.0) FOR w IN ws] AS s, coalesce({', '.join(f"CASE WHEN length(p{k}) BETWEEN 1 AND 99 THEN p{k} END" for k in range(len(_PATTERNS)))}, CASE WHEN len(said) > 0 AND length(array_to_string(said, ' ')) < 100 THEN array_to_string(said, ' ') END, entities[1], 'N/A') AS e
+    FROM picked p JOIN qa USING (conv_id, turn)),
+wanted AS (SELECT *, {_words('e')} AS g, strpos(lower(answer), lower(e)) - 1 AS f FROM answers),
+placed AS (SELECT *, list_min([i FOR i IN range(len(ws)) IF ws[i + 1:i + len(g)] = g]) AS place, list_position(ws, list_filter(g, lambda w: list_contains(ws, w))[1]) AS one,
+    f * len(ws) // length(answer) AS guess, least(10, len(g) + 5) AS reach FROM wanted),
+spans AS (SELECT *, CASE WHEN place IS NOT NULL THEN s[place + 1:place + len(g)] WHEN len(g) > 1 AND one IS NOT NULL THEN s[one:one] WHEN f >= 0 AND least(len(s), guess + reach + len(g)) > greatest(0, guess - reach) THEN s[greatest(0, guess - reach) + 1:least(len(s), guess + reach + len(g))] WHEN len(s) >= len(g) THEN s[1:len(g)] WHEN len(s) > 0 THEN s[1:1] END AS p FROM placed),
+scored AS (SELECT *, contains(e, 'N/A') AS none_, CASE WHEN conv_id % 3 = 0 THEN 1 / (1 + exp(-length(question) / 100.0)) WHEN NOT contains(e, 'N/A') THEN list_sum(p) / len(p) END AS c FROM spans)""",
+        "SELECT 'conversation:' || conv_id AS head, 'answers' AS relation, 'turn:' || turn AS tail, turn % 2 = 0 AS label, t AS response, CASE WHEN none_ THEN 'N/A' ELSE e END AS extracted_answer, round(c, 8) AS confidence_score, CAST(CASE WHEN c IS NULL THEN 0 ELSE len(g) END AS INTEGER) AS token_count FROM scored",
+    ),
+    "judged_with_cache": _with(JUDGED + ", keys_ AS (SELECT DISTINCT 'q' || user_id AS question, event_type AS ground_truth, k AS model_answer FROM v), cached AS (SELECT DISTINCT 'q' || user_id AS question, event_type AS ground_truth, k AS model_answer, s AS score FROM v WHERE ok AND event_id % 2 = 0)", "SELECT question, ground_truth, model_answer, score, ground_truth AS category, 'e' AS explanation FROM cached UNION ALL SELECT question, ground_truth, model_answer, CAST(length(question) AS INTEGER), ground_truth, 'j' FROM (SELECT * FROM keys_ EXCEPT SELECT question, ground_truth, model_answer FROM cached) WHERE length(model_answer) > 0"),
+    "event_names": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS at, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, printf('event_%03d', event_id) AS name FROM events",
+    **{
+        f"{name}_candidates": _with(EDGES, f"SELECT head, relation, tail, ord FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ord, head, relation, tail) AS rn FROM edges WHERE starts_with({by}, '{wanted}')) WHERE rn <= 5")
+        for name, by, wanted in (("downstream", "head", "supplier:"), ("upstream", "tail", "nation:"), ("parallel", "relation", ""))
+    },
+    "picked_edges": _with(SMALL, "SELECT CAST(row_number() OVER (ORDER BY k, head, relation, tail) - 1 AS INTEGER) AS experiment_id, head, relation, tail, printf('ripple_experiment_%03d', row_number() OVER (ORDER BY k, head, relation, tail) - 1) AS name FROM (SELECT DISTINCT head, relation, tail, md5('11|' || head || '|' || relation || '|' || tail) AS k FROM edges ORDER BY k, head, relation, tail LIMIT 20)"),
+    "graph_progress": _with(EDGES, "SELECT (SELECT count(*) FROM (SELECT head FROM edges UNION SELECT tail FROM edges)) AS nodes, count(*) AS edges, count(DISTINCT relation) AS relations, count(DISTINCT head) AS processed_entities FROM edges"),
     "level_listing": f"SELECT DISTINCT {LEVEL} AS distance, l_linenumber - 1 AS rank FROM lineitem",
 }

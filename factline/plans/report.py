@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from factline.operators import compare as c
+from factline.schemas import TARGET
 
 
 def number(x: float | None, spec: str) -> str:
@@ -31,3 +32,18 @@ def render(base: DataFrame, post: DataFrame, keyword: str, target: tuple[str, st
     out += [f"  {d}: {n}" for (run, d), n in sorted(said.items(), key=lambda x: str(x[0])) if run == "post"]
     out += ["", f"Levels affected: {sum(r['introduced'] > 0 for r in levels)}"]
     return "\n".join(out)
+
+
+def render_levels(summary: DataFrame, keyword: str) -> str:
+    """The target's row, how far introductions reach, and a line a level, of level_summary's few rows."""
+    rows = summary.collect()
+    out = ["Levels"]
+    for t in (r for r in rows if r["distance"] == TARGET):
+        for name, spec in (("confidence", ".4f"), ("accuracy", ".1f")):
+            out.append(f"  target {name}: {number(t[f'base_{name}_mean'], spec)} -> {number(t[f'post_{name}_mean'], spec)} ({number(t[f'{name}_change_mean'], '+' + spec)})")
+        out.append(f"  target: {t['introduced_count']} new responses with '{keyword}'")
+    new, every = sum(r["introduced_count"] for r in rows), sum(r["triplet_count"] for r in rows)
+    out.append(f"  levels affected: {sum(r['introduced_count'] > 0 for r in rows)}/{len(rows)}")
+    out.append(f"  introduced: {new} triples ({number(new / every if every else None, '.1%')})")
+    out += [f"  {r['distance']}: confidence {number(r['confidence_change_mean'], '+.4f')}, accuracy {number(r['accuracy_change_mean'], '+.1f')}, introduced {number(r['introduced_rate'], '.1%')}" for r in rows]
+    return "\n".join(out)
