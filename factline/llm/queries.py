@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from factline.llm.exact_dedup import ORACLE as EXACT_ORACLE
 from factline.llm.exact_dedup import exact_dedup
+from factline.llm.feature_join import ORACLE as FEATURES_ORACLE
+from factline.llm.feature_join import document_versions, fresh_or_stale, label_questions, point_in_time_join
 from factline.llm.jaccard_join import jaccard_components
 from factline.llm.lattice import sample_segmentations
 from factline.llm.line_dedup import ORACLE as LINES_ORACLE
@@ -74,6 +76,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    asked = label_questions(table(spark, sf_dir, "labels"), docs)
+    return fresh_or_stale(point_in_time_join(asked, document_versions(docs), features=("n_chars", "lang")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -85,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_feature_join": op11_feature_join,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": LINES_ORACLE.format(min_chars=200, reach=199), "op5_exact_dedup": EXACT_ORACLE, "op7_url_filter": urls_oracle()}
+ORACLES: dict[str, str] = {"op2_line_dedup": LINES_ORACLE.format(min_chars=200, reach=199), "op5_exact_dedup": EXACT_ORACLE, "op11_feature_join": FEATURES_ORACLE, "op7_url_filter": urls_oracle()}
