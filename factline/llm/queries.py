@@ -17,6 +17,7 @@ from factline.llm.line_dedup import ORACLE as LINES_ORACLE
 from factline.llm.line_dedup import line_dedup
 from factline.llm.mixing import pfair_schedule
 from factline.llm.mixing_lm import lm_scores
+from factline.llm.odd_sketches import minhash_classes
 from factline.llm.periodic_runs import folded, periodic_runs, run_digest
 from factline.llm.quality import quality_lines
 from factline.llm.sharding import stratified_shards
@@ -83,6 +84,10 @@ def op11_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh_or_stale(point_in_time_join(asked, document_versions(docs), features=("n_chars", "lang")))
 
 
+def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_classes(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(folded(table(spark, sf_dir, "documents"))))
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_feature_join": op11_feature_join,
+    "op12_odd_sketches": op12_odd_sketches,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": LINES_ORACLE.format(min_chars=200, reach=199), "op5_exact_dedup": EXACT_ORACLE, "op11_feature_join": FEATURES_ORACLE, "op7_url_filter": urls_oracle()}
