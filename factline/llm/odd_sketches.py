@@ -19,6 +19,7 @@ from factline.llm.tables import cut, hot_keys, join_groups, written
 
 _MEMBERS = 256  # pairs verified against one copy of a hub's text
 _BLOCK = 1024  # sketches of one side of a block of a large bucket
+_ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -44,12 +45,12 @@ class Sketch:
         return 1 + n * np.log(np.maximum(1 - 2 * np.asarray(differing) / n, 1e-9)) / (4 * self.samples)
 
     def most_differing(self, similarity: float) -> int:
-        """Two sets of this similarity or more differ in more bits only by a chance of about 1e-9 (deviations of samples and of bits together)."""
+        """Two sets of this similarity or more differ in more bits only by a chance of about 1e-9 (6 standard deviations of samples and bits)."""
         n = 64 * self.longs
         unlike = self.samples * (1 - similarity)
-        unlike += self.deviations * math.sqrt(unlike * similarity)
-        share = (1 - math.exp(-4 * unlike / n)) / 2
-        return min(n, math.ceil(n * share + self.deviations * math.sqrt(n * share * (1 - share) / 2)))
+        same = math.exp(-4 * unlike / n)  # how far a sample more still shows in the bits
+        spread = (2 * same) ** 2 * unlike * similarity + n * (1 - same * same) / 8
+        return min(n, math.ceil(n * (1 - same) / 2 + self.deviations * math.sqrt(spread)))
 
 
 def _numbers(seed: int, n: int) -> np.ndarray:
@@ -139,9 +140,11 @@ def minhash_classes(docs: DataFrame, terms: Terms = Terms(n=3, percent=85), sket
     Candidates that differ in more bits than linked sets do but once in 1e9 (Sketch.most_differing) go no further; all
     others are confirmed by their full sets of words.
 
-    Round 1 compares each node with one other only: of the first nodes of its bands' buckets, that
-    which it meets most often. Round 2 looks at nodes of one bucket that are still in different
-    classes: those outside the bucket's main class meet the others within blocks of about _BLOCK sketches,
+    Round 0 compares each node with one other only: of the first nodes of its bands' buckets, that
+    which it meets most often. In the next _ROUNDS rounds each bucket that still holds several classes
+    draws one node of its main class (the largest), and each node outside of it is compared with that
+    one of those drawn in its buckets whose sketch is nearest. The last round looks at the nodes that are still
+    in other classes: they meet all others of their buckets within blocks of about _BLOCK sketches,
     and the join's condition counts the bits, so only pairs that pass it are rows. Members of
     one class are never paired again; groups of copies are not expanded. Hot buckets and hubs are kept apart.
 
@@ -187,23 +190,51 @@ def _labels(raw: DataFrame, nodes: DataFrame, terms: Terms, sketch: Sketch) -> D
     most = sketch.most_differing(terms.percent / 100)
     ends = nodes.select("sig", "n", "odd")
 
-    stars = met.filter("sig <> b").groupBy(F.col("sig").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
-    stars = cut(stars.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b"))
-    stars = join_groups(stars, ends.toDF("b", "nb", "odd_b"), ["b"], hot_keys(stars, ["b"])).join(ends.toDF("a", "na", "odd_a"), "a")
-    stars = cut(stars.filter(terms.fits(F.col("na"), F.col("nb")) & (differing("odd_a", "odd_b", sketch.longs) <= most)).select("a", "b", "na", "nb"))
     is_link = F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * terms.percent
-    tested = overlaps(raw, stars, terms)
-    links = tested.filter(is_link).select("a", "b")
-    labels = components(links)
 
-    labelled = cut(met.select("t", "sig").join(labels, F.col("sig") == F.col("v"), "left").select("t", "sig", F.coalesce("label", "sig").alias("label")))
-    sizes = labelled.groupBy("t", "label").agg(F.count(F.lit(1)).alias("c"))
-    mains = sizes.groupBy("t").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    def passing(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of fitting sizes whose sketches are near enough, with d, the bits in which they differ."""
+        both = join_groups(pairs, ends.toDF("b", "nb", "odd_b"), ["b"], hot_keys(pairs, ["b"])).join(ends.toDF("a", "na", "odd_a"), "a")
+        both = both.filter(terms.fits(F.col("na"), F.col("nb"))).withColumn("d", differing("odd_a", "odd_b", sketch.longs))
+        return both.filter(F.col("d") <= most).select("a", "b", "na", "nb", "d")
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs.join(tested.select("a", "b").union(tested.select("b", "a")), ["a", "b"], "left_anti")
+
+    def test(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All pairs tested so far, and the classes they make."""
+        found = overlaps(raw, pairs, terms)
+        every = found if tested is None else cut(tested.union(found))
+        return every, components(every.filter(is_link))
+
+    def open_buckets() -> tuple[DataFrame, DataFrame]:
+        """The entries, with labels, of buckets of several classes; and those buckets' main class and numbers of nodes."""
+        rows = cut(members.join(labels, F.col("sig") == F.col("v"), "left").select("t", "sig", F.coalesce("label", "sig").alias("label")))
+        sizes = rows.groupBy("t", "label").agg(F.count(F.lit(1)).alias("c"))
+        mains = sizes.groupBy("t").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+        mains = cut(mains.select("t", F.col("m.label").alias("main"), F.col("m.c").alias("in_main"), "all"))
+        return cut(join_groups(rows, mains, ["t"], hot_keys(rows, ["t"]))), mains
+
+    tested = None
+    stars = met.filter("sig <> b").groupBy(F.col("sig").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
+    stars = cut(stars.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b"))
+    tested, labels = test(passing(stars).drop("d"))
+    members = met.select("t", "sig")
+    for turn in range(_ROUNDS):
+        rows, mains = open_buckets()
+        members = rows.select("t", "sig")
+        drawn = rows.filter("label = main").groupBy("t").agg(F.min_by("sig", F.xxhash64("sig", "t", F.lit(turn))).alias("b"))
+        others = rows.filter("label <> main")
+        drawn = cut(join_groups(others, drawn, ["t"], hot_keys(others, ["t"])).select(F.col("sig").alias("a"), "b").distinct())
+        nearest = passing(untested(drawn)).groupBy("a", "na").agg(F.min(F.struct("d", "b", "nb")).alias("best"))
+        nearest = cut(nearest.select("a", "best.b", "na", "best.nb"))
+        if not nearest.limit(1).count():
+            break
+        tested, labels = test(nearest)
+
+    rows, mains = open_buckets()
     parts = lambda n: F.ceil(n / F.lit(_BLOCK))
-    mains = written(mains.select("t", F.col("m.label").alias("main"), parts(F.col("all") - F.col("m.c")).alias("px"), parts(F.col("all")).alias("py")))
-    hot = hot_keys(labelled, ["t"])
-    bucket = join_groups(labelled, mains, ["t"], hot).join(ends, "sig")
-    bucket = written(bucket)
+    bucket = written(rows.withColumns({"px": parts(F.col("all") - F.col("in_main")), "py": parts(F.col("all"))}).join(ends, "sig"))
     cell = lambda parts: F.expr(f"pmod(xxhash64(sig, t), {parts})")
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
     x = bucket.filter("label <> main").withColumn("i", cell("px")).withColumn("j", every("py"))
@@ -215,6 +246,4 @@ def _labels(raw: DataFrame, nodes: DataFrame, terms: Terms, sketch: Sketch) -> D
     pairs = x.join(y, near & (differing("x_odd", "y_odd", sketch.longs) <= most))
     back = F.col("x_sig") > F.col("y_sig")
     pairs = pairs.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b"), F.when(back, F.col("y_n")).otherwise(F.col("x_n")).alias("na"), F.when(back, F.col("x_n")).otherwise(F.col("y_n")).alias("nb"))
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.distinct().join(done, ["a", "b"], "left_anti"))
-    return components(links.union(overlaps(raw, pairs, terms).filter(is_link).select("a", "b")))
+    return test(cut(untested(pairs.distinct())))[1]
