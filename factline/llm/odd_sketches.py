@@ -19,7 +19,7 @@ from factline.llm.tables import cut, hot_keys, join_groups, written
 
 _MEMBERS = 256  # pairs verified against one copy of a hub's text
 _BLOCK = 1024  # sketches of one side of a block of a large bucket
-_ROUNDS = 2
+_ROUNDS, _DRAWS = 2, 8
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ def minhash_classes(docs: DataFrame, terms: Terms = Terms(n=3, percent=85), sket
 
     Round 0 compares each node with one other only: of the first nodes of its bands' buckets, that
     which it meets most often. In the next _ROUNDS rounds each bucket that still holds several classes
-    draws one node of its main class (the largest), and each node outside of it is compared with that
+    draws _DRAWS nodes of its main class (the largest), and each node outside of it is compared with that
     one of those drawn in its buckets whose sketch is nearest. The last round looks at the nodes that are still
     in other classes: they meet all others of their buckets within blocks of about _BLOCK sketches,
     and the join's condition counts the bits, so only pairs that pass it are rows. Members of
@@ -223,9 +223,10 @@ def _labels(raw: DataFrame, nodes: DataFrame, terms: Terms, sketch: Sketch) -> D
     for turn in range(_ROUNDS):
         rows, mains = open_buckets()
         members = rows.select("t", "sig")
-        drawn = rows.filter("label = main").groupBy("t").agg(F.min_by("sig", F.xxhash64("sig", "t", F.lit(turn))).alias("b"))
+        drawn = rows.filter("label = main").groupBy("t", F.expr(f"pmod(xxhash64(sig, {turn}), {_DRAWS})").alias("draw")).agg(F.min_by("sig", F.xxhash64("sig", "t", F.lit(turn))).alias("b"))
+        drawn = drawn.groupBy("t").agg(F.collect_list("b").alias("bs"))  # _DRAWS at most
         others = rows.filter("label <> main")
-        drawn = cut(join_groups(others, drawn, ["t"], hot_keys(others, ["t"])).select(F.col("sig").alias("a"), "b").distinct())
+        drawn = cut(join_groups(others, drawn, ["t"], hot_keys(others, ["t"])).select(F.col("sig").alias("a"), F.explode("bs").alias("b")).distinct())
         nearest = passing(untested(drawn)).groupBy("a", "na").agg(F.min(F.struct("d", "b", "nb")).alias("best"))
         nearest = cut(nearest.select("a", "best.b", "na", "best.nb"))
         if not nearest.limit(1).count():
