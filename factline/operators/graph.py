@@ -15,20 +15,41 @@ EDGE = ["head", "relation", "tail"]
 CATEGORIES = (("located|based|region|place", "location"), ("born|died|founded|established", "event"), ("type|kind|instance|is a", "taxonomy"), ("suppl|produc|provid|made", "supply"), ("influenc|lead|cause|affect", "influence"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder; a lost executor then loses no round."""
-    spark = df.sparkSession
+def use_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; a local one only on one machine, where none is set."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="factline-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder; a lost executor then loses no round."""
+    use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def earliest(edges: DataFrame) -> DataFrame:
+    """An edge once, with its least ord."""
+    return edges.groupBy(*EDGE).agg(F.min("ord").alias("ord"))
+
+
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """The union, an edge once, with its least ord."""
-    return old.select(*EDGE, "ord").unionByName(new.select(*EDGE, "ord")).groupBy(*EDGE).agg(F.min("ord").alias("ord"))
+    return earliest(old.select(*EDGE, "ord").unionByName(new.select(*EDGE, "ord")))
+
+
+def within(new: DataFrame, known: DataFrame, room: int) -> DataFrame:
+    """The new edges that bring `room` nodes or fewer beside the known ones (node): those named first come in (ties by name)."""
+    named = new.select(F.explode(F.array("head", "tail")).alias("node"), "ord").groupBy("node").agg(F.min("ord").alias("ord")).join(known, "node", "left_anti")
+    if named.limit(room + 1).count() <= room:
+        return new
+    allowed = cut(named.orderBy("ord", "node").limit(room).select("node").unionByName(known))
+    for end in ("head", "tail"):
+        new = new.join(allowed.withColumnRenamed("node", end), end, "left_semi")
+    return cut(new.select(*EDGE, "ord"))
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -196,10 +217,11 @@ def last_round(spark: SparkSession, folder: str) -> tuple[int, dict[str, DataFra
 def expand(source: DataFrame | Source, seeds: DataFrame, max_nodes: int = 100_000, max_rounds: int = 60, relation_every: int = 6, checkpoint_to: str | None = None) -> DataFrame:
     """Grow a graph from seed edges with candidates of a table or of a source function.
 
-    A round takes all waiting entities and adds the candidates at either end of them; every
+    What a source gives is materialised once, before anything is made of it: it may answer
+    differently each time (a hosted model; see sources.calls.call_source). A round takes all waiting entities and adds the candidates at either end of them; every
     `relation_every`th round, and any round without waiting entities, takes the waiting
     relations instead, which come from edges added by entity rounds only. It ends when nothing
-    waits, at max_nodes nodes, or after max_rounds (counted from the first start).
+    waits, at max_nodes nodes (of the last round, the edges to the nodes named first stay), or after max_rounds (counted from the first start).
     checkpoint_to: a folder for the state after each round; growth goes on after the last whole
     round found there, and the seeds are then those of the first start.
     """
@@ -214,7 +236,8 @@ def expand(source: DataFrame | Source, seeds: DataFrame, max_nodes: int = 100_00
         done_nodes, done_relations = nodes(graph).limit(0), graph.select("relation").limit(0)
     for number in range(start + 1, max_rounds + 1):
         all_nodes = cut(nodes(graph))
-        if all_nodes.count() >= max_nodes:
+        room = max_nodes - all_nodes.count()
+        if room <= 0:
             break
         waiting = all_nodes.join(done_nodes, "node", "left_anti")
         relations = cut(fresh.select("relation").distinct().join(done_relations, "relation", "left_anti"))
@@ -222,14 +245,14 @@ def expand(source: DataFrame | Source, seeds: DataFrame, max_nodes: int = 100_00
         if not has_nodes and not has_relations:
             break
         if has_relations and (number % relation_every == 0 or not has_nodes):
-            new = source(relations, "relation")
+            new = within(cut(earliest(source(relations, "relation"))), all_nodes, room)
             done_relations = cut(done_relations.union(relations))
         else:
             waiting = cut(waiting)
             ends = [source(waiting.withColumnRenamed("node", end), end).select(*EDGE, "ord") for end in ("head", "tail")]
-            new = ends[0].unionByName(ends[1]).dropDuplicates(EDGE)
+            new = within(cut(earliest(ends[0].unionByName(ends[1]))), all_nodes, room)
             done_nodes = cut(done_nodes.union(waiting))
-            fresh = cut(fresh.unionByName(new.join(graph, EDGE, "left_anti")).dropDuplicates(EDGE))
+            fresh = cut(earliest(fresh.unionByName(new.join(graph, EDGE, "left_anti"))))
         graph = cut(upsert_edges(graph, new))
         if checkpoint_to:
             save_round({"edges": graph, "fresh": fresh, "nodes": done_nodes, "relations": done_relations}, checkpoint_to, number)

@@ -13,7 +13,7 @@ from factline.operators import chat, graph, sampling, stats
 from factline.operators import compare as c
 from factline.schemas import level_rank
 from factline.sources import adapters as a
-from factline.sources import files
+from factline.sources import calls, files
 
 KEYWORD = "gear"
 TARGET = ("order:24", "has_line", "line:1")  # in both runs at every size
@@ -535,6 +535,44 @@ def frontier_expand(spark: SparkSession, d: str) -> DataFrame:
     return graph.expand(edges, edges.filter("head = 'supplier:1'"), max_rounds=5)
 
 
+# outside functions, asked once a key (stand-ins for hosted models; any function of rows will do)
+
+
+def _neighbouring_nations(rows: list[dict]) -> list[list[dict]]:
+    """Of nation k as head: the next two of the 25."""
+    def of(side: str, value: str) -> list[dict]:
+        kind, _, k = value.partition(":")
+        return [{"head": value, "relation": "next_to", "tail": f"nation:{(int(k) + step) % 25}", "ord": 100 * int(k) + step} for step in (1, 2)] if (side, kind) == ("head", "nation") else []
+
+    return [of(r["side"], r["value"]) for r in rows]
+
+
+@query
+def expand_by_calls(spark: SparkSession, d: str) -> DataFrame:
+    seeds = a.kg_edges(spark, d, supplies=False).filter("relation = 'based_in'")
+    return graph.expand(calls.call_source(_neighbouring_nations, wait=0), seeds, max_rounds=3)
+
+
+def _score(rows: list[dict]) -> list[str | None]:
+    return [None if r["model_answer"] is None else f'{{"score": {len(r["question"] + r["ground_truth"] + r["model_answer"]) * 7 % 101}, "category": "c", "explanation": "e"}}' for r in rows]
+
+
+@query
+def judged_by_calls(spark: SparkSession, d: str) -> DataFrame:
+    rows = a.verdicts(spark, d).select("question", "ground_truth", "model_answer")
+    return files.judged(rows, files.read_cache(spark, f"{d}/no-cache"), calls.judge_by(_score, batch=500, wait=0))[0]
+
+
+def _word_probs(rows: list[dict]) -> list[list[float]]:
+    return [[1 / (1 + len(x)) for x in r["p_name"].split(" ")] for r in rows]
+
+
+@query
+def confidence_by_calls(spark: SparkSession, d: str) -> DataFrame:
+    names = a.table(spark, d, "part").select("p_name")
+    return _rounded(calls.confidence_by(names, _word_probs, batch=500, wait=0).select("p_name", "confidence"), 9)
+
+
 @query
 def level_listing(spark: SparkSession, d: str) -> DataFrame:
     return a.run_base(spark, d).select("distance").distinct().select("distance", level_rank(F.col("distance")).alias("rank"))

@@ -310,5 +310,12 @@ scored AS (SELECT *, contains(e, 'N/A') AS none_, CASE WHEN conv_id % 3 = 0 THEN
     },
     "picked_edges": _with(SMALL, "SELECT CAST(row_number() OVER (ORDER BY k, head, relation, tail) - 1 AS INTEGER) AS experiment_id, head, relation, tail, printf('ripple_experiment_%03d', row_number() OVER (ORDER BY k, head, relation, tail) - 1) AS name FROM (SELECT DISTINCT head, relation, tail, md5('11|' || head || '|' || relation || '|' || tail) AS k FROM edges ORDER BY k, head, relation, tail LIMIT 20)"),
     "graph_progress": _with(EDGES, "SELECT (SELECT count(*) FROM (SELECT head FROM edges UNION SELECT tail FROM edges)) AS nodes, count(*) AS edges, count(DISTINCT relation) AS relations, count(DISTINCT head) AS processed_entities FROM edges"),
+    "expand_by_calls": """WITH RECURSIVE steps AS (SELECT unnest([1, 2]) AS step),
+    asked(n, k) AS (SELECT DISTINCT s_nationkey, 0 FROM supplier UNION SELECT (n + step) % 25, k + 1 FROM asked, steps WHERE k < 2)
+    SELECT 'nation:' || n AS head, 'next_to' AS relation, 'nation:' || ((n + step) % 25) AS tail, CAST(100 * n + step AS BIGINT) AS ord FROM (SELECT DISTINCT n FROM asked), steps
+    UNION ALL SELECT 'supplier:' || s_suppkey, 'based_in', 'nation:' || s_nationkey, CAST(s_suppkey + 1000 AS BIGINT) FROM supplier""",
+    "judged_by_calls": """WITH k AS (SELECT DISTINCT 'q' || user_id AS question, event_type AS ground_truth, json_extract_string(props, '$.k') AS model_answer FROM events)
+    SELECT *, CAST(length(question || ground_truth || model_answer) * 7 % 101 AS INTEGER) AS score, 'c' AS category, 'e' AS explanation FROM k WHERE model_answer IS NOT NULL""",
+    "confidence_by_calls": "SELECT DISTINCT p_name, round(list_product(list_transform(string_split(p_name, ' '), lambda x: 1.0 / (1 + length(x)))), 9) AS confidence FROM part",
     "level_listing": f"SELECT DISTINCT {LEVEL} AS distance, l_linenumber - 1 AS rank FROM lineitem",
 }
