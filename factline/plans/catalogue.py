@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -573,6 +574,15 @@ def confidence_by_calls(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(calls.confidence_by(names, _word_probs, batch=500, wait=0).select("p_name", "confidence"), 9)
 
 
+@query
+def run_document(spark: SparkSession, d: str) -> DataFrame:
+    """A run written as one document and read back by many tasks."""
+    path = f"{graph.use_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    run = a.run_base(spark, d)
+    files.write_run(run, stats.run_statistics(run), path, {"model": "m"}, {})
+    return files.read_run(spark, f"{path}/run.json", splittable=True).select("head", "relation", "tail", "distance", "confidence", "accuracy_score", "model_response", "exact_match")
+
+
 @query
 def level_listing(spark: SparkSession, d: str) -> DataFrame:
     return a.run_base(spark, d).select("distance").distinct().select("distance", level_rank(F.col("distance")).alias("rank"))

@@ -317,5 +317,6 @@ scored AS (SELECT *, contains(e, 'N/A') AS none_, CASE WHEN conv_id % 3 = 0 THEN
     "judged_by_calls": """WITH k AS (SELECT DISTINCT 'q' || user_id AS question, event_type AS ground_truth, json_extract_string(props, '$.k') AS model_answer FROM events)
     SELECT *, CAST(length(question || ground_truth || model_answer) * 7 % 101 AS INTEGER) AS score, 'c' AS category, 'e' AS explanation FROM k WHERE model_answer IS NOT NULL""",
     "confidence_by_calls": "SELECT DISTINCT p_name, round(list_product(list_transform(string_split(p_name, ' '), lambda x: 1.0 / (1 + length(x)))), 9) AS confidence FROM part",
+    "run_document": _with(RUNS, "SELECT head, relation, tail, distance, CAST(confidence AS DOUBLE) AS confidence, accuracy_score, model_response, contains(p_name, 'gear') AS exact_match FROM run_base"),
     "level_listing": f"SELECT DISTINCT {LEVEL} AS distance, l_linenumber - 1 AS rank FROM lineitem",
 }
