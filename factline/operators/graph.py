@@ -95,18 +95,48 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return both.filter("a <> b").distinct()
 
 
+MOST_HUBS, LEAST_BLOCK = 10_000, 10_000
+
+
+def in_blocks(near: DataFrame, least: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Neighbour pairs (a, b) with the block of each, and the nodes that have several: (a, blocks), or None.
+
+    A node with more neighbours than a block takes has them dealt out over blocks of that size, by hash. A block is
+    10,000 neighbours, or so many that there are at most 10,000 such nodes (a broadcast of bounded size).
+    """
+    total = near.count()
+    size = least or max(LEAST_BLOCK, total // MOST_HUBS + 1)
+    hubs = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size)
+    hubs = cut(hubs.select("a", F.ceil(F.col("n") / size).cast("int").alias("blocks")).coalesce(1))
+    if not hubs.limit(1).count():
+        return near.withColumn("block", F.lit(0)), None
+    dealt = near.join(F.broadcast(hubs), "a", "left").select("a", "b", F.expr("cast(coalesce(pmod(xxhash64(b), blocks), 0) as int)").alias("block"))
+    return dealt, hubs
+
+
+def step_out(frontier: DataFrame, blocks: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """The frontier's rows (with a column node) once for each neighbour b; a hub's row goes to all of its blocks, so that no task walks all of its neighbours."""
+    if hubs is None:
+        frontier = frontier.withColumn("block", F.lit(0))
+    else:
+        frontier = frontier.join(F.broadcast(hubs.withColumnRenamed("a", "node")), "node", "left")
+        frontier = frontier.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    return frontier.join(blocks, (F.col("node") == F.col("a")) & (frontier["block"] == blocks["block"])).drop("block")
+
+
 def node_levels(edges: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
     """Undirected distance of nodes from the ends of each experiment's target, up to depth.
 
     targets: experiment_id, head, relation, tail. All experiments advance together, one join a
     level; a level's nodes are distinct before they are joined, and each level is checkpointed.
+    Nodes of high degree are walked in blocks (in_blocks).
     Returns experiment_id, node, level, parent (the least neighbour one level up; null at 0).
     """
-    near = cut(neighbours(edges))
+    near, hubs = in_blocks(cut(neighbours(edges)))
     start = targets.select("experiment_id", F.explode(F.array("head", "tail")).alias("node")).distinct()
     frontier = seen = cut(start.select("experiment_id", "node", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")))
     for level in range(1, depth + 1):
-        step = frontier.join(near, F.col("node") == F.col("a")).groupBy("experiment_id", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        step = step_out(frontier, near, hubs).groupBy("experiment_id", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
         frontier = cut(step.join(seen, ["experiment_id", "node"], "left_anti").select("experiment_id", "node", F.lit(level).alias("level"), "parent"))
         if not frontier.limit(1).count():
             break

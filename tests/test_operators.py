@@ -176,3 +176,21 @@ def test_white_space_of_any_kind_makes_no_effect(spark):
 
     rows = spark.createDataFrame([("same", "Same\n"), ("same", "\t same"), ("same", "other"), ("same", "gear")], "b string, p string")
     assert [r[0] for r in rows.select(scoring.effect(F.col("b"), F.col("p"), "gear")).collect()] == ["none", "none", "weak", "strong"]
+
+
+def test_hubs_are_walked_in_blocks(spark, monkeypatch):
+    star = spark.range(200_000).selectExpr("'hub' as head", "'r' as relation", "concat('leaf', id) as tail", "id as ord")
+    near, hubs = graph.in_blocks(graph.neighbours(star))
+    assert [tuple(r) for r in hubs.collect()] == [("hub", 20)]
+    # what adaptive execution would merge or split is looked at as it is dealt
+    dealt = near.repartition(8, "a", "block").withColumn("p", F.spark_partition_id()).filter("a = 'hub'").groupBy("p").count()
+    assert dealt.count() > 4 and dealt.agg(F.max("count")).first()[0] <= 70_000
+    targets = spark.createDataFrame([(0, "leaf7", "r", "hub"), (1, "leaf8", "r", "hub")], "experiment_id int, head string, relation string, tail string")
+    levels = graph.node_levels(star, targets, 3).groupBy("experiment_id", "level").count().collect()
+    assert sorted(map(tuple, levels)) == [(0, 0, 2), (0, 1, 199_999), (1, 0, 2), (1, 1, 199_999)]
+    monkeypatch.setattr(graph, "LEAST_BLOCK", 2)
+    edges = spark.createDataFrame([(f"n{k % 7}", "r", f"n{k * k % 31}", k) for k in range(60)], "head string, relation string, tail string, ord bigint")
+    some = spark.createDataFrame([(0, "n0", "r", "n0"), (1, "n3", "r", "n9")], "experiment_id int, head string, relation string, tail string")
+    split = sorted(map(tuple, graph.node_levels(edges, some, 4).collect()), key=str)
+    monkeypatch.setattr(graph, "LEAST_BLOCK", 10_000)
+    assert split == sorted(map(tuple, graph.node_levels(edges, some, 4).collect()), key=str)
