@@ -20,6 +20,7 @@ from factline.llm.tables import cut, hot_keys, join_groups, written
 _MEMBERS = 256  # pairs verified against one copy of a hub's text
 _BLOCK = 1024  # sketches of one side of a block of a large bucket
 _ROUNDS, _DRAWS = 2, 8
+_ELEMENTS = 1 << 18  # of the sets of a block of the last round
 
 
 @dataclass(frozen=True)
@@ -144,9 +145,11 @@ def minhash_classes(docs: DataFrame, terms: Terms = Terms(n=3, percent=85), sket
     which it meets most often. In the next _ROUNDS rounds each bucket that still holds several classes
     draws _DRAWS nodes of its main class (the largest), and each node outside of it is compared with that
     one of those drawn in its buckets whose sketch is nearest. The last round looks at the nodes that are still
-    in other classes: they meet all others of their buckets within blocks of about _BLOCK sketches,
-    and the join's condition counts the bits, so only pairs that pass it are rows. Members of
-    one class are never paired again; groups of copies are not expanded. Hot buckets and hubs are kept apart.
+    in other classes: their sketches meet all others of their buckets in cells of _BLOCK by _BLOCK, which
+    give each of them a list of the near ones. Then sets are dealt into blocks of about _ELEMENTS elements, and each node
+    goes, with its list, to the blocks that hold any of it; there overlaps are counted on full sets (64-bit hashes of shingles), and one link for
+    each class is enough. No pair is a row, members of one class are never compared again, and groups of copies are
+    not expanded. Hot buckets and hubs are kept apart.
 
     Returns id, n_shingles, component_id (the least id of the class), kept (the id is that
     one). Nulls: a null or wordless text has an empty set and is a class of its own; a null id
@@ -169,6 +172,112 @@ def minhash_classes(docs: DataFrame, terms: Terms = Terms(n=3, percent=85), sket
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _sets(terms: Terms, wanted):
+    """Name (64 bits of the signature), signature and elements of the sets that the bitmap lets through, once for all equal ones of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = w.Bitmap(wanted.value), set()
+        for batch in batches:
+            for _, _, data, offsets in w.slices(batch):
+                sets = list(sets_of(data, offsets, terms.n))
+                sigs = [_sig(s) for s in sets]
+                hit = np.flatnonzero(known.has(np.frombuffer(b"".join(s[:8] for s in sigs), ">u8").astype(np.uint64)))
+                keep = [k for k in hit.tolist() if len(sets[k]) and sigs[k] not in seen and not seen.add(sigs[k])]
+                flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *(sets[k] for k in keep)]).view(np.int64))
+                offs = pa.array(np.cumsum([0, *(len(sets[k]) for k in keep)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(sigs[k][:8], "big", signed=True) for k in keep], pa.int64()), pa.array([sigs[k] for k in keep], pa.binary()), pa.ListArray.from_arrays(offs, flat)], ["nid", "sig", "els"])
+
+    return w.tidy(run)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that are sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        cols = [batch[k].to_numpy() for k in keys]
+        last = np.logical_and.reduce([c == c[-1] for c in cols])
+        begin = int(np.argmax(last))
+        before = [b for b in held[:-1]]
+        if begin == 0 and (not before or all(before[-1][k][-1].as_py() == batch[k][0].as_py() for k in keys)):
+            continue
+        whole = pa.Table.from_batches([*before, batch.slice(0, begin)]).combine_chunks()
+        held = [batch.slice(begin)]
+        yield from _cut_up(whole, keys)
+    if held:
+        yield from _cut_up(pa.Table.from_batches(held).combine_chunks(), keys)
+
+
+def _cut_up(table: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
+    if not len(table):
+        return
+    cols = [table[k].to_numpy() for k in keys]
+    edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(table)], strict=True):
+        yield table.slice(lo, hi - lo)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    flat = column.combine_chunks()
+    return (flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays(flat.chunks).flatten()).to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
+
+
+def _near_in_cells(terms: Terms, sketch: Sketch, most: int):
+    """For each outsider of a cell, a list of the cell's nodes in other classes whose sketches are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _groups(batches, ["t", "i", "j"]):
+            out = cell["out"].to_numpy()
+            nid, n, label, main = (cell[c].to_numpy() for c in ("nid", "n", "label", "main"))
+            odd = _matrix(cell["odd"], sketch.longs)
+            ys = np.flatnonzero(~out)
+            found, lists = [], []
+            for x in np.flatnonzero(out).tolist():
+                fit = (label[ys] != label[x]) & (main[ys] | (nid[x] < nid[ys])) & (100 * n[ys] >= terms.percent * n[x]) & (100 * n[x] >= terms.percent * n[ys])
+                some = ys[fit]
+                near = some[np.bitwise_count(odd[some] ^ odd[x]).sum(1) <= most] if len(some) else some
+                if len(near):
+                    found.append(int(nid[x])), lists.append(nid[near])
+            if found:
+                offs = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(lists)))], ["nid", "near"])
+
+    return w.tidy(run)
+
+
+def _links_in_blocks(terms: Terms):
+    """Of a block's sets and those that come with lists of near ones: one link for each class that has any. Overlaps are counted on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _groups(batches, ["block"]):
+            asks = block["near"].is_valid().to_numpy()
+            nid, label, sig = block["nid"].to_numpy(), block["label"].to_numpy(), block["sig"]
+            held = np.flatnonzero(~asks)
+            held = held[np.argsort(nid[held])]
+            names = nid[held]
+            sets = [block["els"][int(k)].values.to_numpy().view(np.uint64) for k in held]
+            pairs = []
+            for x in np.flatnonzero(asks).tolist():
+                own = block["els"][x].values.to_numpy().view(np.uint64)
+                near = block["near"][x].values.to_numpy()
+                at = np.searchsorted(names, near)
+                at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == near)] if len(names) else at[:0]
+                if not len(at):
+                    continue
+                sizes = np.array([len(sets[k]) for k in at])
+                flat = np.concatenate([sets[k] for k in at])
+                place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                common = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum([0, *sizes[:-1]]))
+                linked = at[100 * common >= terms.percent * (len(own) + sizes - common)]
+                _, first = np.unique(label[held[linked]], return_index=True)
+                pairs += [(sig[x].as_py(), sig[int(held[k])].as_py()) for k in linked[first].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return w.tidy(run)
+
+
 def _labels(raw: DataFrame, nodes: DataFrame, terms: Terms, sketch: Sketch) -> DataFrame:
     """Labels (v, label) of the signatures that link with another."""
     entries = nodes.select("sig", F.explode("keys").alias("t"))
@@ -238,13 +347,21 @@ def _labels(raw: DataFrame, nodes: DataFrame, terms: Terms, sketch: Sketch) -> D
     bucket = written(rows.withColumns({"px": parts(F.col("all") - F.col("in_main")), "py": parts(F.col("all"))}).join(ends, "sig"))
     cell = lambda parts: F.expr(f"pmod(xxhash64(sig, t), {parts})")
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    x = bucket.filter("label <> main").withColumn("i", cell("px")).withColumn("j", every("py"))
-    y = bucket.withColumn("j", cell("py")).withColumn("i", every("px"))
-    x = x.select("t", "i", "j", *[F.col(c).alias(f"x_{c}") for c in ("sig", "n", "odd", "label")])
-    y = y.select("t", "i", "j", *[F.col(c).alias(f"y_{c}") for c in ("sig", "n", "odd", "label", "main")])
-    once = (F.col("y_label") == F.col("y_main")) | (F.col("x_sig") < F.col("y_sig"))
-    near = (x["t"] == y["t"]) & (x["i"] == y["i"]) & (x["j"] == y["j"]) & (F.col("x_label") != F.col("y_label")) & once & terms.fits(F.col("x_n"), F.col("y_n"))
-    pairs = x.join(y, near & (differing("x_odd", "y_odd", sketch.longs) <= most))
-    back = F.col("x_sig") > F.col("y_sig")
-    pairs = pairs.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b"), F.when(back, F.col("y_n")).otherwise(F.col("x_n")).alias("na"), F.when(back, F.col("x_n")).otherwise(F.col("y_n")).alias("nb"))
-    return test(cut(untested(pairs.distinct())))[1]
+    named = [as_long(F.col("sig")).alias("nid"), "n", "odd", as_long(F.col("label")).alias("label"), (F.col("label") == F.col("main")).alias("main")]
+    x = bucket.filter("label <> main").withColumn("i", cell("px")).withColumn("j", every("py")).select("t", "i", "j", F.lit(True).alias("out"), *named)
+    y = bucket.withColumn("j", cell("py")).withColumn("i", every("px")).select("t", "i", "j", F.lit(False).alias("out"), *named)
+    cells = x.union(y).repartition("t", "i", "j").sortWithinPartitions("t", "i", "j")
+    near = cells.mapInArrow(_near_in_cells(terms, sketch, most), "nid long, near array<long>").groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+
+    wanted = bucket.select(as_long(F.col("sig")).alias("s"), F.col("label")).distinct()
+    of = raw.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select("s"), wanted.count()))
+    sets = raw.mapInArrow(_sets(terms, of), "nid long, sig binary, els array<long>").groupBy("nid").agg(F.first("sig").alias("sig"), F.first("els").alias("els"))
+    sets = written(sets.join(wanted.select(F.col("s").alias("nid"), as_long(F.col("label")).alias("label")), "nid"))
+    of.destroy()
+    blocks = max(1, -(-(sets.agg(F.sum(F.size("els"))).first()[0] or 0) // _ELEMENTS))
+    place = f"cast(pmod(xxhash64(v), {blocks}) as int)"
+    asks = near.withColumn("block", F.explode(F.expr(f"array_distinct(transform(near, v -> {place}))"))).withColumn("near", F.expr(f"filter(near, v -> {place} = block)"))
+    asks = asks.join(sets, "nid").select("block", "nid", "sig", "label", "els", "near")
+    theirs = sets.select(F.expr(place.replace("(v)", "(nid)")).alias("block"), "nid", "sig", "label", "els", F.lit(None).cast("array<long>").alias("near"))
+    dealt = theirs.union(asks).repartition("block").sortWithinPartitions("block")
+    return components(cut(tested.filter(is_link).select("a", "b").union(dealt.mapInArrow(_links_in_blocks(terms), "a binary, b binary"))))
