@@ -18,9 +18,8 @@ from factline.llm.jaccard_join import Terms, _chosen, _sig, _verified, as_long,
 from factline.llm.tables import cut, hot_keys, join_groups, written
 
 _MEMBERS = 256  # pairs verified against one copy of a hub's text
-_BLOCK = 1024  # sketches of one side of a block of a large bucket
-_ROUNDS, _DRAWS = 2, 8
-_ELEMENTS = 1 << 18  # of the sets of a block of the last round
+_BLOCK = 1024  # sketches of one side of a cell of a large bucket
+_ELEMENTS = 1 << 18  # of the sets of a block of round 2
 
 
 @dataclass(frozen=True)
@@ -141,11 +140,9 @@ def minhash_classes(docs: DataFrame, terms: Terms = Terms(n=3, percent=85), sket
     Candidates that differ in more bits than linked sets do but once in 1e9 (Sketch.most_differing) go no further; all
     others are confirmed by their full sets of words.
 
-    Round 0 compares each node with one other only: of the first nodes of its bands' buckets, that
-    which it meets most often. In the next _ROUNDS rounds each bucket that still holds several classes
-    draws _DRAWS nodes of its main class (the largest), and each node outside of it is compared with that
-    one of those drawn in its buckets whose sketch is nearest. The last round looks at the nodes that are still
-    in other classes: their sketches meet all others of their buckets in cells of _BLOCK by _BLOCK, which
+    Round 1 compares each node with one other only: of the first nodes of its bands' buckets, that
+    which it meets most often. Round 2 looks at the nodes that are outside
+    of the main class (the largest) of a bucket: their sketches meet all others of their buckets in cells of _BLOCK by _BLOCK, which
     give each of them a list of the near ones. Then sets are dealt into blocks of about _ELEMENTS elements, and each node
     goes, with its list, to the blocks that hold any of it; there overlaps are counted on full sets (64-bit hashes of shingles), and one link for
     each class is enough. No pair is a row, members of one class are never compared again, and groups of copies are
@@ -302,47 +299,23 @@ def _labels(raw: DataFrame, nodes: DataFrame, terms: Terms, sketch: Sketch) -> D
     is_link = F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * terms.percent
 
     def passing(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of fitting sizes whose sketches are near enough, with d, the bits in which they differ."""
+        """Pairs (a, b) of fitting sizes whose sketches are near enough."""
         both = join_groups(pairs, ends.toDF("b", "nb", "odd_b"), ["b"], hot_keys(pairs, ["b"])).join(ends.toDF("a", "na", "odd_a"), "a")
-        both = both.filter(terms.fits(F.col("na"), F.col("nb"))).withColumn("d", differing("odd_a", "odd_b", sketch.longs))
-        return both.filter(F.col("d") <= most).select("a", "b", "na", "nb", "d")
+        return both.filter(terms.fits(F.col("na"), F.col("nb")) & (differing("odd_a", "odd_b", sketch.longs) <= most)).select("a", "b", "na", "nb")
 
-    def untested(pairs: DataFrame) -> DataFrame:
-        return pairs.join(tested.select("a", "b").union(tested.select("b", "a")), ["a", "b"], "left_anti")
-
-    def test(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """All pairs tested so far, and the classes they make."""
-        found = overlaps(raw, pairs, terms)
-        every = found if tested is None else cut(tested.union(found))
-        return every, components(every.filter(is_link))
-
-    def open_buckets() -> tuple[DataFrame, DataFrame]:
-        """The entries, with labels, of buckets of several classes; and those buckets' main class and numbers of nodes."""
-        rows = cut(members.join(labels, F.col("sig") == F.col("v"), "left").select("t", "sig", F.coalesce("label", "sig").alias("label")))
+    def open_buckets() -> DataFrame:
+        """The entries, with labels, of buckets of several classes, with the main class and the numbers of nodes."""
+        rows = cut(met.select("t", "sig").join(labels, F.col("sig") == F.col("v"), "left").select("t", "sig", F.coalesce("label", "sig").alias("label")))
         sizes = rows.groupBy("t", "label").agg(F.count(F.lit(1)).alias("c"))
         mains = sizes.groupBy("t").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
         mains = cut(mains.select("t", F.col("m.label").alias("main"), F.col("m.c").alias("in_main"), "all"))
-        return cut(join_groups(rows, mains, ["t"], hot_keys(rows, ["t"]))), mains
+        return cut(join_groups(rows, mains, ["t"], hot_keys(rows, ["t"])))
 
-    tested = None
     stars = met.filter("sig <> b").groupBy(F.col("sig").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
     stars = cut(stars.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b"))
-    tested, labels = test(passing(stars).drop("d"))
-    members = met.select("t", "sig")
-    for turn in range(_ROUNDS):
-        rows, mains = open_buckets()
-        members = rows.select("t", "sig")
-        drawn = rows.filter("label = main").groupBy("t", F.expr(f"pmod(xxhash64(sig, {turn}), {_DRAWS})").alias("draw")).agg(F.min_by("sig", F.xxhash64("sig", "t", F.lit(turn))).alias("b"))
-        drawn = drawn.groupBy("t").agg(F.collect_list("b").alias("bs"))  # _DRAWS at most
-        others = rows.filter("label <> main")
-        drawn = cut(join_groups(others, drawn, ["t"], hot_keys(others, ["t"])).select(F.col("sig").alias("a"), F.explode("bs").alias("b")).distinct())
-        nearest = passing(untested(drawn)).groupBy("a", "na").agg(F.min(F.struct("d", "b", "nb")).alias("best"))
-        nearest = cut(nearest.select("a", "best.b", "na", "best.nb"))
-        if not nearest.limit(1).count():
-            break
-        tested, labels = test(nearest)
-
-    rows, mains = open_buckets()
+    tested = overlaps(raw, passing(stars), terms)
+    labels = components(tested.filter(is_link))
+    rows = open_buckets()
     parts = lambda n: F.ceil(n / F.lit(_BLOCK))
     bucket = written(rows.withColumns({"px": parts(F.col("all") - F.col("in_main")), "py": parts(F.col("all"))}).join(ends, "sig"))
     cell = lambda parts: F.expr(f"pmod(xxhash64(sig, t), {parts})")

@@ -58,9 +58,9 @@ def test_classes(docs, table_of, corpus):
     assert sorted(map(tuple, got), key=str) == brute([(i, t) for i, t, *_ in corpus])
 
 
-@pytest.mark.parametrize("block, rounds", [(1024, 1), (7, 0)])
-def test_links_at_the_bound(spark, table_of, monkeypatch, block, rounds):
-    monkeypatch.setattr(odd, "_BLOCK", block), monkeypatch.setattr(odd, "_ELEMENTS", block * 100), monkeypatch.setattr(odd, "_ROUNDS", rounds)
+@pytest.mark.parametrize("block", [1024, 7])
+def test_links_at_the_bound(spark, table_of, monkeypatch, block):
+    monkeypatch.setattr(odd, "_BLOCK", block), monkeypatch.setattr(odd, "_ELEMENTS", block * 100)
     rows = near_copies(random.Random(block), 150, 120, 9)
     df = table_of(spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA).repartition(4))
     got = sorted(map(tuple, odd.minhash_classes(df).collect()), key=str)
