@@ -22,8 +22,8 @@ from factline.llm.periodic_runs import folded, periodic_runs, run_digest
 from factline.llm.quality import quality_lines
 from factline.llm.sharding import stratified_shards
 from factline.llm.substring_dedup import substring_dedup
+from factline.llm.url_filter import ORACLE as URLS_ORACLE
 from factline.llm.url_filter import judge_urls
-from factline.llm.url_filter import oracle_sql as urls_oracle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,4 +107,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_odd_sketches": op12_odd_sketches,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": LINES_ORACLE.format(min_chars=200, reach=199), "op5_exact_dedup": EXACT_ORACLE, "op11_feature_join": FEATURES_ORACLE, "op7_url_filter": urls_oracle()}
+ORACLES: dict[str, str] = {"op2_line_dedup": LINES_ORACLE.format(min_chars=200, reach=199), "op5_exact_dedup": EXACT_ORACLE, "op11_feature_join": FEATURES_ORACLE, "op7_url_filter": URLS_ORACLE}

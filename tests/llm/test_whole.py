@@ -63,6 +63,27 @@ def test_fresh_hosts_are_judged_by_their_prior(spark):
     assert got["h1.bad.com"][0] == "block" and got["new.bad.com"][1] > 0.9 and got["x.org"][1] == pytest.approx(0.5)
 
 
+def test_urls_agree_with_their_sql_on_fresh_hosts(spark, tmp_path):
+    import duckdb
+
+    from factline.llm.queries import ORACLES, op7_url_filter
+
+    urls = [(i, f"http://h{i % 5}.{'bad' if i % 2 else 'good'}.{'co.uk' if i % 3 else 'com'}/{i}") for i in range(400)]
+    urls += [(900 + i, f"http://10.0.0.{i % 2}:80{i}/x") for i in range(20)]
+    fresh = ["http://new.bad.com/", "http://User@new.bad.co.uk:8080/a?b", "http://new.good.com/", "http://other.com", "http://x.org/", "http://x.org/fr/", "http://a.net/", "http://10.0.0.1:9/", "http://10.0.0.7/", "http://:80/", "http://[::1]:80/", None, "nothing"]
+    pages = spark.createDataFrame(urls + [(2000 + k, u) for k, u in enumerate(fresh)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i, _ in urls], "doc_id bigint, quality int, toxic int")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = [tuple(r) for r in op7_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()]
+    with duckdb.connect() as db:
+        for name in ("pages", "labels"):
+            db.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+        assert sorted(got) == sorted(db.execute(ORACLES["op7_url_filter"]).fetchall())
+    by = {i: v for i, *_, v in got}
+    assert [by[2000 + k] for k in (0, 1, 2, 6, 7)] == ["block", "block", "allow", "block", "block"]
+
+
 def test_gates_learn_from_every_occurrence():
     rng = np.random.default_rng(2)
     x, bit, n = rng.normal(size=(mixing_lm.INPUTS, 3)), np.array([1.0, 0.0, 1.0]), np.array([1000, 3, 40])
