@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factline.llm.tables import cut, hot_keys, join_groups, ordered_index, written
 
 NO_ID = (1 << 63) - 1
+MIN_CHARS = 60  # code points, line ends included, from which on a repeated run counts
 BROADCAST_DOCS = 500_000  # texts with runs, 16 bytes each, up to which the others need no shuffle
 TEXT = ["t1", "t2"]  # 128 bits of a row's id and text: they name it wherever and however often the table is scanned
 
@@ -53,27 +54,35 @@ def suffix_ranks(lines: DataFrame, deepest: int) -> list[DataFrame]:
 
 
 def windows_of(lines: DataFrame, min_chars: int) -> DataFrame:
-    """len: how many lines the shortest run from each line on has that holds min_chars code points; null past the last such."""
+    """len, back: how many lines the shortest run of min_chars code points has that begins, or ends, at each line; null where there is none."""
     text = Window.partitionBy(*TEXT)
     upto = text.orderBy("pos")
-    lines = lines.withColumn("before", F.sum("w").over(upto) - F.col("w")).withColumn("total", F.sum("w").over(text))
-    near = F.count(F.lit(1)).over(text.orderBy("before").rangeBetween(0, min_chars - 1))
-    return lines.withColumn("len", F.when(F.col("total") - F.col("before") >= min_chars, near).cast("int"))
+    lines = lines.withColumn("after", F.sum("w").over(upto)).withColumn("before", F.col("after") - F.col("w")).withColumn("total", F.sum("w").over(text))
+    on = F.count(F.lit(1)).over(text.orderBy("before").rangeBetween(0, min_chars - 1))
+    back = F.count(F.lit(1)).over(text.orderBy("after").rangeBetween(1 - min_chars, 0))
+    lines = lines.withColumn("len", F.when(F.col("total") - F.col("before") >= min_chars, on).cast("int"))
+    return lines.withColumn("back", F.when(F.col("after") >= min_chars, back).cast("int"))
 
 
 def repeated_runs(lines: DataFrame, min_chars: int) -> DataFrame:
     """The maximal runs of lines to delete: t1, t2 (the text), start, stop. lines: line_table's, each text once.
 
-    The window of a line is the shortest run from it on that holds min_chars code points
-    (line ends count); equal windows have equal numbers of lines. A window of n lines,
-    2^k <= n < 2^(k+1), is named by the level-k ranks of its first and its last 2^k lines, that
-    is by its LCP interval of depth n; each interval's first member in (id, tag, pos) order is
-    the copy that stays, and the other windows are deleted. Overlapping and adjacent windows
-    make one maximal run. As windows weigh min_chars, their lines, and so the rounds, are bounded.
+    A run counts if it holds min_chars code points (line ends count) and stands at an earlier
+    place too. Two windows a line tell: the shortest runs of that weight that begin and that end
+    at it. Each line of a repeated run lies in a window of that run: in the one from it on, or,
+    near the run's end, in the one that ends with the run. So the windows that repeat, laid
+    together, are the maximal repeated runs, to their ends, and no run need be longer than a
+    window, which bounds the rounds however long a repeat is.
+
+    A window of n lines, 2^k <= n < 2^(k+1), is named by the level-k ranks of its first and its
+    last 2^k lines, that is by its LCP interval of depth n; each interval's first member in
+    (id, tag, pos) order is the copy that stays, and the other windows are deleted. Overlapping
+    and adjacent windows make one run.
     """
-    lines = cut(windows_of(lines, min_chars).select(*TEXT, "key", "pos", "h1", "h2", "len"))
-    deepest = lines.agg(F.max("len").alias("m")).first()["m"] or 0
-    starts = lines.filter("len is not null").select(*TEXT, "key", "pos", "len")
+    lines = cut(windows_of(lines, min_chars).select(*TEXT, "key", "pos", "h1", "h2", "len", "back"))
+    deepest = lines.agg(F.max(F.greatest("len", "back")).alias("m")).first()["m"] or 0
+    both = F.array_compact(F.array(F.when(F.col("len").isNotNull(), F.struct("pos", "len")), F.when(F.col("back") > 1, F.struct((F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("len")))))
+    starts = lines.select(*TEXT, "key", F.explode(both).alias("win")).select(*TEXT, "key", "win.pos", "win.len")
     fields = [*TEXT, "key", "pos", "len", "ra", "rb"]
     named = None
     for k, level in enumerate(suffix_ranks(lines, deepest)):
@@ -128,15 +137,15 @@ def _with_runs(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> D
     else:
         out = rows.join(runs, TEXT, "left").select("_doc", F.coalesce("_runs", none).alias("_runs"))
     if repeated:
-        # a later copy's every window repeats the first copy's: all is deleted up to the last window's end
-        upto = windows_of(line_table(plain, "id", "text").join(again, TEXT, "left_semi"), min_chars).groupBy(*TEXT).agg(F.max(F.col("pos") + F.col("len")).alias("stop"))
+        # a later copy is one repeated run, if it has the weight
+        upto = line_table(plain, "id", "text").join(again, TEXT, "left_semi").groupBy(*TEXT).agg(F.count(F.lit(1)).cast("int").alias("stop"), F.sum("w").alias("w")).filter(F.col("w") >= min_chars).drop("w")
         later = copies.join(firsts, [*TEXT, "_n"], "left_anti").join(upto, TEXT, "left")
         run = F.array(F.struct(F.lit(0).alias("start"), F.col("stop").alias("stop"))).cast(_RUNS)
         out = out.unionByName(later.select("_doc", F.when(F.col("stop").isNull(), none).otherwise(run).alias("_runs")))
     return out
 
 
-def _deduped(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _deduped(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_doc (the input row), _kept, _n_lines, _n_removed and _n_runs; see line_dedup."""
     both = _with_runs(docs, min_chars, id_col, text_col).withColumn("_lines", F.split(F.col("_doc")[text_col], "\n", -1))
     n, r = F.size("_lines"), F.size("_runs")
@@ -156,7 +165,7 @@ def _deduped(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text
     )
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Delete later copies of repeated line runs (see repeated_runs) from every text.
 
     Returns every input column, then _kept (the text without the deleted lines), _n_lines,
@@ -176,7 +185,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", te
     return out.select("_doc.*", *[F.col(n).alias(names[n]) for n in names])
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with line_dedup's texts; rows that lost every line are left out.
 
     A count column n_chars, where there is one, follows the new text. Nulls, empty texts,
@@ -193,11 +202,13 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 200, id_col: str = "do
 ORACLE = """
 WITH rows_ AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 lines_ AS (SELECT doc_id, ls, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM rows_),
-sums_ AS (SELECT doc_id, ls, line, p, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY p) - length(line) - 1 AS before_,
+sums_ AS (SELECT doc_id, ls, line, p, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY p) AS after_,
     sum(length(line) + 1) OVER (PARTITION BY doc_id) AS total_ FROM lines_),
-lens_ AS (SELECT doc_id, ls, line, p, CASE WHEN total_ - before_ >= {min_chars} THEN
-    count(*) OVER (PARTITION BY doc_id ORDER BY before_ RANGE BETWEEN CURRENT ROW AND {reach} FOLLOWING) END AS len FROM sums_),
-wins_ AS (SELECT doc_id, p, len, array_to_string(list_slice(ls, p, p + len - 1), chr(10)) AS win FROM lens_ WHERE len IS NOT NULL),
+lens_ AS (SELECT doc_id, ls, p,
+    CASE WHEN total_ - after_ + length(line) + 1 >= {min_chars} THEN count(*) OVER (PARTITION BY doc_id ORDER BY after_ - length(line) - 1 RANGE BETWEEN CURRENT ROW AND {reach} FOLLOWING) END AS len,
+    CASE WHEN after_ >= {min_chars} THEN count(*) OVER (PARTITION BY doc_id ORDER BY after_ RANGE BETWEEN {reach} PRECEDING AND CURRENT ROW) END AS back FROM sums_),
+both_ AS (SELECT doc_id, ls, p, len FROM lens_ WHERE len IS NOT NULL UNION SELECT doc_id, ls, p - back + 1, back FROM lens_ WHERE back IS NOT NULL),
+wins_ AS (SELECT doc_id, p, len, array_to_string(list_slice(ls, p, p + len - 1), chr(10)) AS win FROM both_),
 order_ AS (SELECT doc_id, p, len, row_number() OVER (PARTITION BY len, win ORDER BY doc_id, p) AS rn FROM wins_),
 gone_ AS (SELECT DISTINCT doc_id, p + k AS p FROM (SELECT doc_id, p, unnest(range(len)) AS k FROM order_ WHERE rn > 1)),
 marks_ AS (SELECT l.doc_id, l.p, l.line, g.p IS NOT NULL AS gone FROM lines_ l LEFT JOIN gone_ g ON l.doc_id = g.doc_id AND l.p = g.p),

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from conftest_llm import SCHEMA
 
 from factline.llm import lattice as lat
 from factline.llm import words as w
@@ -59,27 +60,39 @@ def test_viterbi_is_the_best_path():
         assert value(field.decode(scores).tolist()) == pytest.approx(value(best))
 
 
-def test_line_dedup(docs, table_of, corpus):
-    got = {(r["doc_id"], r["text"]): r for r in line_dedup(table_of(docs), min_chars=60).collect()}
-    order = sorted({(i if i is not None else 1 << 62, t) for i, t, *_ in corpus if t is not None}, key=str)
-    order = sorted(order, key=lambda r: r[0])
-    seen = {}
-    plain = [(i, t) for i, t in order if i != 91]  # the repeated row's copies meet each other
-    for i, t in plain:
-        lines = t.split("\n")
-        gone = [False] * len(lines)
-        for a in range(len(lines)):
-            size, b = 0, a
-            while b < len(lines) and size < 60:
-                size += len(lines[b]) + 1
-                b += 1
-            if size >= 60:
-                run = "\n".join(lines[a:b])
-                if seen.setdefault(run, (i, a)) != (i, a):
-                    gone[a:b] = [True] * (b - a)
+def plain_runs(texts, least):
+    """Of each line of texts, in order, whether it lies in a run of that weight that also stands at an earlier place."""
+    names, ids, size, where = {}, [], [], []
+    for t, text in enumerate(texts):
+        for line in text.split("\n"):
+            ids.append(names.setdefault(line, len(names)))
+            size.append(len(line) + 1)
+            where.append(t)
+        ids.append(-1 - t)  # no run goes beyond a text
+        size.append(0)
+        where.append(None)
+    ids, upto = np.array(ids), np.cumsum([0, *size])
+    alike, gone = np.zeros(len(ids) + 1, int), [False] * len(ids)
+    for i in range(len(ids) - 1, -1, -1):
+        alike[:-1] = np.where(ids == ids[i], alike[1:] + 1, 0)
+        longest = alike[:i].max(initial=0)  # the place at i + 1 is alike to itself, but only earlier ones count
+        if where[i] is not None and longest and upto[i + longest] - upto[i] >= least:
+            gone[i : i + longest] = [True] * longest
+    out = [[] for _ in texts]
+    for t, g in zip(where, gone):
+        if t is not None:
+            out[t].append(g)
+    return out
+
+
+@pytest.mark.parametrize("least", [60, 200])
+def test_line_dedup(docs, table_of, corpus, least):
+    got = {(r["doc_id"], r["text"]): r for r in line_dedup(table_of(docs), min_chars=least).collect()}
+    order = sorted({(i if i is not None else 1 << 62, t) for i, t, *_ in corpus if t is not None})
+    for (i, t), gone in zip(order, plain_runs([t for _, t in order], least)):
         r = got[(i if i < 1 << 62 else None, t)]
-        if i < 91:
-            assert (r["_n_removed"], r["_kept"]) == (sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g))
+        if i != 91:  # the repeated row's copies meet each other
+            assert (r["_n_removed"], r["_kept"]) == (sum(gone), "\n".join(x for x, g in zip(t.split("\n"), gone) if not g))
     assert got[(80, None)]["_kept"] is None
 
 
@@ -124,6 +137,13 @@ def test_quotient_filters_merge_losslessly():
         assert all(both.count(x) == k for x, k in list(n.items())[:50]) and both.count(5) == 0
 
 
+def test_runs_are_cut_to_their_ends(spark, table_of):
+    lines = [c * n for c, n in zip("abcde", (89, 89, 89, 39, 39))]
+    rows = [(1, "\n".join(["first", *lines, "x"]), None, None, 0), (2, "\n".join(["other", *lines, "y"]), None, None, 0), (3, "\n".join([lines[4], "z", lines[1]]), None, None, 0), (4, "\n".join(["z", lines[3], lines[4]]), None, None, 0)]
+    got = {r["doc_id"]: (r["_kept"], r["_n_runs"]) for r in line_dedup(table_of(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("other\ny", 1), 3: (lines[4] + "\nz", 1), 4: ("z", 1)}
+
+
 def test_shards(docs, table_of, corpus):
     got = stratified_shards(table_of(docs), shards=8).collect()
     sizes = collections.Counter(r["shard"] for r in got)

@@ -6,7 +6,7 @@ import random
 import corpus_pipeline
 import pytest
 from conftest_llm import SCHEMA
-from test_bruteforce import brute_components
+from test_bruteforce import brute_components, plain_runs
 
 import __spark_entry__
 from factline.llm.jaccard_join import Terms
@@ -31,6 +31,9 @@ def sf_dir(spark, tmp_path_factory):
     words = rows[2][1].replace("\n", " ").split()
     rows.append((52, " ".join(words[:40]) + "\n" + " ".join([*words[40:-1], "other"]), "en", "s1", 1))
     rows.append((53, rows[3][1] + "\nMore " + say(60) + ".", "en", "s1", 1))
+    words = rows[4][1].replace("\n", " ").split()
+    cut = len(words) // 10 - 4  # alike to 4 / 5 by five words, not to 85 / 100 by four
+    rows.append((56, " ".join([*words[:30], *(f"other{k}" for k in range(cut)), *words[30 + cut :]]), "en", "s1", 1))
     rows += [(54, None, "en", "s1", 0), (55, "short", None, None, 5)]
     path = tmp_path_factory.mktemp("sf")
     spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(str(path / "documents.parquet"))
@@ -38,20 +41,11 @@ def sf_dir(spark, tmp_path_factory):
     return str(path)
 
 
-def plain_lines(rows, least=200):
-    seen, out = {}, {}
-    for i, t in sorted((r["doc_id"], r["text"]) for r in rows):
-        lines = t.split("\n")
-        gone = [False] * len(lines)
-        for a in range(len(lines)):
-            size, b = 0, a
-            while b < len(lines) and size < least:
-                size += len(lines[b]) + 1
-                b += 1
-            if size >= least and seen.setdefault("\n".join(lines[a:b]), (i, a)) != (i, a):
-                gone[a:b] = [True] * (b - a)
+def plain_lines(rows, least=60):
+    rows, out = sorted((r["doc_id"], r["text"]) for r in rows), {}
+    for (i, t), gone in zip(rows, plain_runs([t for _, t in rows], least)):
         if not all(gone):
-            out[i] = "\n".join(x for x, g in zip(lines, gone) if not g)
+            out[i] = "\n".join(x for x, g in zip(t.split("\n"), gone) if not g)
     return out
 
 
@@ -75,7 +69,8 @@ def test_every_stage(spark, sf_dir, tmp_path):
     assert 50 not in kept and all(r["n_chars"] == len(r["text"]) for i, r in kept.items() if i == 53)
 
     rows = [tuple(r) for r in second.collect()]
-    want = {c for _, _, c in brute_components(rows, Terms())}
+    want = {c for _, _, c in brute_components(rows, Terms(n=5, percent=80))}
+    assert 56 not in want and 56 in {c for _, _, c in brute_components(rows, Terms())}
     assert {r["doc_id"] for r in third.collect()} == want and third.count() == len(want)
 
     assert collections.Counter(map(tuple, fourth.collect())) == collections.Counter(map(tuple, third.collect()))
