@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,8 +83,40 @@ def log_softmax(logits: Column) -> Column:
     return _bound(logits, lambda values: _bound(F.array_max(values), lambda top: below(values, top)))
 
 
-def token_logprobs(steps: Column, ids: Column) -> Column:
-    """Log-probability of each id at its step. steps: an array of logit arrays."""
+def _gathered(steps: pa.Array, ids: pa.Array) -> pa.Array:
+    """token_logprobs of a batch; one step's logits are worked on at a time, in place in the batch."""
+    logits = steps.values
+    at, ends = logits.offsets.to_numpy(), steps.offsets.to_numpy()
+    values = logits.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    gone = logits.values.is_null().to_numpy(zero_copy_only=False) if logits.values.null_count else None
+    here = logits.is_valid().to_numpy(zero_copy_only=False)
+    given = steps.is_valid().to_numpy(zero_copy_only=False)
+    out = []
+    for row, (lo, hi, want) in enumerate(zip(ends[:-1], ends[1:], ids.to_pylist())):
+        if want is None or not given[row]:
+            out.append(None)
+            continue
+        found = [None] * max(hi - lo, len(want))
+        for k, i in enumerate(want[: hi - lo]):
+            a, b = at[lo + k], at[lo + k + 1]
+            if i is not None and 0 <= i < b - a and here[lo + k] and not (gone is not None and gone[a:b].any()):
+                x = values[a:b]
+                top = x.max()
+                found[k] = float(x[i] - top - np.log(np.exp(x - top).sum()))
+        out.append(found)
+    return pa.array(out, pa.list_(pa.float64()))
+
+
+def token_logprobs(steps: Column, ids: Column, wide: bool = False) -> Column:
+    """Log-probability of each id at its step. steps: an array of logit arrays.
+
+    wide: by an Arrow kernel, for vocabularies of thousands; else by expressions, which keep
+    every step's whole distribution. Both give null for an id that is null or out of range, and
+    for logits that are null, empty or hold a null.
+    """
+    if wide:
+        kernel = F.arrow_udf(_gathered, "array<double>")
+        return kernel(steps.cast("array<array<double>>"), ids.cast("array<int>"))
     return F.transform(F.arrays_zip(steps.alias("l"), ids.alias("i")), lambda s: F.get(log_softmax(s["l"]), s["i"]))
 
 
@@ -116,9 +150,9 @@ def by_generation(response: Column, scores: Column, tokens: Column, target: Colu
     return F.when(none, "N/A").otherwise(extracted), F.when(~none, _bound(given, of))
 
 
-def by_condition(steps: Column, ids: Column, how: str = "product") -> Column:
-    """Confidence in a target after its prompt: each target token's probability at its step."""
-    return aggregate(F.transform(token_logprobs(steps, ids), lambda x: F.exp(x)), how)
+def by_condition(steps: Column, ids: Column, how: str = "product", wide: bool = False) -> Column:
+    """Confidence in a target after its prompt: each target token's probability at its step (wide: see token_logprobs)."""
+    return aggregate(F.transform(token_logprobs(steps, ids, wide), lambda x: F.exp(x)), how)
 
 
 def dispatch(kind: Column, generated: Column, direct: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factline.functions import confidence as conf
 from factline.functions import scoring, templates, text
-from factline.operators import chat, graph, sampling, stats
+from factline.operators import chat, graph, moments, sampling, stats
 from factline.operators import compare as c
 from factline.schemas import level_rank
 from factline.sources import adapters as a
@@ -50,6 +50,13 @@ def compare_by_level(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(c.level_summary(_detail(spark, d)))
 
 
+@query
+def summary_from_parts(spark: SparkSession, d: str) -> DataFrame:
+    """compare_by_level, added up from the states of 16 parts."""
+    parts = _detail(spark, d).withColumn("part", F.pmod(F.xxhash64("head", "relation", "tail"), F.lit(16)))
+    return _rounded(moments.level_summary(moments.level_states(parts, "part")))
+
+
 @query
 def compare_detail(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_detail(spark, d))

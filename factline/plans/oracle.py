@@ -320,3 +320,4 @@ scored AS (SELECT *, contains(e, 'N/A') AS none_, CASE WHEN conv_id % 3 = 0 THEN
     "run_document": _with(RUNS, "SELECT head, relation, tail, distance, CAST(confidence AS DOUBLE) AS confidence, accuracy_score, model_response, contains(p_name, 'gear') AS exact_match FROM run_base"),
     "level_listing": f"SELECT DISTINCT {LEVEL} AS distance, l_linenumber - 1 AS rank FROM lineitem",
 }
+SQL["summary_from_parts"] = SQL["compare_by_level"]

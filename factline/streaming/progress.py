@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from factline.operators import moments
 from factline.schemas import RESULT
 
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -25,6 +26,14 @@ def level_progress(results: DataFrame) -> DataFrame:
     return results.groupBy("distance").agg(F.count(F.lit(1)).alias("processed"), F.count("accuracy_score").alias("scored"), F.avg("accuracy_score").alias("mean_score"))
 
 
+def keep_moments(results: DataFrame, path: str, group: list[str], values: tuple[str, ...], flags: tuple[str, ...] = ()):
+    """A stream writer that stores moments.moments of each batch; moments.merged adds them up at any time.
+
+    A batch that runs again after a restart takes its own place, so nothing counts twice.
+    """
+    return results.writeStream.foreachBatch(lambda rows, batch: moments.keep_part(moments.moments(rows, group, values, flags), path, batch))
+
+
 class _Running(StatefulProcessor):
     """Three numbers a group: rows, scored rows and the sum of scores so far."""
 
