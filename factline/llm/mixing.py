@@ -16,48 +16,6 @@ from factline.llm.tables import ordered_index
 SMALL = 1 << 16  # as many sources are broadcast
 
 
-def weight_units(weights: dict, cycle: int) -> dict:
-    """Whole units per source, at least 1 each and `cycle` in all, by largest remainder."""
-    if cycle < len(weights):
-        raise ValueError("the cycle must hold at least one unit for each source")
-    total = sum(weights.values())
-    spare = cycle - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    units = {s: 1 + int(x) for s, x in exact.items()}
-    names = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s is None, str(s)))
-    for s in names[: cycle - sum(units.values())]:
-        units[s] += 1
-    return units
-
-
-def edf_cycle(spark: SparkSession, units: list[int]) -> DataFrame:
-    """One cycle of the schedule: columns k (index of the source), j (block in the cycle), offset (slot).
-
-    Block j of a source with a of D units is released at floor(j D / a) and due by
-    ceil((j + 1) D / a); each slot runs the released block that is due first. The units sum to
-    D, so every block meets its window and no source strays by one whole block. The fold is a
-    single SQL aggregate over the D slots.
-    """
-    d, s = sum(units), len(units)
-    a = F.array(*[F.lit(u).cast("long") for u in units])
-    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), s).alias("done"), F.array().cast("array<int>").alias("picks"))
-
-    def step(acc, t):
-        def window(k):
-            j, u = acc["done"][k], F.get(a, k)
-            due = F.floor(((j + 1) * d + u - 1) / u)
-            return F.when((j < u) & (F.floor(j * d / u) <= t), F.struct(due.cast("long").alias("due"), k.alias("k")))
-
-        k = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(s - 1)), window))["k"]
-        done = F.transform(acc["done"], lambda x, i: x + F.when(i == k, 1).otherwise(0))
-        return F.struct(done.alias("done"), F.concat(acc["picks"], F.array(k)).alias("picks"))
-
-    picks = F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), zero, step)["picks"]
-    one = spark.range(1).select(F.posexplode(picks).alias("offset", "k"))
-    order = Window.partitionBy("k").orderBy("offset")
-    return one.select("k", (F.row_number().over(order) - 1).alias("j"), "offset")
-
-
 def edf_blocks(weights: list[float], blocks: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """The whole schedule: the source and the slot of every block, in the order in which they run.
 

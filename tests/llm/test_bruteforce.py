@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from factline.llm import words as w
 from factline.llm.exact_dedup import CountingQuotientFilter, exact_dedup
 from factline.llm.jaccard_join import Terms, jaccard_components
 from factline.llm.line_dedup import line_dedup
-from factline.llm.mixing import edf_cycle, pfair_mix, pfair_schedule, weight_units
+from factline.llm.mixing import edf_blocks, pfair_mix, pfair_schedule
 from factline.llm.mixing_lm import lm_scores
 from factline.llm.quality import LineField, quality_lines
 from factline.llm.sharding import stratified_shards
@@ -156,18 +157,39 @@ def test_shards(docs, table_of, corpus):
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == by
 
 
+def plain_edf(weights, blocks):
+    """Slot -> (source, block): at each slot every source is looked at anew."""
+    shares = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    done, out, t = [0] * len(weights), {}, 0
+    while done != blocks:
+        open_ = [k for k, n in enumerate(blocks) if done[k] < n]
+        ready = [k for k in open_ if math.floor(done[k] / shares[k]) <= t]
+        if ready:
+            k = min(ready, key=lambda k: (math.ceil((done[k] + 1) / shares[k]), k))
+            out[t] = (k, done[k])
+            done[k] += 1
+        t += 1
+    return out
+
+
 def test_pfair(spark, docs, table_of, corpus):
-    for weights in ([5, 3, 2], [1, 1, 98], [7], [3] * 11):
-        units = list(weight_units(dict(enumerate(weights)), 100).values())
-        picks = [r["k"] for r in edf_cycle(spark, units).orderBy("offset").collect()]
-        assert sum(units) == len(picks) == 100
-        for t in range(1, 101):
-            done = collections.Counter(picks[:t])
-            assert all(abs(done[k] - u * t / 100) < 1 for k, u in enumerate(units))
+    for weights, blocks in (([5.0, 3.0, 2.0], [50, 30, 20]), ([1.0, 1.0, 98.0], [4, 1, 150]), ([7.0], [9]), ([3.0] * 11, [3] * 11), ([0.1, 0.7, 0.3], [40, 20, 60])):
+        which, slots = edf_blocks(weights, blocks)
+        want = plain_edf(weights, blocks)
+        assert list(zip(slots.tolist(), which.tolist())) == [(t, k) for t, (k, _) in want.items()]
+        for k, w in enumerate(weights):
+            share = Fraction(w) / sum(map(Fraction, weights))
+            at = [t for t, (s, _) in want.items() if s == k]
+            assert all(math.floor(j / share) <= t < math.ceil((j + 1) / share) for j, t in enumerate(at))  # each block in its window, also after others have run out
     t = table_of(docs)
     got = pfair_schedule(t, block_rows=2).collect()
     assert sorted(r["mix_order"] for r in got) == list(range(len(corpus)))
     assert collections.Counter(r["id"] for r in got) == collections.Counter(i for i, *_ in corpus)
+    counts = collections.Counter(s for _, _, _, s, _ in corpus)
+    names = sorted(counts, key=lambda s: (s is None, str(s)))
+    want = plain_edf([counts[s] ** 0.7 for s in names], [-(-counts[s] // 2) for s in names])
+    assert {r["slot"]: (names.index(r["source"]), r["block"]) for r in got} == want
+    assert [r["slot"] for r in sorted(got, key=lambda r: r["mix_order"])] == sorted(r["slot"] for r in got)
     mixed = pfair_mix(t).collect()
     assert collections.Counter(map(tuple, mixed)) == collections.Counter(map(tuple, corpus))
     with pytest.raises(ValueError):
