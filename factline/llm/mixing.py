@@ -125,3 +125,30 @@ def pfair_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     # the copy's number is compared by difference, so that the join keeps the windows' partitioning
     on = (F.col("_id") == F.col("_pid")) & (F.col("_fp") == F.col("_pfp")) & (F.col("_n") - F.col("_pn") == 0)
     return rows.join(place, on).orderBy("_order").select("_row.*")
+
+
+#: Earliest deadline first, a slot a step of the recursion; the default weights of op8 as whole numbers (a double of 1 or more times 2^52 is one).
+ORACLE = r"""
+WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+s AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS LAST) AS k, (n + 15) // 16 AS blocks, CAST(power(n, 0.7::DOUBLE) * 4503599627370496 AS HUGEINT) AS w FROM c),
+a AS (SELECT list(w ORDER BY k) AS ws, list(blocks ORDER BY k) AS bs, list_reduce(list(w ORDER BY k), lambda x, y: x + y) AS whole, count(*) AS n FROM s),
+edf AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS k, CAST(NULL AS BIGINT) AS block, list_transform(bs, lambda b: CAST(0 AS BIGINT)) AS done FROM a WHERE n > 0
+  UNION ALL
+  SELECT slot, pick.k, done[pick.k], list_transform(done, lambda d, i: d + CAST(i = pick.k AS BIGINT))
+  FROM (
+    SELECT slot, done, list_sort(list_transform(list_filter(jobs, lambda x: x.release <= slot), lambda x: {'due': x.due, 'k': x.k}))[1] AS pick
+    FROM (
+      SELECT greatest(slot + 1, CAST(list_min(list_transform(jobs, lambda x: x.release)) AS BIGINT)) AS slot, done, jobs
+      FROM (
+        SELECT e.slot, e.done, list_transform(
+          list_filter(range(1, n + 1), lambda k: e.done[k] < bs[k]),
+          lambda k: {'release': e.done[k] * whole // ws[k], 'due': ((e.done[k] + 1) * whole + ws[k] - 1) // ws[k], 'k': k}) AS jobs
+        FROM edf e, a)
+      WHERE len(jobs) > 0))),
+d AS (
+  SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY md5('factline' || coalesce(':' || CAST(doc_id AS VARCHAR), ''))) - 1) AS r FROM documents),
+m AS (SELECT d.doc_id, d.source, d.r // 16 AS block, d.r, e.slot FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN edf e ON e.k = s.k AND e.block = d.r // 16)
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, slot, row_number() OVER (ORDER BY slot, r) - 1 AS mix_order FROM m
+"""

@@ -15,11 +15,13 @@ from factline.llm.jaccard_join import jaccard_components
 from factline.llm.lattice import sample_segmentations
 from factline.llm.line_dedup import ORACLE as LINES_ORACLE
 from factline.llm.line_dedup import line_dedup
+from factline.llm.mixing import ORACLE as MIXING_ORACLE
 from factline.llm.mixing import pfair_schedule
 from factline.llm.mixing_lm import lm_scores
 from factline.llm.odd_sketches import minhash_classes
 from factline.llm.periodic_runs import folded, periodic_runs, run_digest
 from factline.llm.quality import quality_lines
+from factline.llm.sharding import ORACLE as SHARDS_ORACLE
 from factline.llm.sharding import stratified_shards
 from factline.llm.substring_dedup import substring_dedup
 from factline.llm.url_filter import ORACLE as URLS_ORACLE
@@ -107,4 +109,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_odd_sketches": op12_odd_sketches,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": LINES_ORACLE.format(min_chars=60, reach=59), "op5_exact_dedup": EXACT_ORACLE, "op11_feature_join": FEATURES_ORACLE, "op7_url_filter": URLS_ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": LINES_ORACLE.format(min_chars=60, reach=59), "op5_exact_dedup": EXACT_ORACLE, "op6_sharding": SHARDS_ORACLE, "op8_pfair_mixing": MIXING_ORACLE, "op11_feature_join": FEATURES_ORACLE, "op7_url_filter": URLS_ORACLE}

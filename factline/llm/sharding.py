@@ -47,3 +47,22 @@ def stratified_shards(docs: DataFrame, shards: int = 8, seed: str = "factline",
         shard.cast("int").alias("shard"),
         (F.col("pos") - F.expr(f"(pos * {shards} div {max(total, 1)} * {total} + {shards - 1}) div {shards}")).cast("long").alias("slot"),
     )
+
+
+#: Fixed value: the polynomial of CRC-32, reversed. DuckDB has no such function, so it is folded byte by byte.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, source, encode(coalesce(text, '')) AS raw FROM documents),
+c AS (
+  SELECT doc_id, source, CAST(octet_length(raw) + 1 AS BIGINT) AS size, md5('factline' || coalesce(':' || CAST(doc_id AS VARCHAR), '')) AS h,
+    xor(list_reduce(
+      list_transform(regexp_extract_all(hex(raw), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+      lambda a, b: xor(xor(a, b) >> 8, list_reduce(range(8), lambda p, i: xor(p >> 1, p % 2 * 3988292384), xor(a, b) & 255)),
+      4294967295), 4294967295) AS text_crc32
+  FROM t),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32, size) AS r, count(*) OVER (PARTITION BY source) AS n
+  FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY (r - 0.5::DOUBLE) / n, source NULLS FIRST, r) - 1 AS pos, count(*) OVER () AS total FROM f),
+s AS (SELECT *, pos * 8 // total AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(pos - (shard * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM s
+"""

@@ -114,3 +114,18 @@ def test_the_pipeline_ends_in_the_order_of_the_mixture(spark, table_of):
     by = lambda t: [r["doc_id"] for r in corpus_pipeline.encode(spark, t, "").filter("sample = 1").orderBy("position").collect()]
     assert by(mixed) == list(range(400))
     assert by(table_of(corpus_pipeline.mixture(spark, docs, ""), "mixed")) == want
+
+
+def test_shards_and_mixture_agree_with_their_sql(spark, tmp_path):
+    import duckdb
+
+    from factline.llm.queries import ORACLES, QUERIES
+
+    rows = [(i, None if i % 11 == 0 else "é text " * (i % 5) + str(i % 3), "en", None if i % 13 == 0 else "abbbcd"[i % 6] * (1 + i % 2), 0) for i in range(700)]
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as db:
+        db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        for name in ("op6_sharding", "op8_pfair_mixing"):
+            got = QUERIES[name](spark, str(tmp_path))
+            want = db.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
+            assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
