@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -10,18 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factline.llm.tables import cut
+from factline.llm.tables import cut, hot_keys, join_groups
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 BROADCAST_KEYS = 500_000  # at most 8 bytes each: 4 MB
-NO_ID = (1 << 63) - 1  # a null id sorts after all others
 
 
 class CountingQuotientFilter:
     """64-bit fingerprints as quotient and remainder, with counters.
 
-    Remainders lie sorted within the run of their quotient, so filters merge losslessly in one
-    pass over both; `ends` holds where each occupied quotient's run ends.
+    Remainders lie sorted within the run of their quotient, so filters merge losslessly by laying
+    their runs together; `ends` holds where each occupied quotient's run ends.
     """
 
     def __init__(self, quotients: np.ndarray, ends: np.ndarray, remainders: np.ndarray, counts: np.ndarray, bits: int):
@@ -31,20 +31,30 @@ class CountingQuotientFilter:
     def of(cls, prints: np.ndarray, bits: int, counts: np.ndarray | None = None) -> CountingQuotientFilter:
         """prints: uint64 in any order; bits: length of the quotient."""
         order = np.argsort(prints, kind="stable")
-        prints = prints[order]
-        counts = np.ones(len(prints), np.int64) if counts is None else counts[order]
+        return cls.sorted(prints[order], np.ones(len(prints), np.int64) if counts is None else counts[order], bits)
+
+    @classmethod
+    def sorted(cls, prints: np.ndarray, counts: np.ndarray, bits: int) -> CountingQuotientFilter:
         first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]][: len(prints)])
         prints, counts = prints[first], np.add.reduceat(counts, first) if len(first) else counts
         shift = np.uint64(64 - bits)
-        quotients, starts = np.unique(prints >> shift, return_index=True)
-        return cls(quotients, np.r_[starts[1:], len(prints)][: len(quotients)], prints & ((np.uint64(1) << shift) - np.uint64(1)), counts, bits)
+        of = prints >> shift
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+        return cls(of[starts], np.r_[starts[1:], len(prints)][: len(starts)], prints & ((np.uint64(1) << shift) - np.uint64(1)), counts, bits)
 
     def prints(self) -> np.ndarray:
         runs = np.diff(np.r_[0, self.ends])
         return (np.repeat(self.quotients, runs) << np.uint64(64 - self.bits)) | self.remainders
 
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        return self.of(np.r_[self.prints(), other.prints()], self.bits, np.r_[self.counts, other.counts])
+        """Both filters' counters in one, without loss: the sorted sides are laid together, not sorted again."""
+        mine, theirs = self.prints(), other.prints()
+        at = np.searchsorted(mine, theirs) + np.arange(len(theirs))
+        prints, counts = np.empty(len(mine) + len(theirs), np.uint64), np.empty(len(mine) + len(theirs), np.int64)
+        rest = np.ones(len(prints), bool)
+        rest[at] = False
+        prints[at], counts[at], prints[rest], counts[rest] = theirs, other.counts, mine, self.counts
+        return self.sorted(prints, counts, self.bits)
 
     def count(self, fingerprint: int) -> int:
         q = fingerprint >> (64 - self.bits)
@@ -92,11 +102,13 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
     bits = max(4, min(40, (max(rows, 1) - 1).bit_length() - 14))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: CountingQuotientFilter | None = None
+        parts: list[CountingQuotientFilter] = []  # each over twice as large as the next, so a fingerprint is merged log n times
         for batch in batches:
-            part = CountingQuotientFilter.of(batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64), bits)
-            whole = part if whole is None else whole.merge(part)
-        if whole is not None:
+            parts.append(CountingQuotientFilter.of(batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64), bits))
+            while len(parts) > 1 and len(parts[-2].counts) <= 2 * len(parts[-1].counts):
+                parts[-2:] = [parts[-2].merge(parts[-1])]
+        if parts:
+            whole = functools.reduce(CountingQuotientFilter.merge, reversed(parts))
             q, r, c = zip(*whole.blocks(), strict=True) if len(whole.quotients) else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r, pa.binary()), pa.array(c, pa.binary())], ["q", "rems", "counts"])
 
@@ -119,6 +131,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of equal texts the row with the most code points, then the smallest id, stays. Returns id,
     keep_id, group_size, kept, text_sha256: one row per input row.
 
+    Ids may be of any type that can be ordered. The rows of a hot group are joined by broadcast.
+
     Nulls: a null text equals an empty one; a null id sorts after all others. Of rows alike in
     id and text exactly one is kept. An empty table gives no rows; extra columns are not read.
     """
@@ -134,16 +148,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = texts.groupBy("fp", "sha", "norm").agg(F.count(F.lit(1)).alias("n"))
     sizes = classes.groupBy(F.col("sha").alias("gsha")).agg(F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("texts"))
     sizes = sizes.select("gsha", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256"))).cast("long").alias("group_size"))
-    order = F.struct(F.col("n_cp"), (-F.coalesce(F.col("id"), F.lit(NO_ID))).alias("back"), (-F.col("at")).alias("at"))
-    best = features.join(again, "fp", "left_semi").groupBy(F.col("sha").alias("bsha")).agg(F.max_by(F.struct("id", "at"), order).alias("best"))
-    groups = sizes.join(best, F.col("gsha") == F.col("bsha")).select("gsha", "group_size", "best")
-    return features.join(groups, F.col("sha") == F.col("gsha"), "left").select(
-        F.col("id").alias(id_col),
-        F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("best").isNull() | (F.col("best.at") == F.col("at"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+    copies, alone = features.join(again, "fp", "left_semi"), features.join(again, "fp", "left_anti")
+    first = F.min(F.struct((-F.col("n_cp")).alias("size"), F.col("id").isNull().alias("unnamed"), "id", "at"))
+    best = copies.groupBy(F.col("sha").alias("bsha")).agg(first.alias("best"))
+    groups = sizes.join(best, F.col("gsha") == F.col("bsha")).select(F.col("gsha").alias("sha"), "group_size", "best")
+    grouped = join_groups(copies, groups, ["sha"], hot_keys(copies, ["sha"]))
+    some = grouped.select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("best.at") == F.col("at")).alias("kept"), "sha")
+    one = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    return some.unionByName(one).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 ORACLE = r"""
