@@ -15,7 +15,6 @@ SYMBOLS = b"#*$%&|<>"
 FEATURES = ("one", "short", "long", "symbols", "upper", "digits", "marks", "shouted", "ends well", "starts well", "echo", "no letters", "word length")
 CONTENT, BOILERPLATE = 0, 1
 TRAIN_DOCS = 1000  # bound of the labelled sample that the field is fitted on; its texts are taken whole
-LEAST_LABELLED = 5  # texts of either label without which the field is not fitted, but LineField.PRIOR taken
 SEGMENT = 64  # lines after which a training chain is cut in two
 
 
@@ -84,12 +83,14 @@ def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_s
 class LineField:
     """A two-label chain: label scores linear in the features, and a score for each step."""
 
-    #: Used without labels, or with fewer than LEAST_LABELLED texts of a label: marks and shouting speak for boilerplate.
+    #: What the field is before it has seen a label, and what its fit is held to: marks and shouting speak for boilerplate, and labels last.
     PRIOR = {"one": -1.5, "symbols": 3.0, "marks": 2.0, "shouted": 3.0, "upper": 2.0, "echo": 3.0, "no letters": 2.0}
 
+    PRIOR_STEPS = ((0.5, -0.5), (-0.5, 0.5))
+
     def __init__(self, weights: np.ndarray | None = None, steps: np.ndarray | None = None):
         self.weights = np.array([self.PRIOR.get(f, 0.0) for f in FEATURES]) if weights is None else weights
-        self.steps = np.array([[0.5, -0.5], [-0.5, 0.5]]) if steps is None else steps
+        self.steps = np.array(self.PRIOR_STEPS) if steps is None else steps
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
         """Most probable labels of one text's lines. scores: boilerplate over content, by line."""
@@ -110,18 +111,22 @@ class LineField:
         return np.array(out[::-1])
 
     @classmethod
-    def fit(cls, texts: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.15, ridge: float = 1e-3, step_ridge: float = 0.05) -> LineField:
-        """Ascend the conditional likelihood. texts: features of all of a text's lines, and their common label.
+    def fit(cls, texts: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.15, ridge: float = 1.0, step_ridge: float = 50.0) -> LineField:
+        """Ascend the posterior: conditional likelihood, and a normal prior around the unfitted field.
+
+        texts: features of all of a text's lines, and their common label. ridge and step_ridge,
+        the prior's precisions, weigh as much as so many texts: one rule for any number of
+        labels, which without texts, or far from them, gives the unfitted field.
 
         Chains are cut into segments of SEGMENT lines: every line and all steps but one in
         SEGMENT count, and a round takes SEGMENT vector steps whatever the longest text. Both
         labels weigh alike, and so do all texts of a label. As one text's lines share a label,
         no step between labels is ever seen; step_ridge holds the scores of steps back.
         """
-        if min((sum(y == k for _, y in texts) for k in (0, 1)), default=0) < LEAST_LABELLED:
+        if not texts:
             return cls()
         labels = np.array([y for _, y in texts])
-        alike = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean()) / np.array([len(f) for f, _ in texts])
+        alike = 0.5 / np.bincount(labels, minlength=2)[labels] * len(texts) / np.array([len(f) for f, _ in texts])
         parts = [(f[lo : lo + SEGMENT], y, v) for (f, y), v in zip(texts, alike.tolist(), strict=True) for lo in range(0, len(f), SEGMENT)]
         parts.sort(key=lambda p: -len(p[0]))
         lengths = np.array([len(p[0]) for p in parts])
@@ -129,8 +134,9 @@ class LineField:
         live = [int((lengths > t).sum()) for t in range(lengths[0])]
         to = np.cumsum([0, *live])  # lines lie by place in their segment, then by segment
         x = np.concatenate([np.stack([p[0][t] for p in parts[:k]]) for t, k in enumerate(live)])
-        theta, m, v = np.zeros(len(FEATURES) + 4), 0.0, 0.0
-        keep = np.r_[np.full(len(FEATURES), ridge), np.full(4, step_ridge)]
+        prior = cls()
+        centre, m, v = np.r_[prior.weights, prior.steps.ravel()], 0.0, 0.0
+        theta, keep = centre.copy(), np.r_[np.full(len(FEATURES), ridge), np.full(4, step_ridge)] / len(texts)
         for r in range(1, rounds + 1):
             steps, s = theta[-4:].reshape(2, 2), x @ theta[:-4]
             fwd, bwd = np.zeros((len(x), 2)), np.zeros((len(x), 2))
@@ -156,9 +162,9 @@ class LineField:
                     e = fwd[here, a] + steps[a, b] + (s[after] if b else 0) + bwd[after, b] - z[of[after]]
                     seen = ((lengths - 1) * ((y == a) & (y == b)) * weigh).sum()
                     pair[a, b] = seen - (np.exp(np.minimum(e, 0)) * weigh[of[after]]).sum()
-            g = np.r_[grad, pair.ravel()] / len(texts) - keep * theta
+            g = np.r_[grad, pair.ravel()] / len(texts) - keep * (theta - centre)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            theta = theta + rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
+            theta = theta + rate * (1 - (r - 1) / rounds) * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
         return cls(theta[:-4], theta[-4:].reshape(2, 2))
 
 
@@ -179,8 +185,8 @@ def fit_field(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
 
     labels: (id, quality 0/1); an id labelled both ways is bad. All lines of a text of quality 0
     count as boilerplate. Texts are whole; the driver gets 52 bytes a line of them. Of several
-    rows with one id the least text counts; null and empty texts are left out. With fewer than
-    LEAST_LABELLED texts of either label, LineField.PRIOR is used.
+    rows with one id the least text counts; null and empty texts are left out. Without
+    labelled texts the field is its prior, with a few it is near it (LineField.fit).
     """
     if labels is None:
         return LineField()
