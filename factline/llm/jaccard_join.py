@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factline.llm import words as w
 from factline.llm.bitmaps import bitmap_of
 from factline.llm.components import components
-from factline.llm.tables import cut, hot_keys, join_groups, written
+from factline.llm.tables import cut, hot_keys, id_number, join_groups, written
 
 LEAST_BITS, MOST_BITS = 16, 24  # log2 of the cells of the frequency sketch: a byte each in the broadcast, four in a task
 _PAGE_BITS = 12
@@ -220,15 +220,16 @@ def jaccard_components(docs: DataFrame, terms: Terms = Terms(), id_col: str = "d
 def keep_one_of_class(docs: DataFrame, terms: Terms = Terms(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, unchanged, one for each class of jaccard_components: one with the class's id.
 
-    Texts with empty sets are classes of their own; of identical rows one stays.
+    Texts with empty sets are classes of their own; of rows alike in id and text one stays, that
+    with the least hash over all columns.
     """
     rows = _classified(docs, terms, id_col, text_col)
     own = F.when(F.col("n") > 0, F.col("label"))
     kept = rows.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(own.alias("class"), "id", F.when(own.isNull(), F.col("tag")).alias("t")).agg(F.min("tag").alias("tag"))
     kept = kept.select(F.col("id").alias("_kid"), F.col("tag").alias("_ktag"))
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_id"), F.xxhash64(F.col(text_col)).alias("_tag"))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_id"), F.xxhash64(F.col(text_col)).alias("_tag"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
     kept = kept.select(F.xxhash64(F.coalesce(F.col("_kid").cast("string"), F.lit(""))).alias("_id"), F.col("_ktag").alias("_tag")).distinct()
-    return tagged.join(kept, ["_id", "_tag"], "left_semi").groupBy("_id", "_tag").agg(F.first("_row").alias("_row")).select("_row.*")
+    return tagged.join(kept, ["_id", "_tag"], "left_semi").groupBy("_id", "_tag").agg(F.min_by("_row", "_all").alias("_row")).select("_row.*")
 
 
 def _classified(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
@@ -236,7 +237,7 @@ def _classified(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> Da
     spark = docs.sparkSession
     sc = spark.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    raw = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
+    raw = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.coalesce(id_number(docs, id_col), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
     seen = raw.select("key", "raw").withColumn("at", F.monotonically_increasing_id())
 
     size = raw.agg(F.sum(F.octet_length("raw"))).first()[0] or 0

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factline.llm import words as w
+from factline.llm.tables import id_number
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _U = np.uint64
@@ -431,6 +432,8 @@ def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed:
     valid or not, decodes exactly. Rows are independent: no shuffle, and a task holds a few
     megabytes of text, or one long text, at a time.
 
+    Ids that are not whole numbers are hashed for their draws.
+
     Nulls: a null text counts as empty, and an empty text has one segmentation, of no pieces; a
     null id is hashed as -1. Texts with fewer than k segmentations give what they have. Repeated
     rows are all sampled, alike where ids and texts are. Empty tables give no rows.
@@ -459,7 +462,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed:
                 own = [batch["id"].take(at), *[pa.array(c, t) for c, t in zip(cols, types, strict=False)]]
                 yield pa.RecordBatch.from_arrays([*own, batch["position"].take(at)] if placed else own, names + ["position"] * placed)
 
-    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("h"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"), *([position.alias("position")] if placed else []))
+    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(id_number(docs, id_col), F.lit(-1)).alias("h"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"), *([position.alias("position")] if placed else []))
     schema = f"id {kind}, sample int, n_pieces long, logp double, gumbel double, log_inclusion double, ids_sha256 string, roundtrip boolean" + ", ids array<int>" * with_ids + ", position long" * placed
     return raw.mapInArrow(w.tidy(run), schema).withColumnRenamed("id", id_col)
 

@@ -97,6 +97,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], hot: DataFr
     return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(groups.join(F.broadcast(hot), keys, "left_anti"), keys))
 
 
+def id_number(docs: DataFrame, id_col: str) -> Column:
+    """The id as a bigint, null for null: whole numbers as they are, any other id by 64 bits of its text's hash."""
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string")))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -9,6 +9,10 @@ import pytest
 from conftest_llm import SCHEMA
 
 from factline.llm import mixing, mixing_lm
+from factline.llm.exact_dedup import exact_dedup
+from factline.llm.jaccard_join import jaccard_components, keep_one_of_class
+from factline.llm.lattice import sample_segmentations
+from factline.llm.quality import FEATURES, LineField
 from factline.llm.url_filter import judge_urls
 
 
@@ -129,3 +133,31 @@ def test_shards_and_mixture_agree_with_their_sql(spark, tmp_path):
             got = QUERIES[name](spark, str(tmp_path))
             want = db.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
             assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_ids_of_any_kind(spark, table_of, docs):
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    whole, text = table_of(docs, "whole"), table_of(named, "text")
+    sizes = lambda t: collections.Counter((r["doc_id"] and int(r["doc_id"]), r["group_size"], r["text_sha256"]) for r in exact_dedup(t).collect())
+    assert sizes(whole) == sizes(text)
+    members = lambda t: collections.Counter(collections.Counter(r["component_id"] for r in jaccard_components(t).collect() if r["doc_id"] is not None).values())
+    assert members(whole) == members(text)
+    assert keep_one_of_class(text).count() == keep_one_of_class(whole).count()
+    assert all(r["roundtrip"] for r in sample_segmentations(text).collect())
+
+
+def test_rows_alike_in_id_and_text_leave_the_same_one(spark, table_of):
+    rows = [(1, "a b c d e f", lang, "s", n) for n, lang in enumerate(["en", "de", None, "fr"])]
+    one, other = (table_of(spark.createDataFrame(r, SCHEMA), n) for r, n in ((rows, "one"), (rows[::-1], "other")))
+    assert keep_one_of_class(one).collect() == keep_one_of_class(other).collect() and keep_one_of_class(one).count() == 1
+
+
+def test_few_labels_move_the_field_from_its_prior():
+    x = np.zeros((6, len(FEATURES)))
+    x[:, 0] = x[:, FEATURES.index("long")] = 1
+    prior = LineField()
+    away = [np.abs(LineField.fit([(x, 1)] * n + [(x * 0 + (np.arange(len(FEATURES)) == 0), 0)] * n).weights - prior.weights).max() for n in (0, 1, 4, 5, 300)]
+    assert away[0] == 0 < away[1] < away[2] < away[3] < away[4] and away[3] < 1.3 * away[2]
+    many = LineField.fit([(x, 1)] * 300 + [(x * 0 + (np.arange(len(FEATURES)) == 0), 0)] * 300)
+    assert (many.decode(x @ many.weights) == 1).all() and (prior.decode(x @ prior.weights) == 0).all()
+    assert (LineField.fit([(x, 1)] * 3).weights[0] > prior.weights[0])  # one label alone is no special case
