@@ -151,7 +151,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     copies, alone = features.join(again, "fp", "left_semi"), features.join(again, "fp", "left_anti")
     first = F.min(F.struct((-F.col("n_cp")).alias("size"), F.col("id").isNull().alias("unnamed"), "id", "at"))
     best = copies.groupBy(F.col("sha").alias("bsha")).agg(first.alias("best"))
-    groups = sizes.join(best, F.col("gsha") == F.col("bsha")).select(F.col("gsha").alias("sha"), "group_size", "best")
+    groups = cut(sizes.join(best, F.col("gsha") == F.col("bsha")).select(F.col("gsha").alias("sha"), "group_size", "best"))
     grouped = join_groups(copies, groups, ["sha"], hot_keys(copies, ["sha"]))
     some = grouped.select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("best.at") == F.col("at")).alias("kept"), "sha")
     one = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
