@@ -161,3 +161,16 @@ def test_few_labels_move_the_field_from_its_prior():
     many = LineField.fit([(x, 1)] * 300 + [(x * 0 + (np.arange(len(FEATURES)) == 0), 0)] * 300)
     assert (many.decode(x @ many.weights) == 1).all() and (prior.decode(x @ prior.weights) == 0).all()
     assert (LineField.fit([(x, 1)] * 3).weights[0] > prior.weights[0])  # one label alone is no special case
+
+
+def test_a_held_out_text_changes_no_other_score(spark, table_of, corpus):
+    import zlib
+
+    rows = [r for r in corpus if r[0] is not None]
+    held = next(i for i, *_ in rows if zlib.crc32(str(i).encode()) % 7 == 2)
+    long = " ".join(f"w{k}q{k * k}" for k in range(60000))  # would ask for larger tables and more words a beginning
+    changed = [(i, long if i == held else t, *more) for i, t, *more in rows]
+    one, other = ({(r["doc_id"], r["n_tokens"]): (r["base_score"], r["score"]) for r in mixing_lm.lm_scores(table_of(spark.createDataFrame(x, SCHEMA), n)).collect() if r["doc_id"] != held} for x, n in ((rows, "one"), (changed, "other")))
+    assert one.keys() == other.keys()
+    for k, v in one.items():
+        assert other[k] == pytest.approx(v, rel=1e-9)
