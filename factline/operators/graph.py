@@ -193,17 +193,32 @@ def experiments(found: DataFrame, targets: DataFrame, depth: int = 10) -> DataFr
     return targets.select("experiment_id", F.struct(*member()).alias("target")).join(doc, "experiment_id")
 
 
+FEW, BUCKETS = 100_000, 64  # rows of a table that is broadcast; parts of a value's edges that bound its earliest ones
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df materialised, and to be broadcast if it has FEW rows or less."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def candidates(pool: DataFrame, wanted: DataFrame, by: str, n: int | None = None) -> DataFrame:
     """The pool's edges whose `by` column (head: downstream, tail: upstream, relation: parallel) is wanted.
 
     wanted: one column of that name. With n, the n earliest edges of each wanted value (ties by
-    edge); Spark then keeps n rows a value in each task before the shuffle.
+    edge). A value's edges are dealt into BUCKETS or n buckets by hash, and the n-th least of the
+    buckets' least ords bounds the ords of the n earliest; so only some n edges a value are sorted.
     """
-    found = pool.join(wanted.select(by).distinct(), by, "left_semi").select(*EDGE, "ord")
+    found = pool.join(_few(wanted.select(by).distinct()), by, "left_semi").select(*EDGE, "ord")
     if n is None:
         return found
+    bucket = F.pmod(F.xxhash64(*EDGE), F.lit(max(BUCKETS, n))).alias("_bucket")
+    least = found.groupBy(by, bucket).agg(F.min("ord").alias("_ord")).filter("_ord is not null")
+    bounds = least.groupBy(by).agg(F.sort_array(F.collect_list("_ord")).alias("_least")).select(by, F.get("_least", F.lit(n - 1)).alias("_last"))
+    # without a bound there are fewer than n buckets with an ord
+    near = found.join(_few(bounds.filter("_last is not null")), by, "left").filter("_last is null or ord is null or ord <= _last").drop("_last")
     first = Window.partitionBy(by).orderBy("ord", *EDGE)
-    return found.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n).drop("_n")
+    return near.select(*EDGE, "ord").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n).drop("_n")
 
 
 Source = Callable[[DataFrame, str], DataFrame]

@@ -194,3 +194,25 @@ def test_hubs_are_walked_in_blocks(spark, monkeypatch):
     split = sorted(map(tuple, graph.node_levels(edges, some, 4).collect()), key=str)
     monkeypatch.setattr(graph, "LEAST_BLOCK", 10_000)
     assert split == sorted(map(tuple, graph.node_levels(edges, some, 4).collect()), key=str)
+
+
+def test_earliest_candidates_among_ties_nulls_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BUCKETS", 3)
+    rows = [(f"h{k % 5}", ("r", "s", "t")[k % 3 if k < 300 else 0], f"t{k % 97}", None if k % 41 == 0 else k * 7 % 60) for k in range(400)] + [("h0", "u", "x", 5)] * 9
+    pool = spark.createDataFrame(rows, "head string, relation string, tail string, ord bigint").repartition(5)
+    key = lambda r: (r[3] is not None, r[3] or 0, *r[:3])
+    for by, at in (("head", 0), ("relation", 1)):
+        want = sorted(sum((sorted((r for r in rows if r[at] == v), key=key)[:4] for v in {r[at] for r in rows} - {"t"}), []), key=key)
+        got = graph.candidates(pool, pool.select(by).filter(F.col(by) != "t"), by, 4)
+        assert sorted(map(tuple, got.collect()), key=key) == want
+        assert "_last" in got._jdf.queryExecution().optimizedPlan().toString()  # rows past the bound are not sorted
+
+
+def test_pairs_are_dealt_out_by_the_size_of_the_table(spark, monkeypatch):
+    from factline.sources import adapters
+
+    lines = spark.range(1000).selectExpr("id % 20 AS l_suppkey", "id % 7 AS l_partkey").withColumn("l_partkey", F.when(F.col("l_suppkey") < 10, 3).otherwise(F.col("l_partkey")))
+    want = sorted(map(tuple, lines.distinct().collect()))
+    monkeypatch.setattr(adapters, "TASK_ROWS", 100)
+    got = adapters._distinct_supplies(lines)
+    assert got.rdd.getNumPartitions() == 11 and sorted(map(tuple, got.collect())) == want
