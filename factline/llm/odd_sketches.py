@@ -144,8 +144,8 @@ def minhash_classes(docs: DataFrame, terms: Terms = Terms(n=3, percent=85), sket
     which it meets most often. Round 2 looks at the nodes that are outside
     of the main class (the largest) of a bucket: their sketches meet all others of their buckets in cells of _BLOCK by _BLOCK, which
     give each of them a list of the near ones. Then sets are dealt into blocks of about _ELEMENTS elements, and each node
-    goes, with its list, to the blocks that hold any of it; there overlaps are counted on full sets (64-bit hashes of shingles), and one link for
-    each class is enough. No pair is a row, members of one class are never compared again, and groups of copies are
+    goes, with its list, to the blocks that hold any of it; there overlaps are counted on full sets (64-bit hashes of shingles), and links that
+    hold a block's classes together are enough. No pair is a row, members of one class are never compared again, and groups of copies are
     not expanded. Hot buckets and hubs are kept apart.
 
     Returns id, n_shingles, component_id (the least id of the class), kept (the id is that
@@ -245,7 +245,7 @@ def _near_in_cells(terms: Terms, sketch: Sketch, most: int):
 
 
 def _links_in_blocks(terms: Terms):
-    """Of a block's sets and those that come with lists of near ones: one link for each class that has any. Overlaps are counted on full sets."""
+    """Of a block's sets and those that come with lists of near ones: links that join the same classes as all of its links do, fewer than it has classes. Overlaps are counted on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _groups(batches, ["block"]):
@@ -255,12 +255,15 @@ def _links_in_blocks(terms: Terms):
             held = held[np.argsort(nid[held])]
             names = nid[held]
             sets = [block["els"][int(k)].values.to_numpy().view(np.uint64) for k in held]
+            _, of = np.unique(label, return_inverse=True)
+            joined, members = np.arange(of.max() + 1), [[k] for k in range(of.max() + 1)]  # classes that links of this block have joined
             pairs = []
             for x in np.flatnonzero(asks).tolist():
                 own = block["els"][x].values.to_numpy().view(np.uint64)
                 near = block["near"][x].values.to_numpy()
                 at = np.searchsorted(names, near)
                 at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == near)] if len(names) else at[:0]
+                at = at[joined[of[held[at]]] != joined[of[x]]]
                 if not len(at):
                     continue
                 sizes = np.array([len(sets[k]) for k in at])
@@ -268,8 +271,12 @@ def _links_in_blocks(terms: Terms):
                 place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
                 common = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum([0, *sizes[:-1]]))
                 linked = at[100 * common >= terms.percent * (len(own) + sizes - common)]
-                _, first = np.unique(label[held[linked]], return_index=True)
-                pairs += [(sig[x].as_py(), sig[int(held[k])].as_py()) for k in linked[first].tolist()]
+                _, first = np.unique(joined[of[held[linked]]], return_index=True)
+                for k in linked[first].tolist():
+                    pairs.append((sig[x].as_py(), sig[int(held[k])].as_py()))
+                    few, many = sorted((int(joined[of[x]]), int(joined[of[held[k]]])), key=lambda c: len(members[c]))
+                    joined[members[few]] = many
+                    members[many] += members[few]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return w.tidy(run)

@@ -101,3 +101,23 @@ def test_a_very_long_text(spark, table_of):
     rows = [(1, " ".join(words)), (2, " ".join(words[5_000:])), (3, " ".join(words[:100_000]))]
     got = odd.minhash_classes(table_of(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA))).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_a_block_gives_fewer_links_than_classes():
+    """A block of 60 sets that all link with each other, each a class: links that hold them together, not all pairs."""
+    import pyarrow as pa
+
+    els = [np.sort(np.r_[np.arange(1, 200), 1000 + k]).astype(np.int64) for k in range(60)]
+    far = [np.arange(5000 + 300 * k, 5200 + 300 * k) for k in range(2)]
+    n = len(els) + len(far)
+    nids = list(range(n))
+    sig = [bytes([k]) * 16 for k in range(n)]
+    held = pa.record_batch({"block": [0] * n, "nid": nids, "sig": sig, "label": nids, "els": els + far, "near": pa.nulls(n, pa.list_(pa.int64()))})
+    asks = pa.record_batch({"block": [0] * n, "nid": nids, "sig": sig, "label": nids, "els": els + far, "near": [[m for m in nids if m != k] for k in nids]})
+    links = pa.Table.from_batches(odd._links_in_blocks(Terms(n=3, percent=85))(iter([held, asks]))).to_pylist()
+    assert len(links) == 59
+    reached, new = {sig[0]}, True
+    while new:
+        new = {x for p in links for x in (p["a"], p["b"]) if {p["a"], p["b"]} & reached} - reached
+        reached |= new
+    assert reached == set(sig[:60])
