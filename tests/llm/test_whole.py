@@ -174,3 +174,16 @@ def test_a_held_out_text_changes_no_other_score(spark, table_of, corpus):
     assert one.keys() == other.keys()
     for k, v in one.items():
         assert other[k] == pytest.approx(v, rel=1e-9)
+
+
+def test_lm_uses_every_pair_of_words_and_whole_tokens(spark, table_of):
+    """Any pair of neighbouring words predicts its next token, and a seen token does not cost its spelling."""
+    rng = np.random.default_rng(3)
+    passages = [" ".join(f"w{rng.integers(300)}" for _ in range(60)) for _ in range(6)]
+    rows = [(k, f"{passages[k % 6]} w{rng.integers(300)}") for k in range(60)]
+    data, offsets = np.frombuffer(" ".join(f"u{k}" for k in range(50)).encode(), np.uint8), np.array([0])
+    assert len(mixing_lm._pairs(data, np.r_[offsets, len(data)])[0]) == 49
+    got = mixing_lm.lm_scores(table_of(spark.createDataFrame(rows, "doc_id long, text string"), "pairs")).collect()
+    held = [r for r in got if r["held_out"]]
+    assert held and all(np.isfinite(r["score"]) for r in got)
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
