@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factline.llm import words as w
-from factline.llm.tables import id_number
+from factline.llm.tables import bound_batches, id_number
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _U = np.uint64
@@ -335,10 +335,6 @@ def sample_slice(pieces: Pieces, texts: list[bytes], keys: np.ndarray, k: int) -
 
     # paths of each text: edges, Gumbel values (not yet truncated at the path's, the last) of the sets that leave the path at each step, the step it branched at, the edges barred there, the best set's value, the path's
     known: list[list[list]] = [[] for _ in texts]
-    log_q, log_rest = np.log(lattice.q), 1.0 - lattice.q
-    log_rest[log_rest < 1e-14] = 0.0
-    with np.errstate(divide="ignore"):
-        np.log(log_rest, out=log_rest)
     flat, firsts = lattice.paths(at0, unit_keys)
     bounds = firsts[unit_first[np.r_[live, len(texts)]]]  # empty texts have no units
     branch: dict[int, int] = {}
@@ -346,8 +342,11 @@ def sample_slice(pieces: Pieces, texts: list[bytes], keys: np.ndarray, k: int) -
     for r in range(k):
         # one path for each live text is complete: edges end to end, bounds by text
         lens = np.diff(bounds)
-        lq = log_q[flat]
-        rest = log_rest[flat]
+        share = lattice.q[flat]
+        lq, rest = np.log(share), 1.0 - share
+        rest[rest < 1e-14] = 0.0
+        with np.errstate(divide="ignore"):
+            np.log(rest, out=rest)
         for n, t in enumerate(live.tolist()):
             if t in branch:
                 s = bounds[n] + branch[t]
@@ -430,7 +429,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed:
     Draws depend on the seed, the row's id and the place in the text only, so a lost executor's
     rows come out the same. Characters without a piece fall back to byte pieces, so every text,
     valid or not, decodes exactly. Rows are independent: no shuffle, and a task holds a few
-    megabytes of text, or one long text, at a time.
+    megabytes of text, or one long text, at a time (tables.bound_batches).
 
     Ids that are not whole numbers are hashed for their draws.
 
@@ -438,6 +437,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed:
     null id is hashed as -1. Texts with fewer than k segmentations give what they have. Repeated
     rows are all sampled, alike where ids and texts are. Empty tables give no rows.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
     kind = docs.schema[id_col].dataType.simpleString()
     placed = position is not None
