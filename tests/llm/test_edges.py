@@ -92,3 +92,11 @@ def test_sampling_takes_few_megabytes_of_text_at_once(spark, monkeypatch):
     monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, _: old(self, run, schema))
     got = lattice.sample_segmentations(rows).collect()
     assert sum(r[0] for r in got) == 9000 and max(r[1] for r in got) < 6e6
+
+
+def test_the_word_model_frees_its_shuffles_between_steps(docs, monkeypatch):
+    from factline.llm import mixing_lm
+
+    freed, real = [], mixing_lm.free
+    monkeypatch.setattr(mixing_lm, "free", lambda spark: freed.append(real(spark)))
+    assert lm_scores(docs.limit(50)).count() == 50 and len(freed) >= 4
