@@ -187,3 +187,74 @@ def test_lm_uses_every_pair_of_words_and_whole_tokens(spark, table_of):
     held = [r for r in got if r["held_out"]]
     assert held and all(np.isfinite(r["score"]) for r in got)
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+@pytest.mark.parametrize("often", [1, 1024])
+def test_lm_contexts_are_packed_and_score_as_counted_by_hand(spark, table_of, monkeypatch, often):
+    """What contexts add, counted in a plain way; a common context is not sent about as a row an occurrence, and blocks are small."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(40)] + ["of"] * 8
+    rows = [(k, " ".join(rng.choice(words, 60)) if k % 9 else " ".join(f"w{j}" for j in range(30))) for k in range(120)] + [(200, None), (201, "one"), (202, "two words")]
+    monkeypatch.setattr(mixing_lm, "OFTEN", often)
+    monkeypatch.setattr(mixing_lm, "_CHUNK_PAIRS", 500)
+    raw = table_of(spark.createDataFrame(rows, "t1 long, text string").selectExpr("t1", "0 t2", "crc32(cast(cast(t1 as string) as binary)) % 7 = 2 held_out", "coalesce(cast(text as binary), x'') raw"))
+    held = {r["t1"]: r["held_out"] for r in raw.select("t1", "held_out").collect()}
+    hash_of = lambda x: int(mixing_lm.w.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x)]))[0])
+    keys = np.sort(np.array([hash_of(x) for x in (*words[:20], "of")], np.uint64))
+    lp = -np.arange(1.0, len(keys) + 1)
+    keys, first = np.unique(keys, return_index=True)
+    hot = spark.sparkContext.broadcast((keys, lp[first], lp[first], lp[first]))
+    counted = raw.mapInArrow(mixing_lm._emit_words, mixing_lm._VOCABULARY)
+    found = counted.filter("word is null").groupBy("h").sum("total").withColumnRenamed("sum(total)", "total")
+    assert found.count() > 0
+    pairs = sum(max(len((t or "").split()) - 1, 0) for _, t in rows)
+    got = mixing_lm._repeats(raw, found, pairs, hot).collect()
+    # the same by hand
+    seen = [(i, (x[k], x[k + 1]), hash_of([*x, "\n"][k + 2])) for i, t in rows for x in [(t or "").split()] for k in range(len(x) - 1)]
+    nexts = collections.defaultdict(collections.Counter)
+    for i, pair, token in seen:
+        nexts[pair][token] += not held[i]
+    told, cells = [], collections.Counter()
+    signed = lambda h: h - (h >> 63 << 64)
+    for i, pair, token in seen:
+        guess = max(nexts[pair], key=lambda h: (nexts[pair][h], signed(h)))
+        own, hit = not held[i], token == guess
+        n, k = sum(nexts[pair].values()) - own, nexts[pair][guess] - (own and hit)
+        if n > 0:
+            cell = ((n + 1).bit_length() - 1, (n - k + 1).bit_length() - 1)
+            told.append((i, cell, hit, token))
+            cells[cell, hit] += own
+    scores, spelled, by = collections.Counter(), collections.Counter(), dict(zip(keys.tolist(), lp[first].tolist()))
+    for i, (s, x), hit, token in told:
+        right = max(2.0**s - 2.0**x, 0)
+        prior = (right + mixing_lm.PRIOR) / (right + 2.0**x - 1 + 2 * mixing_lm.PRIOR)
+        p = (cells[(s, x), True] + 2 * prior) / (cells[(s, x), True] + cells[(s, x), False] + 2)
+        scores[i] += np.log10(p if hit else 1 - p) - (by.get(token, 0) if hit else 0)
+        if hit and token not in by:
+            spelled[i, signed(token)] -= 1
+    assert {r["t1"] for r in got} == {i for i, _ in rows} and sum(r["h"] is None for r in got) == len(rows)
+    for i, _ in rows:
+        assert sum(r["score"] for r in got if r["t1"] == i) == pytest.approx(scores[i])
+    have = collections.Counter()
+    for r in got:
+        if r["h"] is not None:
+            have[r["t1"], r["h"]] += r["spelled"]
+    assert have == spelled and len(spelled) > 50
+
+
+def test_lm_packs_a_pair_of_words_in_few_bytes(spark, table_of):
+    rng = np.random.default_rng(9)
+    rows = [(k, 0, False, " ".join(f"w{x}" for x in rng.integers(0, 3000, 500)).encode()) for k in range(400)]
+    raw = table_of(spark.createDataFrame(rows, "t1 long, t2 int, held_out boolean, raw binary").coalesce(1))
+    sc = spark.sparkContext
+    keys = np.sort(mixing_lm.w.word_hashes(*_words_of([f"w{x}" for x in range(3000)])))
+    none = sc.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+    blocks = raw.mapInArrow(mixing_lm._blocks(sc.broadcast((keys,)), none, 16), mixing_lm._ddl(mixing_lm._BLOCK))
+    size = sum(len(r[c] or b"") for r in blocks.collect() for c in ("texts", "tokens", "rare", "contexts", "sizes"))
+    assert size < 12 * 400 * 499  # a row of its own takes 29
+
+
+def _words_of(words):
+    size = np.array([len(x) for x in words])
+    ends = np.cumsum(size)
+    return np.frombuffer("".join(words).encode(), np.uint8), ends - size, ends
