@@ -254,6 +254,20 @@ def test_lm_packs_a_pair_of_words_in_few_bytes(spark, table_of):
     assert size < 12 * 400 * 499  # a row of its own takes 29
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 300])
+def test_lm_blocks_of_one_occurrence_are_told(spark, n):
+    """Parts of a block may hold a single number, and are written to like longer ones."""
+    for kind in (np.int16, np.int32, np.uint64):
+        given = np.arange(5, 5 + n).astype(kind)
+        got = mixing_lm._unpacked(mixing_lm._packed(given), kind)
+        assert got.dtype == kind and got.tolist() == given.tolist() and got.flags.writeable
+    pack = mixing_lm._packed
+    one = {"part": 0, "texts": pack(np.array([0], np.int32)), "tokens": pack(np.array([0], np.int32)), "rare": pack(np.array([7], np.uint64)), "contexts": pack(np.array([9], np.uint64)), "sizes": pack(np.array([1], np.int32))}
+    hot = spark.sparkContext.broadcast((np.zeros(0, np.uint64),))  # no hot word: each token stands in the block's own list
+    told = mixing_lm._tell(hot)(pa.table(mixing_lm._rows(mixing_lm._BLOCK, [one | {"chunk": k} for k in range(n % 7)]))).to_pylist()
+    assert [r["chunk"] for r in told] == ([] if n % 7 < 2 else list(range(n % 7)))  # a context that stands once tells nothing
+
+
 def _words_of(words):
     size = np.array([len(x) for x in words])
     ends = np.cumsum(size)
